@@ -12,10 +12,11 @@ def _struct(spec: str) -> T.StructType:
     return T.StructType.fromDDL(spec)
 
 
-# Delivered file, under its original headers.  One row is one order line.
+# Delivered file, under its original headers.  One row is one order line.  Row ID is
+# 64-bit here, since a large table outgrows 32 bits.
 SOURCE = T.StructType(
     [
-        T.StructField("Row ID", T.IntegerType()),
+        T.StructField("Row ID", T.LongType()),
         T.StructField("Order ID", T.StringType()),
         T.StructField("Order Date", T.StringType()),
         T.StructField("Date Key", T.IntegerType()),
