@@ -52,6 +52,6 @@ def safe_corr(x: Column | str, y: Column | str) -> Column:
 
 
 def corr_matrix_exprs(columns: list[str]) -> list[Column]:
-    """One aggregate per unordered pair, plus one for each diagonal cell."""
+    """One aggregate per unordered pair; a diagonal cell is 1 unless the column is constant."""
     pairs = [safe_corr(a, b).alias(f"{a}|{b}") for a, b in combinations(columns, 2)]
-    return pairs + [safe_corr(a, a).alias(f"{a}|{a}") for a in columns]
+    return pairs + [F.when(F.min(a) < F.max(a), 1.0).alias(f"{a}|{a}") for a in columns]

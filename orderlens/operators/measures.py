@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import aggregates as A
 from orderlens.operators.joins import null_safe_join
-from orderlens.operators.prefix import running_totals
+from orderlens.operators.prefix import ROWS_PER_BUCKET, running_totals
 
 
 def _bases() -> dict[str, Column]:
@@ -301,7 +301,7 @@ def cumulative_share(
     key: str = "customer",
     within: Sequence[str] = (),
     slicers: Slicers = NONE,
-    rows_per_bucket: int = 1_000_000,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Revenue per customer with the running total from the largest down.
 
@@ -313,7 +313,7 @@ def cumulative_share(
     return concentration(per, keys, rows_per_bucket)
 
 
-def concentration(per: DataFrame, keys: Sequence[str] = (), rows_per_bucket: int = 1_000_000) -> DataFrame:
+def concentration(per: DataFrame, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add ``cumulative`` and ``whole`` to rows that hold one ``revenue`` each."""
     return running_totals(
         per, "revenue", {"cumulative": "revenue"}, list(keys), rows_per_bucket=rows_per_bucket

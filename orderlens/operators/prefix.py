@@ -1,8 +1,9 @@
 """Running totals over a global order without a single-task sort.
 
-A window without PARTITION BY moves every row into one task.  Here the order is
-cut into buckets by split points on the value; each bucket is summed on its
-own and shifted by the total of the buckets before it.
+A window without PARTITION BY moves every row into one task.  That is what
+happens here only for row counts checked to be small.  Beyond them the order is
+cut into buckets by split points on the value; each bucket is summed on its own
+and shifted by the total of the buckets before it.
 """
 
 from __future__ import annotations
@@ -13,26 +14,23 @@ from pyspark.sql import functions as F
 from orderlens.operators.joins import attach_by_key, null_safe_join
 from orderlens.session import freeze
 
-MAX_BUCKETS = 1024
-MIN_BUCKETS = 8
+# No task sorts many more rows than this.
+ROWS_PER_BUCKET = 1_000_000
+MIN_BUCKETS, MAX_BUCKETS = 8, 1024
 
 
-def _split_points(peers: DataFrame, value: str, rows_per_bucket: int) -> list[float]:
+def _split_points(peers: DataFrame, value: str, n: int, rows_per_bucket: int) -> list[float]:
     """At most ``MAX_BUCKETS - 1`` ascending cut values, read once.
 
     Read to the driver so that every later use sees the same cuts; an
     approximate sketch evaluated twice may differ.
     """
-    grid = [i / MAX_BUCKETS for i in range(1, MAX_BUCKETS)]
-    n, cuts = peers.agg(
-        F.count("*"), F.percentile_approx(F.col(value).cast("double"), grid, 10 * MAX_BUCKETS)
-    ).first()
-    wanted = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n // rows_per_bucket)))
-    if not cuts:
-        return []
-    step = MAX_BUCKETS / wanted
-    picked = {cuts[min(len(cuts) - 1, round(i * step) - 1)] for i in range(1, wanted)}
-    return sorted(picked)
+    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n // rows_per_bucket)))
+    grid = [i / buckets for i in range(1, buckets)]
+    cuts = peers.agg(
+        F.percentile_approx(F.col(value).cast("double"), grid, 10 * MAX_BUCKETS)
+    ).first()[0]
+    return sorted(set(cuts))
 
 
 def _bucket(value: str, cuts: list[float], descending: bool) -> Column:
@@ -44,6 +42,27 @@ def _bucket(value: str, cuts: list[float], descending: bool) -> Column:
     return F.size(passed)
 
 
+def _order(value: str, descending: bool) -> Column:
+    return F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+
+
+def _plain(
+    rows: DataFrame, value: str, sums: dict[str, str], within: list[str], descending: bool, inclusive: bool
+) -> DataFrame:
+    """The same result from a RANGE window, one task per ``within`` group."""
+    group = Window.partitionBy(*within)
+    along = group.orderBy(_order(value, descending))
+    peers = Window.partitionBy(*within, value)
+    present = F.col(value).isNotNull()
+    out = {}
+    for name, c in sums.items():
+        counted = F.when(present, F.col(c))
+        own = F.lit(0) if inclusive else F.coalesce(F.sum(counted).over(peers), F.lit(0))
+        out[name] = F.when(present, F.sum(counted).over(along) - own)
+        out[f"{name}_whole"] = F.when(present, F.sum(counted).over(group))
+    return rows.withColumns(out)
+
+
 def cumulate_values(
     peers: DataFrame,
     value: str,
@@ -51,31 +70,30 @@ def cumulate_values(
     within: list[str] | None = None,
     descending: bool = True,
     inclusive: bool = True,
-    rows_per_bucket: int = 1_000_000,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Running totals over rows that are unique in (``within``, ``value``).
 
     ``sums`` maps each output column to the column it accumulates, with the row
     itself or, unless ``inclusive``, only the rows before it.  The total of the
     whole group comes along as ``<output>_whole``.  Values must not be null.
+    ``peers`` is evaluated more than once and should be cheap to read.
     """
     within = list(within or [])
-    cuts = _split_points(peers, value, rows_per_bucket)
+    n = peers.count()
+    if n <= rows_per_bucket:
+        return _plain(peers, value, sums, within, descending, inclusive)
+    cuts = _split_points(peers, value, n, rows_per_bucket)
     marked = peers.withColumn("_bucket", _bucket(value, cuts, descending))
-    order = F.col(value).desc() if descending else F.col(value).asc()
     inside = (
         Window.partitionBy(*within, "_bucket")
-        .orderBy(order)
+        .orderBy(_order(value, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = marked.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
     # At most MAX_BUCKETS rows per group reach these windows.
     group = Window.partitionBy(*within)
-    before = (
-        Window.partitionBy(*within)
-        .orderBy("_bucket")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         marked.groupBy(*within, "_bucket")
         .agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
@@ -102,29 +120,32 @@ def running_totals(
     within: list[str] | None = None,
     descending: bool = True,
     inclusive: bool = True,
-    rows_per_bucket: int = 1_000_000,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Running totals along ``value``; rows with equal values share one total.
 
     Equivalent to ``SUM(c) OVER (PARTITION BY within ORDER BY value DESC)``
     with its default RANGE frame; unless ``inclusive``, rows of equal value are
     left out of their own total.  ``<output>_whole`` holds the group total.
-    ``rows`` is written to the shared folder once.  Rows with a null value get
-    null totals.
+    Rows with a null value count nowhere and get null totals.
+
+    ``rows`` is written to the shared folder once.  Up to ``rows_per_bucket``
+    rows a plain window does; beyond that, equal values are folded, the folded
+    values are accumulated in buckets, and the totals are joined back with hot
+    values kept out of the shuffle.
     """
     within = list(within or [])
     rows = freeze(rows)
-    peers = (
-        rows.filter(F.col(value).isNotNull())
-        .groupBy(*within, value)
-        .agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
+    if rows.count() <= rows_per_bucket:
+        return _plain(rows, value, sums, within, descending, inclusive)
+    valued = rows.filter(F.col(value).isNotNull())
+    peers = valued.groupBy(*within, value).agg(
+        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
     )
     totals = cumulate_values(
         peers, value, {o: f"_s_{o}" for o in sums}, within, descending, inclusive, rows_per_bucket
     ).drop(*[f"_s_{o}" for o in sums])
-    ranked = attach_by_key(
-        rows.filter(F.col(value).isNotNull()), totals, [*within, value], weight="_n"
-    )
+    ranked = attach_by_key(valued, totals, [*within, value], weight="_n")
     missing = rows.filter(F.col(value).isNull()).select(
         "*",
         *[

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.prefix import cumulate_values
+from orderlens.operators.prefix import ROWS_PER_BUCKET, cumulate_values
 from orderlens.session import freeze
 
 
@@ -43,8 +43,8 @@ def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
-    accuracy: int = 100_000,
-    rows_per_bucket: int = 1_000_000,
+    accuracy: int = 10_000,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """(column, probability, quantile) with linear interpolation between ranks.
 

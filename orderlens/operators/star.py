@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens.schema import DIM_CUSTOMER, DIM_DATE, DIM_GEOGRAPHY, DIM_PRODUCT, FACT_SALES
 from orderlens.sources.tables import write_table
@@ -161,9 +162,13 @@ def build_star(
     return star
 
 
-def read_star(spark: SparkSession, root: str) -> Star:
+def read_star(
+    spark: SparkSession, root: str, schemas: dict[str, T.StructType] | None = None
+) -> Star:
+    """Open stored tables; known ``schemas`` spare their inference."""
     names = ("fact_sales", "dim_date", "dim_customer", "dim_product", "dim_geography")
-    return Star(**{n: spark.read.parquet(f"{root}/{n}") for n in names})
+    read = lambda n: spark.read.schema(schemas[n]) if schemas else spark.read
+    return Star(**{n: read(n).parquet(f"{root}/{n}") for n in names})
 
 
 def validate_star(lines: DataFrame, star: Star) -> DataFrame:

@@ -14,6 +14,7 @@ from orderlens.functions import aggregates as A
 from orderlens.functions import columns as C
 from orderlens.operators.joins import attach_by_key
 from orderlens.operators.measures import concentration
+from orderlens.operators.prefix import ROWS_PER_BUCKET
 from orderlens.operators.star import Star
 from orderlens.sources.tables import refresh_by_year
 
@@ -157,7 +158,7 @@ def pareto_columns(ranked: DataFrame, *names: str) -> DataFrame:
     )
 
 
-def c1_pareto(star: Star, rows_per_bucket: int = 1_000_000) -> DataFrame:
+def c1_pareto(star: Star, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Revenue share and cumulative share per customer, largest first."""
     ranked = concentration(customer_revenue(star), rows_per_bucket=rows_per_bucket)
     return pareto_columns(ranked, "customer_name").orderBy(

@@ -110,6 +110,11 @@ add(
 )
 
 
+def printed(col: str, kind: str) -> str:
+    """A double as its CSV text reads under a decimal type."""
+    return dbl(f"CAST(CAST({col} AS VARCHAR) AS {kind})")
+
+
 def csv_listing(decimals: bool, whole: str, dates: bool = True) -> str:
     out = []
     for c in CLEAN_COLUMNS:
@@ -120,9 +125,9 @@ def csv_listing(decimals: bool, whole: str, dates: bool = True) -> str:
         elif c in ("date_key", "quantity", "year", "month", "quarter"):
             out.append(f"CAST({c} AS {whole}) AS {c}")
         elif decimals and c == "profit_margin":
-            out.append("round(profit_margin, 6) AS profit_margin")
+            out.append(f"{printed('profit_margin', 'DECIMAL(10,6)')} AS profit_margin")
         elif decimals and c == "revenue_per_unit":
-            out.append("round(revenue_per_unit, 4) AS revenue_per_unit")
+            out.append(f"{printed('revenue_per_unit', 'DECIMAL(12,4)')} AS revenue_per_unit")
         else:
             out.append(c)
     return ", ".join(out)
@@ -481,7 +486,8 @@ PARETO = f"""round({dbl('revenue')}, 2) AS revenue,
     {pct(dbl('revenue'), dbl('sum(revenue) OVER ()'))} AS pct_of_total,
     {pct(dbl('sum(revenue) OVER (ORDER BY revenue DESC)'), dbl('sum(revenue) OVER ()'))} AS cumulative_pct"""
 REVENUE = ",\nrev AS (SELECT {keys}, sum(sales) AS revenue FROM feat GROUP BY {keys})"
-add("c1_pareto", f"SELECT customer AS customer_name, {PARETO} FROM rev", REVENUE.format(keys="customer"))
+for _name in ("c1_pareto", "c1_pareto_in_buckets"):
+    add(_name, f"SELECT customer AS customer_name, {PARETO} FROM rev", REVENUE.format(keys="customer"))
 add(
     "c2_best_product_by_region",
     f"""SELECT region, product AS product_name, round({dbl('revenue')}, 2) AS sales FROM rev

@@ -296,6 +296,7 @@ on_star("b3_segments_above_average_discount", library.b3_segments_above_average_
 on_star("b4_industry_segment", library.b4_industry_segment)
 on_star("b5_monthly_trend", library.b5_monthly_trend)
 on_star("c1_pareto", library.c1_pareto)
+on_star("c1_pareto_in_buckets", lambda s: library.c1_pareto(s, rows_per_bucket=100))
 on_star("c2_best_product_by_region", library.c2_best_product_by_region)
 on_star("c3_month_over_month", library.c3_month_over_month)
 on_star("c4_share_of_industry", library.c4_share_of_industry)

@@ -8,8 +8,10 @@ columns and years it needs.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from orderlens.operators.calendar import date_table
 from orderlens.operators.star import Star, build_star, read_star
@@ -17,7 +19,8 @@ from orderlens.session import shared_dir
 from orderlens.sources import tpch
 from orderlens.sources.tables import write_table
 
-_BUILT: set[tuple[str, str, str]] = set()
+# (application, sf_dir, name) -> schemas of the tables stored there.
+_BUILT: dict[tuple[str, str, str], dict[str, T.StructType]] = {}
 
 
 def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -25,25 +28,35 @@ def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/orderlens-{spark.sparkContext.applicationId}/{tag}/{name}"
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build) -> str:
+def _once(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[str], dict[str, T.StructType]]
+) -> tuple[str, dict[str, T.StructType]]:
+    """Build on first use; remember the schemas so that reading back infers nothing."""
     path = folder(spark, sf_dir, name)
     mark = (spark.sparkContext.applicationId, sf_dir, name)
     if mark not in _BUILT:
-        build(path)
-        _BUILT.add(mark)
-    return path
+        _BUILT[mark] = build(path)
+    return path, _BUILT[mark]
+
+
+def _build_lines(spark: SparkSession, sf_dir: str, path: str) -> dict[str, T.StructType]:
+    return {"lines": write_table(tpch.clean_lines(spark, sf_dir), path, ("year",)).schema}
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean order lines, partitioned by year."""
-    flat = tpch.clean_lines(spark, sf_dir)
-    path = _once(spark, sf_dir, "lines", lambda p: write_table(flat, p, ("year",)))
-    return spark.read.schema(flat.schema).parquet(path).select(*flat.columns)
+    path, schemas = _once(spark, sf_dir, "lines", lambda p: _build_lines(spark, sf_dir, p))
+    schema = schemas["lines"]
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
-    path = _once(spark, sf_dir, "star", lambda p: build_star(spark, lines(spark, sf_dir), p))
-    return read_star(spark, path)
+    def build(path: str) -> dict[str, T.StructType]:
+        built = build_star(spark, lines(spark, sf_dir), path)
+        return {name: df.schema for name, df in built.tables().items()}
+
+    path, schemas = _once(spark, sf_dir, "star", build)
+    return read_star(spark, path, schemas)
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,11 +50,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("order_date", F.col("o_orderdate").cast("date"))
         .drop("o_orderdate")
     )
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("product"))
+    # The base margin depends on the product alone, so it is worked out per part.
+    brand_number = F.substring("p_brand", 7, 8).cast("int")
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.col("p_brand").alias("product"),
+        (((brand_number * 7) % 40 - 2).cast("decimal(6,2)") / 100).cast("decimal(6,4)").alias("base"),
+    )
     cut = F.col("l_discount").cast("decimal(4,2)") * 5
-    base = (
-        ((F.substring("product", 7, 8).cast("int") * 7) % 40 - 2).cast("decimal(6,2)") / 100
-    ).cast("decimal(6,4)")
     return (
         table(spark, sf_dir, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -65,7 +68,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .withColumn(
             "profit",
-            (F.col("sales") * (base - (F.col("discount") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(6,4)")))
+            (F.col("sales") * (F.col("base") - (F.col("discount") * F.lit("0.6").cast("decimal(2,1)")).cast("decimal(6,4)")))
             .cast("decimal(12,2)"),
         )
         .select(
