@@ -139,12 +139,15 @@ def running_totals(
     if rows.count() <= rows_per_bucket:
         return _plain(rows, value, sums, within, descending, inclusive)
     valued = rows.filter(F.col(value).isNotNull())
-    peers = valued.groupBy(*within, value).agg(
-        F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
+    peers = freeze(
+        valued.groupBy(*within, value).agg(
+            F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
+        )
     )
     totals = cumulate_values(
         peers, value, {o: f"_s_{o}" for o in sums}, within, descending, inclusive, rows_per_bucket
-    ).drop(*[f"_s_{o}" for o in sums])
+    )
+    totals = freeze(totals.drop(*[f"_s_{o}" for o in sums]))
     ranked = attach_by_key(valued, totals, [*within, value], weight="_n")
     missing = rows.filter(F.col(value).isNull()).select(
         "*",

@@ -53,9 +53,10 @@ def numeric_summary(df: DataFrame, approximate: bool = False, digits: int = 2) -
     sketch alone and saves the second pass.
     """
     names = numeric_columns(df)
-    xs = {c: F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")) for c in names}
+    missing = F.lit(None).cast("double")
+    df = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), missing).alias(c) for c in names])
     parts = []
-    for i, x in enumerate(xs.values()):
+    for i, x in enumerate(F.col(f"`{c}`") for c in names):
         fields = [
             F.count(x).cast("double").alias("count"),
             F.avg(x).alias("mean"),
@@ -76,7 +77,7 @@ def numeric_summary(df: DataFrame, approximate: bool = False, digits: int = 2) -
     )
     wide = moments.select("e.column", "e.s.*")
     if not approximate:
-        quartiles = exact_quantiles(df.select(*[F.col(f"`{c}`") for c in names]), names, [0.25, 0.5, 0.75])
+        quartiles = exact_quantiles(df, names, [0.25, 0.5, 0.75])
         spread = quartiles.groupBy("column").agg(
             *[
                 F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(name)

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.operators.prefix import ROWS_PER_BUCKET, cumulate_values
@@ -26,17 +26,25 @@ def _merge(intervals: list[tuple[float, float]]) -> list[tuple[float, float]]:
     return merged
 
 
-def _cell(x: Column, intervals: list[tuple[float, float]]) -> Column:
-    """Keep the value inside an interval; outside, stand for the gap by its lower end.
+def _number(x: float) -> str:
+    return f"double('{x!r}')"
 
-    Gap ``i`` is represented by the upper end of interval ``i - 1`` (or -inf),
-    which sorts before everything in interval ``i``.
+
+def _cell(i: int, intervals: list[tuple[float, float]]) -> str:
+    """SQL struct (i, is_gap, v) for column ``x{i}``.
+
+    A value inside an interval stands for itself.  A gap is represented by the
+    upper end of the interval before it (or -infinity), which sorts before
+    everything in the next interval.
     """
-    inside, gap = F.lit(False), F.lit(float("-inf"))
-    for low, high in intervals:
-        inside = inside | x.between(low, high)
-        gap = F.when(x > high, F.lit(high)).otherwise(gap)
-    return F.struct((~inside).alias("is_gap"), F.when(inside, x).otherwise(gap).alias("v"))
+    x = f"x{i}"
+    inside = " OR ".join(f"{x} BETWEEN {_number(lo)} AND {_number(hi)}" for lo, hi in intervals)
+    gaps = " ".join(f"WHEN {x} > {_number(hi)} THEN {_number(hi)}" for _, hi in reversed(intervals))
+    return (
+        f"struct({i} AS i, NOT ({inside}) AS is_gap, "
+        f"CASE WHEN {inside} THEN {x} {gaps} ELSE {_number(float('-inf'))} END AS v, "
+        f"{x} IS NOT NULL AS present)"
+    )
 
 
 def exact_quantiles(
@@ -51,87 +59,61 @@ def exact_quantiles(
     Nulls and NaN are skipped.  A column without values gives null quantiles.
     """
     spark = df.sparkSession
-    xs = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns}
+    # Converted once, here: the expressions below mention each value many times.
+    missing = F.lit(None).cast("double")
+    df = df.select(
+        *[F.nanvl(F.col(f"`{c}`").cast("double"), missing).alias(f"x{i}") for i, c in enumerate(columns)]
+    )
     slack = 3.0 / accuracy  # sketch error on both sides, and one rank of interpolation
+    marks = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
     sketch = df.agg(
-        *[
-            F.struct(
-                F.count(x).alias("n"),
-                F.percentile_approx(
-                    x,
-                    [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)],
-                    accuracy,
-                ).alias("cuts"),
-            ).alias(f"c{i}")
-            for i, x in enumerate(xs.values())
-        ]
+        *[F.count(f"x{i}") for i in range(len(columns))],
+        *[F.percentile_approx(f"x{i}", marks, accuracy) for i in range(len(columns))],
     ).first()
-    targets, intervals = [], {}
-    for i, name in enumerate(columns):
-        n, cuts = sketch[f"c{i}"]["n"], sketch[f"c{i}"]["cuts"]
-        if not n:
-            continue
-        if n <= accuracy:  # few values: keep them all
-            intervals[name] = [(float("-inf"), float("inf"))]
-        else:
-            pairs = [(cuts[2 * j], cuts[2 * j + 1]) for j in range(len(probabilities))]
-            intervals[name] = _merge(pairs)
-        for p in probabilities:
-            at = p * (n - 1)
-            targets.append((name, p, math.floor(at), math.ceil(at), at - math.floor(at)))
-    empty = [(c, p) for c in columns if c not in intervals for p in probabilities]
-    blank = spark.createDataFrame(empty, "column string, probability double").withColumn(
-        "quantile", F.lit(None).cast("double")
+    wanted, intervals = [], {}
+    for i in range(len(columns)):
+        n, cuts = sketch[i], sketch[len(columns) + i]
+        if n:
+            if n <= accuracy:  # few values: keep them all
+                intervals[i] = [(float("-inf"), float("inf"))]
+            else:
+                intervals[i] = _merge([(cuts[2 * j], cuts[2 * j + 1]) for j in range(len(probabilities))])
+        for j, p in enumerate(probabilities):
+            at = p * (n - 1) if n else -1.0
+            lo = math.floor(at)
+            wanted.append(f"({i}, {j}, {lo}L, {math.ceil(at)}L, {_number(at - lo)})")
+    targets = spark.sql(f"SELECT * FROM VALUES {', '.join(wanted)} AS t(i, j, lo, hi, frac)")
+
+    structs = ", ".join(_cell(i, intervals[i]) for i in intervals)
+    cells = df.selectExpr(f"inline(array({structs}))") if intervals else spark.sql(
+        "SELECT 0 AS i, true AS is_gap, double(0) AS v, false AS present"
     )
-    if not targets:
-        return blank
-
-    cells = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(name).alias("column"),
-                        xs[name].isNotNull().alias("present"),
-                        _cell(xs[name], intervals[name]).alias("cell"),
-                    )
-                    for name in intervals
-                ]
-            )
-        ).alias("e")
-    ).filter("e.present")
     # The gaps collapse to one row each, so little beyond the intervals is shuffled.
-    counted = freeze(
-        cells.groupBy(
-            F.col("e.column").alias("column"),
-            F.col("e.cell.v").alias("v"),
-            F.col("e.cell.is_gap").alias("is_gap"),
-        ).agg(F.count("*").alias("n"))
-    )
-    # A gap and the value it borrows share v; fold them, the gap after the value.
-    per_value = counted.groupBy("column", "v").agg(
-        F.sum(F.when(~F.col("is_gap"), F.col("n")).otherwise(0)).alias("n_value"),
-        F.sum("n").alias("n_all"),
+    # A gap and the value it borrows share v; they fold, the gap after the value.
+    per_value = freeze(
+        cells.filter("present")
+        .groupBy("i", "v")
+        .agg(F.count_if(~F.col("is_gap")).alias("n_value"), F.count("*").alias("n_all"))
     )
     cum = cumulate_values(
-        per_value, "v", {"upto": "n_all"}, ["column"], descending=False, rows_per_bucket=rows_per_bucket
+        per_value, "v", {"upto": "n_all"}, ["i"], descending=False, rows_per_bucket=rows_per_bucket
     )
-    first_rank = F.col("upto") - F.col("n_all")
-    wanted = F.broadcast(
-        spark.createDataFrame(
-            targets, "column string, probability double, lo long, hi long, frac double"
+    ranked = cum.selectExpr("i", "v", "upto - n_all AS first_rank", "upto - n_all + n_value AS last_rank")
+    covers = "first_rank <= {0} AND {0} < last_rank"
+    picked = (
+        ranked.join(F.broadcast(targets), "i")
+        .groupBy("i", "j")
+        .agg(
+            F.expr(f"max(CASE WHEN {covers.format('lo')} THEN v END)").alias("a"),
+            F.expr(f"max(CASE WHEN {covers.format('hi')} THEN v END)").alias("b"),
         )
     )
-    last_rank = first_rank + F.col("n_value")
-    hits = cum.withColumns({"first_rank": first_rank, "last_rank": last_rank}).join(wanted, "column")
-
-    def at(rank: str) -> Column:
-        covers = (F.col(rank) >= F.col("first_rank")) & (F.col(rank) < F.col("last_rank"))
-        return F.max(F.when(covers, F.col("v")))
-
-    picked = hits.groupBy("column", "probability", "frac").agg(at("lo").alias("a"), at("hi").alias("b"))
+    # One row per column and probability on both sides.
+    picked = targets.join(F.broadcast(picked), ["i", "j"], "left")
+    names = F.array(*[F.lit(c) for c in columns])
+    levels = F.array(*[F.lit(p) for p in probabilities])
     return picked.select(
-        "column",
-        "probability",
-        (F.col("a") + (F.col("b") - F.col("a")) * F.col("frac")).alias("quantile"),
-    ).unionByName(blank)
+        names[F.col("i")].alias("column"),
+        levels[F.col("j")].alias("probability"),
+        F.expr("a + (b - a) * frac").alias("quantile"),
+    )

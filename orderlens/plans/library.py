@@ -16,6 +16,7 @@ from orderlens.operators.joins import attach_by_key
 from orderlens.operators.measures import concentration
 from orderlens.operators.prefix import ROWS_PER_BUCKET
 from orderlens.operators.star import Star
+from orderlens.session import freeze
 from orderlens.sources.tables import refresh_by_year
 
 
@@ -206,7 +207,7 @@ def c4_share_of_industry(star: Star) -> DataFrame:
     Industry totals are joined back instead of windowed, so an industry with
     very many customers stays spread over the cluster.
     """
-    per = customer_revenue(star, "industry")
+    per = freeze(customer_revenue(star, "industry"))
     totals = per.groupBy("industry").agg(F.sum("revenue").alias("_total"), F.count("*").alias("_n"))
     return (
         attach_by_key(per, totals, ["industry"], weight="_n")
