@@ -8,10 +8,6 @@ MONEY = T.DecimalType(12, 2)
 RATE = T.DecimalType(5, 4)
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
 # Delivered file, under its original headers.  One row is one order line.  Row ID is
 # 64-bit here, since a large table outgrows 32 bits.
 SOURCE = T.StructType(
@@ -39,16 +35,36 @@ SOURCE = T.StructType(
 )
 
 # Cleaned, feature-rich lines; the order of the 27 columns is part of the contract.
-STAGING = _struct(
-    """
-    order_id string, order_date date, date_key int, contact_name string,
-    country string, city string, region string, subregion string,
-    customer string, customer_id string, industry string, segment string,
-    product string, sales decimal(12,2), quantity int, discount decimal(5,4),
-    profit decimal(12,2), year int, month int, month_name string, quarter int,
-    year_month string, profit_margin decimal(10,6), is_loss boolean,
-    discount_pct decimal(5,2), revenue_per_unit decimal(12,4), revenue_band string
-    """
+STAGING = T.StructType(
+    [
+        T.StructField("order_id", T.StringType()),
+        T.StructField("order_date", T.DateType()),
+        T.StructField("date_key", T.IntegerType()),
+        T.StructField("contact_name", T.StringType()),
+        T.StructField("country", T.StringType()),
+        T.StructField("city", T.StringType()),
+        T.StructField("region", T.StringType()),
+        T.StructField("subregion", T.StringType()),
+        T.StructField("customer", T.StringType()),
+        T.StructField("customer_id", T.StringType()),
+        T.StructField("industry", T.StringType()),
+        T.StructField("segment", T.StringType()),
+        T.StructField("product", T.StringType()),
+        T.StructField("sales", MONEY),
+        T.StructField("quantity", T.IntegerType()),
+        T.StructField("discount", RATE),
+        T.StructField("profit", MONEY),
+        T.StructField("year", T.IntegerType()),
+        T.StructField("month", T.IntegerType()),
+        T.StructField("month_name", T.StringType()),
+        T.StructField("quarter", T.IntegerType()),
+        T.StructField("year_month", T.StringType()),
+        T.StructField("profit_margin", T.DecimalType(10, 6)),
+        T.StructField("is_loss", T.BooleanType()),
+        T.StructField("discount_pct", T.DecimalType(5, 2)),
+        T.StructField("revenue_per_unit", T.DecimalType(12, 4)),
+        T.StructField("revenue_band", T.StringType()),
+    ]
 )
 
 CLEAN_COLUMNS = STAGING.fieldNames()
