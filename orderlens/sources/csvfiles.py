@@ -137,6 +137,14 @@ def load_data(spark: SparkSession, real: str, sample: str) -> DataFrame:
     return read_orders(spark, source.path).withColumn("source_kind", F.lit(source.kind))
 
 
+def verify(df: DataFrame) -> None:
+    """Read every row once and raise if a line or a value does not fit."""
+    try:
+        df.write.format("noop").mode("overwrite").save()
+    except Exception as exc:
+        raise MalformedSource(str(exc).splitlines()[0]) from exc
+
+
 def read_staging(spark: SparkSession, path: str) -> DataFrame:
     """Fixed-schema load of the clean CSV: decimals, any misfit fails the load."""
     return typed(read_text_table(spark, path), schema.STAGING, strict=True, missing=[""])

@@ -44,12 +44,12 @@ def test_distinct_errors(spark, tmp_path):
         R.read_orders(spark, put(tmp_path / "empty.csv"))
     assert R.read_orders(spark, put(tmp_path / "header.csv", HEADER)).count() == 0
     long = put(tmp_path / "long.csv", "Sales,Quantity", "1,2", "1,2,3")
-    with pytest.raises(PySparkException):
-        R.read_orders(spark, long).collect()
+    with pytest.raises(R.MalformedSource):
+        R.verify(R.read_orders(spark, long))
     assert R.read_orders(spark, long, strict=False).count() == 2
     wrong = put(tmp_path / "wrong.csv", "Sales,Quantity", "1,2", "abc,3")
-    with pytest.raises(PySparkException):
-        R.read_orders(spark, wrong).collect()
+    with pytest.raises(R.MalformedSource):
+        R.verify(R.read_orders(spark, wrong))
     assert R.read_orders(spark, wrong, strict=False).filter("Sales is null").count() == 1
     raw = R.read_text_table(spark, wrong)
     target = type(schema.SOURCE)([f for f in schema.SOURCE if f.name in ("Sales", "Quantity")])

@@ -31,7 +31,8 @@ def skewed(spark, n=3000, seed=7):
     for i in range(n):
         v = 500 if i % 3 == 0 else rnd.choice([None, rnd.randint(-50, 900), rnd.randint(0, 40)])
         rows.append((i, rnd.choice(["a", "a", "b", None]), v, rnd.randint(1, 9)))
-    return spark.createDataFrame(rows, "id long, g string, v decimal(12,2), w long")
+    df = spark.createDataFrame(rows, "id long, g string, v int, w long")
+    return df.withColumn("v", F.col("v").cast("decimal(12,2)"))
 
 
 @pytest.mark.parametrize("within", [[], ["g"]])
