@@ -97,30 +97,34 @@ def breakdowns(df: DataFrame, dimensions: list[str]) -> DataFrame:
     return _finish_breakdown(_breakdown_sums(long.groupBy("dimension", "key")), ["dimension", "key"])
 
 
-def top_customers(df: DataFrame, n: int = 10, key: str = "customer") -> DataFrame:
-    """The ``n`` largest customers by revenue and their share of the total."""
-    per = df.groupBy(key).agg(F.sum("sales").alias("_sales"))
-    whole = per.agg(F.sum("_sales")).scalar()
-    best = (
-        per.filter(F.col(key).isNotNull())
-        .withColumn("_sales", F.coalesce(F.col("_sales"), F.lit(0)))
-        .orderBy(F.col("_sales").desc_nulls_last(), key)
+def _top(df: DataFrame, n: int, key: str) -> DataFrame:
+    """The ``n`` largest keys with their revenue and the revenue of all lines.
+
+    Lines without a key belong to the total only.  They are sorted last and cut
+    off after the limit, so that ranking and total share one scan.
+    """
+    per = df.groupBy(key).agg(F.sum("sales").alias("_sum"))
+    whole = per.agg(F.sum("_sum")).scalar()
+    return (
+        per.withColumn("_sales", F.coalesce(F.col("_sum"), F.lit(0)))
+        .orderBy(F.col(key).isNull(), F.col("_sales").desc(), key)
         .limit(n)
+        .filter(F.col(key).isNotNull())
+        .select(key, F.col("_sales").cast("double").alias("sales"), whole.alias("_whole"))
     )
-    return best.select(
-        key,
-        F.col("_sales").cast("double").alias("sales"),
-        A.pct(F.col("_sales"), whole).alias("pct_of_total"),
-    )
+
+
+def top_customers(df: DataFrame, n: int = 10, key: str = "customer") -> DataFrame:
+    """The ``n`` largest customers by revenue and their share of the total."""
+    return _top(df, n, key).select(key, "sales", A.pct(F.col("sales"), F.col("_whole")).alias("pct_of_total"))
 
 
 def top_share(df: DataFrame, n: int = 10, key: str = "customer") -> DataFrame:
     """Share of the top ``n``: sum of the rounded shares, and the exact share."""
-    top = top_customers(df, n, key)
-    whole = df.agg(F.sum("sales")).scalar()
-    return top.agg(
-        F.round(F.sum("pct_of_total"), 1).alias("sum_of_rounded_pct"),
-        A.pct(F.sum("sales"), whole, 4).alias("exact_pct"),
+    rounded = A.pct(F.col("sales"), F.col("_whole"))
+    return _top(df, n, key).agg(
+        F.round(F.sum(rounded), 1).alias("sum_of_rounded_pct"),
+        A.pct(F.sum("sales"), F.max("_whole"), 4).alias("exact_pct"),
     )
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from orderlens.functions import aggregates as A
 from orderlens.operators.joins import null_safe_join
 from orderlens.operators.prefix import ROWS_PER_BUCKET, running_totals
+from orderlens.session import freeze
 
 
 def _bases() -> dict[str, Column]:
@@ -103,6 +104,7 @@ def evaluate(
     grouped = sliced.groupBy(*by).agg(*aggs) if by else sliced.agg(*aggs)
     out = [MEASURES[m].value().alias(m) for m in measures]
     if share_of_total:
+        grouped = freeze(grouped)  # read twice: for the rows and for the total
         whole = grouped.agg(F.sum("_sales")).scalar()
         out.append(A.ratio(_b("sales"), whole).alias("pct_of_total_sales"))
     return grouped.select(*by, *out)
@@ -181,6 +183,8 @@ def time_measures(
     keys = list(by)
     scope = _history(slicers.without_dates().apply(lines), slicers)
     sales = scope.groupBy(*keys, "year", "month").agg(F.sum("sales").alias("_sales"))
+    if keys:  # read twice below: for the key list and for the sums
+        sales = freeze(sales)
     grid = _month_grid(sales, calendar, keys)
     dense = null_safe_join(grid, sales, [*keys, "year", "month"], "left")
     along = Window.partitionBy(*keys).orderBy("_m")
@@ -230,6 +234,7 @@ def daily_time_measures(
         .groupBy(*keys, F.col("order_date").alias("date"))
         .agg(F.sum("sales").alias("_sales"))
     )
+    sales = freeze(sales)  # read again for last year's days
     if keys:
         bounds = calendar.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
         span = F.sequence(

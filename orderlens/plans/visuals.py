@@ -12,6 +12,7 @@ from orderlens.functions import columns as C
 from orderlens.operators import kpis
 from orderlens.operators.measures import NONE, Slicers, cumulative_share, evaluate
 from orderlens.plans.library import c6_discount_margin, pareto_columns
+from orderlens.session import freeze
 
 CARDS = ["total_sales", "total_profit", "profit_margin", "total_orders", "avg_order_value"]
 
@@ -84,7 +85,7 @@ def product_region_matrix(lines: DataFrame, slicers: Slicers = NONE) -> DataFram
 
     Cells are summed first; cube and pivot then work on cell-sized data.
     """
-    cells = slicers.apply(lines).groupBy("product", "region").agg(F.sum("profit").alias("_p"))
+    cells = freeze(slicers.apply(lines).groupBy("product", "region").agg(F.sum("profit").alias("_p")))
     regions = _values(cells, "region")
     cubed = (
         cells.cube("product", "region")
@@ -105,7 +106,7 @@ def _name(value: str) -> str:
 
 def industry_segment_matrix(lines: DataFrame, slicers: Slicers = NONE) -> DataFrame:
     """Sales and margin by industry (rows) and segment (columns)."""
-    cells = (
+    cells = freeze(
         slicers.apply(lines)
         .groupBy("industry", "segment")
         .agg(F.sum("sales").alias("_s"), F.sum("profit").alias("_p"))

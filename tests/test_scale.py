@@ -6,13 +6,16 @@ import random
 
 import numpy as np
 import pytest
+from compare import database, differences
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orderlens.operators import joins, prefix, quantiles
 from orderlens.operators import measures as M
+from orderlens.operators.star import build_star
 from orderlens.plans import library, warehouse
 from orderlens.plans import registry as Q
+from orderlens.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,3 +139,53 @@ def test_sums_over_any_breakdown_equal_the_total(spark):
     assert pareto[-1].cumulative_pct == 100.0
     ytd = Q.QUERIES["me15_running_total"](spark, SF).orderBy("year", "month").collect()
     assert ytd[-1].running_total == float(whole)
+
+
+@pytest.fixture()
+def no_broadcast(spark):
+    """Dimensions as if they were too large to broadcast."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "a2_region_sales", "a3_top_customers", "c2_best_product_by_region", "c4_share_of_industry",
+        "d1_sales_enriched", "d2_monthly_kpis", "e1_region_kpis_all", "cl7_constraint_violations",
+        "me11_sales_ytd", "c6_from_given_tables",
+    ],
+)
+def test_same_rows_without_broadcast_joins(spark, no_broadcast, name):
+    query = Q.QUERIES[name](spark, SF)
+    assert "SortMergeJoin" in plan(query) or "ShuffledHashJoin" in plan(query)
+    con = database(SF)
+    assert differences(query.toArrow(), con.sql(ORACLES[name]).to_arrow_table()) == []
+
+
+def test_star_load_with_a_hot_customer_and_no_broadcast(spark, no_broadcast, tmp_path):
+    keys = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+    }
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    lines = warehouse.lines(spark, SF)
+    hot = lines.limit(1).select("customer_id", "customer", "industry", "segment")
+    hot_rows = lines.drop(*hot.columns).join(F.broadcast(hot)).select(*lines.columns)
+    skew = lines.unionByName(hot_rows)
+    star = build_star(spark, skew, str(tmp_path / "star"))
+    for k in keys:
+        spark.conf.unset(k)
+    assert star.fact_sales.count() == skew.count()
+    top = library.c1_pareto(star).first()
+    assert top.pct_of_total > 50
+
+
+def test_hot_path_has_no_nested_loop(spark):
+    rows = skewed(spark)
+    lookup = rows.groupBy("v").agg(F.count("*").alias("n"))
+    assert "NestedLoop" not in plan(joins.attach_by_key(rows, lookup, ["v"], "n", hot_min_rows=100))
