@@ -20,17 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat lines without engineered columns.
 
-    Customer attributes join at order grain, before the lines, so the line
-    table meets one big join on the order key and one on the part key.  No
-    side is hinted: Spark broadcasts by known size and splits skewed
-    partitions otherwise.
+    Customers join at order grain, before the lines.  Lines meet parts while
+    they are still narrow, and orders last.  Lines and orders grow together, so
+    that join is a sort-merge join whatever the size, and Spark splits skewed
+    partitions of it; customers and parts are broadcast only if their files are
+    small.  Nations and regions are fixed lists of 25 and 5 rows.
     """
-    customer = (
-        table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = (
+        table(spark, sf_dir, "nation")
+        .join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select("n_nationkey", "n_name", "r_name")
+    )
+    orders = (
+        table(spark, sf_dir, "orders")
+        .select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("order_date"))
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
-            "c_custkey",
+            "o_orderkey",
+            "order_date",
+            F.col("c_custkey").alias("customer_id"),
             F.col("r_name").alias("region"),
             F.col("n_name").alias("country"),
             F.concat("r_name", F.lit("-"), (F.col("n_nationkey") % 2).cast("string")).alias("subregion"),
@@ -44,12 +53,6 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .alias("segment"),
         )
     )
-    orders = (
-        table(spark, sf_dir, "orders")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .withColumn("order_date", F.col("o_orderdate").cast("date"))
-        .drop("o_orderdate")
-    )
     # The base margin depends on the product alone, so it is worked out per part.
     brand_number = F.substring("p_brand", 7, 8).cast("int")
     part = table(spark, sf_dir, "part").select(
@@ -60,8 +63,9 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = F.col("l_discount").cast("decimal(4,2)") * 5
     return (
         table(spark, sf_dir, "lineitem")
-        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        .drop("l_partkey", "p_partkey")
+        .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .withColumn("discount", cut.cast("decimal(5,4)"))
         .withColumn(
             "sales", (F.col("l_extendedprice").cast("decimal(12,2)") * (1 - cut)).cast("decimal(12,2)")
@@ -80,7 +84,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "region",
             "subregion",
             "customer",
-            F.col("c_custkey").alias("customer_id"),
+            "customer_id",
             "industry",
             "segment",
             "product",
