@@ -79,7 +79,10 @@ class Slicers:
         if self.years is not None:
             df = df.filter(F.col("year").isin(list(self.years)))
         if self.date_range is not None:
-            df = df.filter(F.col(date_column).between(*self.date_range))
+            lo, hi = self.date_range
+            df = df.filter(F.col(date_column).between(lo, hi))
+            if "year" in df.columns:  # prunes the year partitions
+                df = df.filter(F.col("year").between(lo.year, hi.year))
         return df
 
 

@@ -42,6 +42,17 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
+def inspect_data(df: DataFrame) -> dict[str, DataFrame]:
+    """The whole profile; each part is a lazy frame and changes nothing."""
+    return {
+        "shape": shape(df),
+        "types": column_types(df),
+        "missing": missing_values(df),
+        "duplicates": duplicate_rows(df),
+        "summary": numeric_summary(df),
+    }
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

@@ -14,7 +14,7 @@ from orderlens.schema import DIM_CUSTOMER, DIM_DATE, DIM_GEOGRAPHY, DIM_PRODUCT,
 from orderlens.sources.tables import write_table
 
 GEO = ["country", "city", "region", "subregion"]
-KEY_BUCKETS = 64
+KEY_BUCKETS = 1024
 MAX_KEY_BUCKETS = 4096
 
 

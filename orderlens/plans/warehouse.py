@@ -8,6 +8,7 @@ columns and years it needs.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,7 @@ from orderlens.sources.tables import write_table
 
 # (application, sf_dir, name) -> schemas of the tables stored there.
 _BUILT: dict[tuple[str, str, str], dict[str, T.StructType]] = {}
+_LOCK = threading.RLock()
 
 
 def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -34,8 +36,9 @@ def _once(
     """Build on first use; remember the schemas so that reading back infers nothing."""
     path = folder(spark, sf_dir, name)
     mark = (spark.sparkContext.applicationId, sf_dir, name)
-    if mark not in _BUILT:
-        _BUILT[mark] = build(path)
+    with _LOCK:
+        if mark not in _BUILT:
+            _BUILT[mark] = build(path)
     return path, _BUILT[mark]
 
 

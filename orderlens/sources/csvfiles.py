@@ -42,11 +42,12 @@ class Source:
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through Hadoop, so that it works for any file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(target)
+    """Whether Spark finds the path, on whatever file system it lies."""
+    try:
+        spark.read.text(path)
+    except AnalysisException:
+        return False
+    return True
 
 
 def resolve_source(spark: SparkSession, real: str, sample: str) -> Source:
@@ -68,11 +69,10 @@ def read_text_table(
     ``multi_line`` admits line breaks inside quotes; a file is then one task,
     so leave it off for large files.
     """
-    try:
-        if spark.read.text(path).isEmpty():
-            raise EmptySource(f"{path} is empty")
-    except AnalysisException as exc:
-        raise MissingSource(f"{path} does not exist") from exc
+    if not path_exists(spark, path):
+        raise MissingSource(f"{path} does not exist")
+    if spark.read.text(path).isEmpty():
+        raise EmptySource(f"{path} is empty")
     return (
         spark.read.option("header", True)
         .option("encoding", "UTF-8")

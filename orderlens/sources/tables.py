@@ -32,15 +32,20 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def write_bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
-    """Bucketed and sorted table: later joins and groupings on ``key`` do not shuffle it."""
+def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Bucketed and sorted table: later joins and groupings on ``key`` do not shuffle it.
+
+    Rows of one key share a bucket, so choose a key without hot values.
+    """
     (
         df.write.mode("overwrite")
+        .option("path", path)
         .bucketBy(buckets, key)
         .sortBy(key)
         .format("parquet")
         .saveAsTable(table)
     )
+    return df.sparkSession.table(table)
 
 
 def refresh_by_year(

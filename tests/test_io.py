@@ -153,3 +153,4 @@ def test_profile(spark):
     s = profile.numeric_summary(df).collect()
     assert [tuple(r) for r in s] == [("x", 4.0, 1.25, 0.5, 1.0, 1.0, 1.0, 1.25, 2.0)]
     assert profile.numeric_summary(df, approximate=True).first().p50 == 1.0
+    assert set(profile.inspect_data(df)) == {"shape", "types", "missing", "duplicates", "summary"}

@@ -3,6 +3,7 @@
 import contextlib
 import io
 import random
+from datetime import date
 
 import numpy as np
 import pytest
@@ -16,6 +17,7 @@ from orderlens.operators.star import build_star
 from orderlens.plans import library, warehouse
 from orderlens.plans import registry as Q
 from orderlens.plans.oracles import ORACLES
+from orderlens.sources.tables import write_bucketed
 
 SF = "/root/testdata/sf0.001"
 
@@ -189,3 +191,18 @@ def test_hot_path_has_no_nested_loop(spark):
     rows = skewed(spark)
     lookup = rows.groupBy("v").agg(F.count("*").alias("n"))
     assert "NestedLoop" not in plan(joins.attach_by_key(rows, lookup, ["v"], "n", hot_min_rows=100))
+
+
+def test_bucketed_fact_groups_without_a_shuffle(spark, tmp_path):
+    fact = warehouse.star(spark, SF).fact_sales
+    stored = write_bucketed(fact, "fact_bucketed", str(tmp_path / "fact"), "customer_key", 8)
+    per = stored.groupBy("customer_key").agg(F.sum("sales").alias("s"))
+    assert "Exchange" not in plan(per)
+    assert per.count() == fact.select("customer_key").distinct().count()
+    spark.sql("DROP TABLE fact_bucketed")
+
+
+def test_date_range_prunes_years(spark):
+    first_half = M.Slicers(date_range=(date(1997, 1, 1), date(1997, 6, 30)))
+    text = plan(M.evaluate(warehouse.lines(spark, SF), ["total_sales"], [], first_half))
+    assert "(year" in text[text.index("PartitionFilters") :].splitlines()[0]
