@@ -159,6 +159,15 @@ add("pipeline_clean_lines", f"SELECT {csv_listing(False, 'INT')} FROM feat")
 # -- profile and cleaning ------------------------------------------------------
 
 add("pr1_shape", f"SELECT count(*) AS n_rows, CAST({len(CLEAN_COLUMNS)} AS INT) AS n_columns FROM feat")
+add(
+    "pr2_column_types",
+    "\nUNION ALL ".join(
+        f"""SELECT CAST({i} AS INT) AS position, '{c}' AS "column",
+        replace(replace(lower(min(typeof({c}))), 'varchar', 'string'), 'integer', 'int') AS type,
+        count(*) - count({c}) AS n_missing FROM feat"""
+        for i, c in enumerate(CLEAN_COLUMNS)
+    ),
+)
 add(
     "pr3_missing_values",
     "\nUNION ALL ".join(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orderlens.operators import joins, prefix, quantiles
 from orderlens.operators import measures as M
-from orderlens.operators.star import build_star
+from orderlens.operators.star import build_star, fact_sales
 from orderlens.plans import library, warehouse
 from orderlens.plans import registry as Q
 from orderlens.plans.oracles import ORACLES
@@ -168,20 +168,31 @@ def test_same_rows_without_broadcast_joins(spark, no_broadcast, name):
     assert differences(query.toArrow(), con.sql(ORACLES[name]).to_arrow_table()) == []
 
 
-def test_star_load_with_a_hot_customer_and_no_broadcast(spark, no_broadcast, tmp_path):
+@pytest.fixture()
+def small_partitions(spark):
+    """Skew limits scaled down to test data."""
     keys = {
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
     }
     for k, v in keys.items():
         spark.conf.set(k, v)
+    yield
+    for k in keys:
+        spark.conf.unset(k)
+
+
+def test_star_load_with_a_hot_customer_and_no_broadcast(
+    spark, no_broadcast, small_partitions, tmp_path
+):
     lines = warehouse.lines(spark, SF)
     hot = lines.limit(1).select("customer_id", "customer", "industry", "segment")
     hot_rows = lines.drop(*hot.columns).join(F.broadcast(hot)).select(*lines.columns)
     skew = lines.unionByName(hot_rows)
     star = build_star(spark, skew, str(tmp_path / "star"))
-    for k in keys:
-        spark.conf.unset(k)
+    load = fact_sales(skew, star.dim_customer, star.dim_product, star.dim_geography)
+    assert len(load.collect()) == skew.count()
+    assert "SortMergeJoin(skew=true)" in load._jdf.queryExecution().executedPlan().toString()
     assert star.fact_sales.count() == skew.count()
     top = library.c1_pareto(star).first()
     assert top.pct_of_total > 50
