@@ -89,12 +89,38 @@ def breakdown(df: DataFrame, dimension: str) -> DataFrame:
 
 
 def breakdowns(df: DataFrame, dimensions: list[str]) -> DataFrame:
-    """Several breakdowns as (dimension, key, ...) from one scan and one grouping."""
-    pairs = [F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dimensions]
-    long = df.select(
-        "sales", "profit", "discount_pct", "order_id", F.inline(F.array(*pairs))
-    ).filter(F.col("key").isNotNull())
-    return _finish_breakdown(_breakdown_sums(long.groupBy("dimension", "key")), ["dimension", "key"])
+    """Several breakdowns as (dimension, key, ...) from two scans.
+
+    Sums are taken once per line, by all dimensions together, and folded per
+    dimension afterwards.  Distinct orders cannot be folded that way; they come
+    from a narrow second scan without any measure.
+    """
+    pairs = F.array(
+        *[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("key")) for d in dimensions]
+    )
+    leaves = df.groupBy(*dimensions).agg(
+        F.sum("sales").alias("_s"),
+        F.sum("profit").alias("_p"),
+        F.sum(F.col("discount_pct").cast("decimal(12,1)")).alias("_d"),
+        F.count("discount_pct").alias("_n"),
+    )
+    sums = (
+        leaves.select("_s", "_p", "_d", "_n", F.inline(pairs))
+        .filter(F.col("key").isNotNull())
+        .groupBy("dimension", "key")
+        .agg(
+            A.total_or_zero("_s").alias("_sales"),
+            A.total_or_zero("_p").alias("_profit"),
+            A.ratio(F.sum("_d"), F.sum("_n")).alias("_discount"),
+        )
+    )
+    orders = (
+        df.select("order_id", F.inline(pairs))
+        .filter(F.col("key").isNotNull())
+        .groupBy("dimension", "key")
+        .agg(F.count_distinct("order_id").alias("orders"))
+    )
+    return _finish_breakdown(sums.join(orders, ["dimension", "key"]), ["dimension", "key"])
 
 
 def _top(df: DataFrame, n: int, key: str) -> DataFrame:

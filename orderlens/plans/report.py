@@ -28,8 +28,8 @@ def run_eda(lines: DataFrame, n: int = 10) -> DataFrame:
     """(section, key, metric, value): headline figures, loss share and
     correlation, the four breakdowns, top customers, and losses by product.
 
-    Four scans in all: the breakdowns share one, and the global figures of the
-    second section come from a single aggregate.
+    Six narrow scans in all: the four breakdowns share two, and the global
+    figures of the second section come from a single aggregate.
     """
     headline = kpis.headline_kpis(lines)
     overall = lines.agg(
