@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import pick, ship, stage
+from orderlens.llm.tokens import text_slices
 
 #: Words of a window.
 WINDOW = 13
@@ -170,17 +171,6 @@ class Matcher:
 _SCHEMA = "doc_id long, n_words long, hit_words array<long>, item_ids array<string>"
 
 
-def _groups(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of near GROUP_BYTES, one text at least."""
-    sizes = batch.column("raw").cast(pa.large_binary())
-    upto = np.frombuffer(sizes.buffers()[1], np.int64)[sizes.offset : sizes.offset + len(sizes) + 1]
-    first = 0
-    while first < len(sizes):
-        last = max(first + 1, int(np.searchsorted(upto, upto[first] + GROUP_BYTES, side="right")) - 1)
-        yield batch.slice(first, last - first)
-        first = last
-
-
 def _one_block(docs: DataFrame, items: list[tuple[str, str | None]], size: int) -> DataFrame:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(items)  # under BLOCK_BYTES
@@ -188,7 +178,7 @@ def _one_block(docs: DataFrame, items: list[tuple[str, str | None]], size: int)
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value, size)
         for batch in batches:
-            for group in _groups(batch):
+            for group in text_slices(batch, "raw", GROUP_BYTES):
                 column = group.column("raw").cast(pa.large_binary())
                 raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
                 offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import pick, running_starts, ship, stage
-from orderlens.llm.tokens import encoder
+from orderlens.llm.tokens import encoder, text_slices
 
 LENGTH = 4096
 #: Windows a partition keeps open.
@@ -74,7 +74,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, mos
         encode, packer = encoder(tokenizer).encode, Packer(length, most)
         base = TaskContext.get().partitionId() << 32
         still: list[tuple] = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in text_slices(whole)):
             flat, counts = encode(batch.column("text"))
             upto = np.concatenate([[0], np.cumsum(counts)])
             out: list[tuple] = []

@@ -2,22 +2,28 @@
 
 A tokenizer that splits at white space before it merges gives the same ids for a
 text and for its chunks, as long as no chunk border touches a run of white space.
-Most words of a corpus repeat, so each worker keeps the ids of the chunks it has
-met and asks the library only for new ones.
+Most words of a corpus repeat, so each worker remembers the ids of chunks and of the
+words in them, and gives only new ones to the library: plain Latin words straight to
+its merges, everything else through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import array
 import gc
+import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks a worker remembers; beyond it starts afresh, which costs time only.
-MAX_CHUNKS = 1_000_000
+#: Entries of either half of a memory; the older half goes when the younger is full.
+MEMORY = 200_000
+#: Texts up to this size are encoded together.
+BATCH_BYTES = 8 * 1024 * 1024
 
 #: Unicode's white space, for two regular expression engines.
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -27,6 +33,46 @@ _CHUNK = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+")
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
+_LETTER, _MARK = "A-Za-zÀ-ÖØ-öø-ÿ", r".,;:!?()\"+@=_%&*#$/<>\[\]{}|~^\\-"
+_PLAIN = f"[{_LETTER}0-9{_MARK}]+"
+#: Chunks of plain words, with at most single spaces or line ends before them.
+_SIMPLE = re.compile(f"[ \n]?{_PLAIN}(?:\n{_PLAIN})*")
+#: Pieces that the two kinds of tokenizers make of such a chunk.
+_BYTE_PIECES = re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
+_WORD_PIECES = re.compile(f"[{_LETTER}]+|[0-9]|[{_MARK}]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write for the bytes that don't stand for themselves."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {b: next(others) for b in range(256) if b not in own}
+
+
+class Memory:
+    """A dictionary of bounded size that forgets what was not asked for lately."""
+
+    def __init__(self, size: int = 0):
+        self.size = size or MEMORY
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.young[key] = found
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        self.young[key] = value
+
+    def trim(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 class ChunkEncoder:
     """Ids by one tokenizer file, chunk by chunk.
 
@@ -42,36 +88,50 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-
-    def _codes(self, keys: list[str]) -> np.ndarray:
-        """Places of distinct keys in the memory, after learning the new ones."""
-        places = list(map(self.index.get, keys))
-        new = [k for k, p in zip(keys, places, strict=True) if p is None]
-        if new:
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.chunks, self.words = Memory(), Memory()
+        self.lower, self.pieces = False, None
+        made = json.loads(self.tokenizer.to_str())
+        split = made["pre_tokenizer"] or {}
+        if split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not made["normalizer"]:
+            self.pieces = _BYTE_PIECES
+        elif "Lowercase" in str(made["normalizer"]) and "[\\\\p{N}]|" in str(split):
+            self.lower, self.pieces = True, _WORD_PIECES
+
+    def _word(self, piece: str) -> bytes:
+        """Ids of one piece, from the merges."""
+        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        found = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+        self.words.put(piece, found)
+        return found
+
+    def _ids(self, keys: list[str]) -> list[bytes]:
+        """Ids of distinct keys, after learning the new ones."""
+        get, word = self.chunks.get, self.words.get
+        out = list(map(get, keys))
+        rest: list[int] = []
+        for i, known in enumerate(out):
+            if known is None:
+                key = keys[i]
+                chunk = key[2:] if key.startswith("  ") else " " + key
+                if self.pieces is None or not _SIMPLE.fullmatch(chunk):
+                    rest.append(i)
+                    continue
+                if self.lower:
+                    chunk = chunk.lower()
+                out[i] = found = b"".join([word(p) or self._word(p) for p in self.pieces.findall(chunk)])
+                self.chunks.put(key, found)
+        if rest:
             found = self.tokenizer.encode_batch_fast(
-                [k[2:] if k.startswith("  ") else " " + k for k in new], add_special_tokens=False
+                [keys[i][2:] if keys[i].startswith("  ") else " " + keys[i] for i in rest], add_special_tokens=False
             )
-            ids: list[int] = []
-            ends = []
-            for e in found:
-                ids += e.ids
-                ends.append(len(ids))
-            lengths = np.diff(np.array([0, *ends], np.int64))
-            first = len(self.index)
-            self.index.update(zip(new, range(first, first + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
-            fresh = iter(range(first, first + len(new)))
-            places = [next(fresh) if p is None else p for p in places]
-        return np.array(places, np.int64)
+            for i, e in zip(rest, found, strict=True):
+                out[i] = array.array("I", e.ids).tobytes()
+                self.chunks.put(keys[i], out[i])
+        self.chunks.trim()
+        self.words.trim()
+        return out
 
     def _chunks(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """Keys of all chunks in order, and how many each text has."""
@@ -101,8 +161,6 @@ class ChunkEncoder:
 
         A null text counts as empty and has no ids.
         """
-        if len(self.index) > MAX_CHUNKS:
-            self._clear()
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts, "")
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
@@ -111,15 +169,29 @@ class ChunkEncoder:
         try:
             keys, counts = self._chunks(texts.cast(pa.large_string()))
             coded = keys.dictionary_encode()
-            codes = self._codes(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+            found = self._ids(coded.dictionary.to_pylist())
         finally:
             if collecting:
                 gc.enable()
-        lengths = self.lengths[codes]
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        own = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32)
+        lengths = own[codes]
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(upto[-1]) + np.repeat(self.starts[codes] - upto[:-1], lengths)
+        at = np.arange(upto[-1]) + np.repeat((np.cumsum(own) - own)[codes] - upto[:-1], lengths)
         ends = np.concatenate([[0], np.cumsum(counts)])
-        return self.ids[at], upto[ends[1:]] - upto[ends[:-1]]
+        return flat[at], upto[ends[1:]] - upto[ends[:-1]]
+
+
+def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with near ``size`` bytes of text, one row at least."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + size, side="right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm.common import fresh_path, running_starts, ship
 from orderlens.llm.ranges import by_id
-from orderlens.llm.tokens import encoder
+from orderlens.llm.tokens import encoder, text_slices
 
 #: Bytes of text in a shard, nearly; one task handles one shard at a time.
 SHARD_BYTES = 16 * 1024 * 1024
@@ -194,9 +194,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, sh
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         piece, ids, doc_ids, lengths = 0, [], [], []
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in text_slices(whole)):
             piece = batch.column("piece")[0].as_py()
             flat, counts = encode(batch.column("text"))
             out = np.full(len(flat) + len(counts), end_id, np.uint32)

@@ -25,7 +25,8 @@ def crc(ids):
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_chunks_give_the_ids_of_whole_texts(path, documents):
-    alphabet = [" "] * 6 + list("ab'd \n\t.1é́Σσ\xa0\x1c<|> \x85")
+    assert tokens.ChunkEncoder(path).pieces is not None
+    alphabet = [" "] * 6 + list("\n1-AZéÀßªºµ×÷'") + list("ab'd \n\t.1é́Σσ\xa0\x1c<|> \x85")
     rng = random.Random(3)
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
     texts += ["", " ", "  a", "don't  '' 's<|endoftext|> x", "Σας ΟΔΟΣ", "x \n", *documents.text[:100]]
@@ -35,10 +36,10 @@ def test_chunks_give_the_ids_of_whole_texts(path, documents):
     assert got == plain(path, texts)
 
 
-def test_chunk_memory_starts_afresh(monkeypatch):
-    monkeypatch.setattr(tokens, "MAX_CHUNKS", 3)
+def test_memory_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMORY", 3)
     enc = tokens.ChunkEncoder(BYTE)
-    for text in ("a b c d e", "e d f", "g h", ""):
+    for text in ("a b c d e", "e d f a", "g h", "", "a b Ünïcode +1 e", "a"):
         assert enc.encode([text])[0].tolist() == plain(BYTE, [text])[0]
 
 
