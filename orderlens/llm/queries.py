@@ -6,10 +6,40 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, packing, sharding, wavelet
+from orderlens.llm import decontaminate, fingerprint, line_dedup, near_dedup, packing, sharding, toxicity, wavelet
 from orderlens.llm.common import table, utf8_crc32
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op2_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    found = near_dedup.cluster(table(spark, sf_dir, "documents"), 4)
+    return found.select(
+        "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that repeat an earlier one, nearly or fully."""
+    return line_dedup.remove_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written as wavelet matrices and read back."""
     docs = wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,6 +83,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_odd_sketches": op2_odd_sketches,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_weighted_sampling": op6_weighted_sampling,
     "op3_wavelet_shards": op3_wavelet_shards,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_bounded_packing": op9_bounded_packing,

@@ -159,28 +159,48 @@ def find_splits(rows: DataFrame, pieces: int, tolerance: float = 0.005, unit: in
     )
 
 
-def by_id(docs: DataFrame, piece_bytes: int) -> tuple[DataFrame, int]:
+def by_id(docs: DataFrame, piece_bytes: int, with_next: bool = False) -> tuple[DataFrame, int]:
     """``docs`` (doc_id, text) with ``piece``, dealt so that pieces hold ascending ids and near equal bytes.
 
     Each piece is one partition, sorted by id; a null id comes first, rows of one id
-    by their text.  Returns the frame and the number of pieces.
+    by their text.  With ``with_next`` a piece also gets, marked ``ahead`` and last,
+    the first rows of the next piece that has any (of the first, after the last).
+    Returns the frame and the number of pieces.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = pick(docs, "doc_id", "text")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))
-    sizes = stage(
-        docs.select(key.alias("key"), F.lit(0).cast("long").alias("id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("weight")),
-        "sizes",
-    )
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    sizes = docs.select(key.alias("key"), F.lit(0).cast("long").alias("id"), size.cast("long").alias("weight"))
+    sizes = stage(sizes, "sizes")
     total = sizes.agg(F.sum("weight")).first()[0] or 0
     pieces = max(1, -(-total // piece_bytes))
     splits = find_splits(sizes, pieces, 0.05)
+    cuts = splits.keys
 
     @F.pandas_udf(T.IntegerType())
     def place(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(splits.keys, k.to_numpy(), side="right").astype(np.int32))
-
-    dealt = docs.withColumn("piece", place(key)) if pieces > 1 else docs.withColumn("piece", F.lit(0))
-    dealt = dealt.repartitionById(pieces, "piece").sortWithinPartitions("piece", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt, pieces
+        return pd.Series(np.searchsorted(cuts, k.to_numpy(), side="right").astype(np.int32))
+
+    dealt = docs.withColumn("key", key).withColumn("piece", place("key"))
+    order = ["piece", F.col("doc_id").asc_nulls_first(), "text"]
+    if with_next:
+        heads = sizes.groupBy(place("key").alias("piece")).agg(F.min("key").alias("key")).orderBy("piece").collect()
+        firsts = np.array([h["key"] for h in heads], np.int64)  # one a piece, ascending
+        before = np.array([h["piece"] for h in [*heads[-1:], *heads[:-1]]], np.int32)
+
+        @F.pandas_udf(T.IntegerType())
+        def also(k: pd.Series) -> pd.Series:
+            at = np.searchsorted(firsts, k.to_numpy())
+            at = np.minimum(at, len(firsts) - 1)
+            return pd.Series(np.where(firsts[at] == k.to_numpy(), before[at], -1).astype(np.int32))
+
+        own = F.struct("piece", F.lit(False).alias("ahead"))
+        ahead = F.struct(F.col("also").alias("piece"), F.lit(True).alias("ahead"))
+        both = F.when(F.col("also") >= 0, F.array(own, ahead)).otherwise(F.array(own))
+        dealt = dealt.withColumn("also", also("key")).select("doc_id", "text", F.explode(both).alias("to"))
+        dealt = dealt.select("doc_id", "text", "to.piece", "to.ahead")
+        order.insert(1, "ahead")
+    dealt = dealt.drop("key")
+    return dealt.repartitionById(pieces, "piece").sortWithinPartitions(*order), pieces
