@@ -5,11 +5,11 @@
    a bucket.  All samples are also folded into an odd sketch: a bitmap whose bits say
    whether an odd number of samples fell on them.  The bits in which two sketches
    differ estimate how many samples differ, precisely where similarity is high.
-3. In every bucket each class is compared with the bucket's least one: sketches first,
-   then full sets.  Links found make components.
+3. In every bucket each class is compared with the one of the least document: sketches
+   first, then full sets.  Links found make components.
 4. Buckets that still hold several components are searched for pairs of different
-   components whose sketches are near, the nearest first, round after round, until no
-   such pair is untested.  So a group of copies costs one comparison a class, and a
+   components whose sketches are near; each component names its nearest ones first, and
+   more in each round, until no such pair is untested.  So a group of copies costs one comparison a class, and a
    link that is not with the least class is not lost.  Sketches of large buckets are
    compared in blocks.
 
@@ -41,8 +41,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Sketches count as near from this estimate on, six deviations below the least linked similarity.
 NEAR = 0.55
-#: Sketches of a bucket that are compared at once, and the pairs a class names in one round.
-BLOCK, NEAREST = 2048, 8
+#: Sketches of a bucket that are compared at once, and the pairs a component names in the first round.
+BLOCK, NEAREST = 2048, 4
 
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALTS = mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
@@ -144,17 +144,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(check, "a binary, b binary")
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _POP[a ^ b].sum(axis=-1, dtype=np.int32)
-
-
 def _star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Each bucket's least class with its other classes, where sketches are near."""
-    pivots = members.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = members.join(pivots.select("key", "a"), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    pivots = members.groupBy("key").agg(least.alias("least"), F.count("*").alias("n")).where("n > 1")
+    stars = members.join(pivots.select("key", F.col("least.node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
     two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
     limit = most_differing()
@@ -165,14 +159,17 @@ def _star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
                 np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) if len(batch) else np.zeros((0, 1), np.uint8)
                 for c in ("left", "right")
             )
-            yield batch.select(["a", "b"]).filter(pa.array(_differing(left, right) <= limit))
+            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(left ^ right).sum(axis=1) <= limit))
 
     joined = stars.join(one, "a").join(two, "b").select("a", "b", "left", "right")
     return joined.mapInArrow(near, "a binary, b binary")
 
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, tested: DataFrame) -> DataFrame:
-    """Near pairs of different components in the buckets that hold several, not tested before."""
+def _cross_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, take: int) -> DataFrame:
+    """Near pairs of different components in the buckets that hold several, the nearest of each component.
+
+    A row of nulls says that some component has more.
+    """
     root = F.coalesce("root", "node").alias("root")
     known = members.join(roots, "node", "left").select("key", "node", root)
     mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
@@ -193,25 +190,21 @@ def _cross_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, teste
             rows = pa.concat_tables([left, rows]) if left is not None else rows
             ends = _group_ends(rows)
             start = 0
-            out: list[tuple[bytes, bytes, int]] = []
+            out: list[tuple[bytes | None, bytes | None]] = []
             for end in ends[:-1]:
-                out += _near_in_cell(rows.slice(start, end - start), limit)
+                out += _near_in_cell(rows.slice(start, end - start), limit, take)
                 start = end
             left = rows.slice(start).combine_chunks()
             yield _pairs(out)
         if left is not None:
-            yield _pairs(_near_in_cell(left, limit))
+            yield _pairs(_near_in_cell(left, limit, take))
 
-    found = cells.mapInArrow(search, "a binary, b binary, apart int")
-    found = found.groupBy("a", "b").agg(F.min("apart").alias("apart"))
-    return found.join(tested, ["a", "b"], "left_anti").select("a", "b")
+    return cells.mapInArrow(search, "a binary, b binary").distinct()
 
 
-def _pairs(rows: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-    a, b, d = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(d, pa.int32())], ["a", "b", "apart"]
-    )
+def _pairs(rows: list[tuple[bytes | None, bytes | None]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _group_ends(rows: pa.Table) -> list[int]:
@@ -222,28 +215,40 @@ def _group_ends(rows: pa.Table) -> list[int]:
     return [*np.flatnonzero(change).tolist(), len(rows)]
 
 
-def _near_in_cell(cell: pa.Table, limit: int) -> list[tuple[bytes, bytes, int]]:
+def _near_in_cell(cell: pa.Table, limit: int, take: int) -> list[tuple[bytes | None, bytes | None]]:
     if len(cell) < 2:
         return []
     i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
     block = cell.column("block").to_numpy()
     nodes, roots = cell.column("node").to_pylist(), cell.column("root").to_pylist()
-    sketches = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint8).reshape(len(nodes), -1)
     number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    if len(number) < 2:
+        return []
+    sketches = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
     group = np.array([number[r] for r in roots])
     first = np.flatnonzero(block == i)
     second = first if i == j else np.flatnonzero(block == j)
-    out = []
+    lefts, rights, bits = [], [], []
     for a in first.tolist():
         others = second[(group[second] != group[a]) & ((second > a) | (i != j))]
-        if not len(others):
-            continue
-        apart = _differing(sketches[a], sketches[others])
+        apart = np.bitwise_count(sketches[a] ^ sketches[others]).sum(axis=1, dtype=np.int32)
         near = np.flatnonzero(apart <= limit)
-        for k in near.tolist():
-            x, y = nodes[a], nodes[others[k]]
-            out.append((min(x, y), max(x, y), int(apart[k])))
-    return out
+        lefts.append(np.full(len(near), a))
+        rights.append(others[near])
+        bits.append(apart[near])
+    left, right, apart = np.concatenate(lefts), np.concatenate(rights), np.concatenate(bits)
+    # a pair is named if it is among the nearest of either component
+    named = np.zeros(len(left), bool)
+    more = False
+    for own in (group[left], group[right]):
+        order = np.lexsort((apart, own))
+        starts = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]])) if len(own) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(own)))
+        rank = np.arange(len(own)) - np.repeat(starts, lengths)
+        named[order[rank < take]] = True
+        more |= bool((lengths > take).any())
+    pairs = [(min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in zip(left[named].tolist(), right[named].tolist(), strict=True)]
+    return pairs + [(None, None)] * (more and not named.all())
 
 
 def cluster(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
@@ -260,25 +265,27 @@ def cluster(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     classes = stage(classes, "classes")
-    members = classes.select("node", F.explode("bands").alias("key"))
+    members = classes.select("node", "doc_id", F.explode("bands").alias("key"))
     pairs = stage(_star_pairs(members, classes), "pairs")
-    links, tested = None, pairs
-    sets = None
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links, tested, take = None, ordered, NEAREST
     while True:
-        if sets is None or pairs.head(1):
+        if links is None or pairs.head(1):
             needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
             sets = _needed_sets(docs, classes, needed, size)
             found = stage(_verified(pairs, sets, percent), "links")
             links = found if links is None else links.unionAll(found)
         roots = stage(connected(links), "roots")
-        pairs = stage(_cross_pairs(members, classes, roots, tested), "pairs")
-        if not pairs.head(1):
+        named = stage(_cross_pairs(members, classes, roots, take), "named")
+        pairs = named.where("a is not null").join(tested, ["a", "b"], "left_anti").select("a", "b")
+        pairs = stage(pairs, "pairs")
+        if not pairs.head(1) and not named.where("a is null").head(1):
             break
-        tested = tested.unionAll(pairs)
-    named = classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
-    return signed.join(named, "node", "left").select(
+        tested, take = tested.unionAll(pairs), take * 8
+    labels = classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = labels.join(least, "root").select("node", "component_id")
+    return signed.join(labels, "node", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
