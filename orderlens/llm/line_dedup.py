@@ -39,7 +39,7 @@ PERCENT = 80
 #: Cells in which words are counted; the table that tasks get has this size always.
 CELLS = 1 << 20
 #: Groups up to this size pair up at once; lines in larger ones name so many earlier lines a round, growing.
-CROWD, NEAREST = 64, 8
+CROWD, NEAREST = 512, 8
 #: Most bytes of the filter that says which documents hold lines to verify.
 FILTER_BYTES = 32 * 1024 * 1024
 
@@ -65,21 +65,51 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(44)).astype(np.int64)
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words by cell, over all lines."""
+_SCAN = "cell int, n long, class long, doc long, row long, line int"
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in (part for whole in batches for part in text_slices(whole)):
-            _, _, codes, names, hashes = _lines(batch.column("text"))
-            if names:
-                total += np.bincount(_cell(hashes), np.bincount(codes, minlength=len(names)), CELLS).astype(np.int64)
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["cell", "n"])
 
-    counts = docs.select("text").mapInArrow(partial, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+def _distinct(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Order of the distinct pairs by row and key."""
+    order = np.lexsort((keys, rows))
+    r, k = rows[order], keys[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
+    return order[new]
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """First scan: the class and place of each line, and at the end the words of each cell."""
+    total = np.zeros(CELLS, np.int64)
+    none = np.zeros(0, np.int64)
+
+    def batch_of(cell, n, name, doc, row, line) -> pa.RecordBatch:
+        cells = np.arange(len(cell) + len(name)) < len(cell)
+        columns = []
+        for c, of_cells, kind in ((cell, True, np.int32), (n, True, np.int64), (name, False, np.int64), (doc, False, np.int64), (row, False, np.int64), (line, False, np.int32)):
+            pad = np.zeros(len(name) if of_cells else len(cell), kind)
+            parts = [c.astype(kind), pad] if of_cells else [pad, c.astype(kind)]
+            columns.append(pa.array(np.concatenate(parts), mask=~cells if of_cells else cells))
+        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCAN.split(", ")])
+
+    for batch in (part for whole in batches for part in text_slices(whole)):
+        per_text, rows, codes, names, hashes = _lines(batch.column("text"))
+        if not names:
+            continue
+        own = hashes[codes]
+        keep = _distinct(rows, own)
+        sizes = np.bincount(rows[keep], minlength=int(per_text.sum()))
+        total += np.bincount(_cell(hashes), np.bincount(codes[keep], minlength=len(names)), CELLS).astype(np.int64)
+        name = _class(own[keep], sizes)
+        doc, row, line = _number(batch, per_text)
+        full = np.flatnonzero(sizes)
+        yield batch_of(none, none, name[full], doc[full], row[full], line[full])
+    full = np.flatnonzero(total)
+    yield batch_of(full, total[full], none, none, none, none)
+
+
+def _cell_counts(scanned: DataFrame) -> np.ndarray:
+    got = scanned.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
     out = np.zeros(CELLS, np.int64)
-    got = counts.toArrow()
     out[got["cell"].to_numpy()] = got["n"].to_numpy()
     return out
 
@@ -90,16 +120,14 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
     return np.minimum(order, np.uint64(2**24 - 1)) << np.uint64(40)
 
 
-def line_sets(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lines per text, and each line's distinct words as numbers that sort by rarity: sizes and numbers."""
+def line_sets(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines per text; sizes, distinct words as numbers that sort by rarity, and classes of the lines."""
     per_text, rows, codes, _, hashes = _lines(texts)
-    keys = (ranks[_cell(hashes)] | (hashes & np.uint64(2**40 - 1)))[codes]
-    order = np.lexsort((keys, rows))
-    rows, keys = rows[order], keys[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])
-    rows, keys = rows[new], keys[new]
-    return per_text, np.bincount(rows, minlength=int(per_text.sum())), keys
+    keys = ranks[_cell(hashes)] | (hashes & np.uint64(2**40 - 1)) if len(hashes) else hashes
+    keep = _distinct(rows, keys[codes])
+    rows, codes = rows[keep], codes[keep]
+    sizes = np.bincount(rows, minlength=int(per_text.sum()))
+    return per_text, sizes, keys[codes], _class(hashes[codes], sizes)
 
 
 def least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -126,8 +154,7 @@ def _postings(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = sent.value
         for batch in (part for whole in batches for part in text_slices(whole)):
-            per_text, sizes, keys = line_sets(batch.column("text"), ranks)
-            name = _class(keys, sizes)
+            per_text, sizes, keys, name = line_sets(batch.column("text"), ranks)
             doc, row, line = _number(batch, per_text)
             # lines of under four words are similar to equal ones only; of equal ones the first is enough
             order = np.lexsort((line, row, doc, name))
@@ -158,119 +185,143 @@ def _near(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.nd
     sa, sb = x["size"][a], x["size"][b]
     need = least_common(sa, sb)
     room = np.minimum(sa - x["at"][a], sb - x["at"][b])
-    apart = np.bitwise_count(x["bits1"][a] ^ x["bits1"][b]).astype(np.int64) + np.bitwise_count(x["bits2"][a] ^ x["bits2"][b])
-    return (room >= need) & (apart <= sa + sb - 2 * need) & (x["class"][a] != x["class"][b]), apart
-
-
-_KEYS = ("class", "doc", "row", "line", "size", "at", "bits1", "bits2")
+    apart = np.bitwise_count(x["bits1"][a] ^ x["bits1"][b]).astype(np.int16) + np.bitwise_count(x["bits2"][a] ^ x["bits2"][b])
+    return (room >= need) & (apart <= sa + sb - 2 * need), apart
+
+
+def _after(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a's first line comes after b's."""
+    more = (x["doc"][a] > x["doc"][b]) | ((x["doc"][a] == x["doc"][b]) & (x["row"][a] > x["row"][b]))
+    same = (x["doc"][a] == x["doc"][b]) & (x["row"][a] == x["row"][b])
+    return more | (same & (x["line"][a] > x["line"][b]))
+
+
+def _small_groups(x: dict[str, np.ndarray], place: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All pairs (later, earlier, differing bits) that may be similar; places stand by word and size."""
+    later, earlier, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int16)]
+    d = 0
+    while len(place):
+        d += 1
+        live = place + d < ends
+        place, ends = place[live], ends[live]
+        live = 100 * x["size"][place] >= PERCENT * x["size"][place + d]
+        place, ends = place[live], ends[live]
+        good, apart = _near(x, place, place + d)
+        a, b = place[good], place[good] + d
+        swap = _after(x, a, b)
+        later.append(np.where(swap, a, b))
+        earlier.append(np.where(swap, b, a))
+        bits.append(apart[good])
+    return np.concatenate(later), np.concatenate(earlier), np.concatenate(bits)
+
+
+def _large_group(x: dict[str, np.ndarray], start: int, end: int, skip: int, take: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """The same for one large group, some rows against all at a time; only the pairs that _nearest may keep."""
+    for low in range(start, end, 128):
+        rows = np.arange(low, min(low + 128, end))
+        rows = rows[x["wanted"][rows]]
+        if not len(rows):
+            continue
+        a, b = (v.ravel() for v in np.broadcast_arrays(rows[:, None], np.arange(start, end)[None, :]))
+        good, apart = _near(x, a, b)
+        a, b, apart = a[good], b[good], apart[good]
+        keep = (a != b) & _after(x, a, b)
+        yield _nearest(a[keep], b[keep], apart[keep], skip, take)
 
 
-def _first_of_classes(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Rows in the order of words and of lines, one per word and class."""
-    order = np.lexsort((x["line"], x["row"], x["doc"], x["class"], x["word"]))
-    x = {k: v[order] for k, v in x.items()}
-    new = np.ones(len(order), bool)
-    new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["class"][1:] != x["class"][:-1])
-    x = {k: v[new] for k, v in x.items()}
-    order = np.lexsort((x["line"], x["row"], x["doc"], x["word"]))
-    return {k: v[order] for k, v in x.items()}
-
-
-def _small_groups(x: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (later, earlier) that may be similar in these groups."""
-    place = np.concatenate([np.zeros(0, np.int64), np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)])
-    left = np.repeat(starts + lengths, lengths) - place  # rows of the group from here on
-    for d in range(1, int(lengths.max(initial=1))):
-        live = left > d
-        place, left = place[live], left[live]
-        if not len(place):
-            return
-        good, _ = _near(x, place + d, place)
-        yield place[good] + d, place[good]
-
-
-def _large_group(x: dict[str, np.ndarray], start: int, end: int, wanted: np.ndarray, skip: int, take: int) -> Iterator[tuple]:
-    """Pairs (later, earlier) of one group: for wanted lines those from ``skip`` on by distance; and if more are left."""
-    for a in range(start, end):
-        if not wanted[a]:
-            continue
-        earlier = np.arange(start, a)
-        good, apart = _near(x, np.full(len(earlier), a), earlier)
-        found = earlier[good]
-        if len(found) > skip:
-            found = found[np.argsort(apart[good], kind="stable")]
-            yield np.full(len(found[skip : skip + take]), a), found[skip : skip + take], len(found) > skip + take
+def _nearest(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, skip: int, take: int) -> tuple[np.ndarray, ...]:
+    """Of each later line's pairs those from ``skip`` on by distance, and the lines that have still more."""
+    order = np.lexsort((earlier, apart, later))
+    later, earlier = later[order], earlier[order]
+    starts = np.flatnonzero(np.concatenate([[True], later[1:] != later[:-1]])) if len(later) else np.zeros(0, np.int64)
+    lengths = np.diff(np.append(starts, len(later)))
+    rank = np.arange(len(later)) - np.repeat(starts, lengths)
+    chosen = (rank >= skip) & (rank < skip + take)
+    return later[chosen], earlier[chosen], later[starts[lengths > skip + take]]
 
 
-_PAIRS = "later long, earlier long, " + _POSTING
+_PAIRS = "later long, earlier long, later_doc long, earlier_doc long, " + _POSTING
+_NAMES = [c.split()[0] for c in _POSTING.split(", ")]
 
 
 def _pairs(skip: int, take: int, first: bool):
     """Pairs of classes from sorted postings; the rows of crowded groups follow when more pairs are left in them."""
 
     def batch_of(x: dict[str, np.ndarray], later: np.ndarray, earlier: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
-        names = [c.split()[0] for c in _POSTING.split(", ")]
         n, m = len(later), len(again)
         blank = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
-        pair = [np.concatenate([x["class"][v], np.zeros(m, np.int64)]) for v in (later, earlier)]
-        out = [pa.array(p, mask=blank) for p in pair]
-        for k in names:
-            out.append(pa.array(np.concatenate([np.zeros(n, x[k].dtype), x[k][again]]), mask=~blank))
-        return pa.RecordBatch.from_arrays(out, ["later", "earlier", *names])
+        zeros = np.zeros(m, np.int64)
+        out = [pa.array(np.concatenate([x[k][v], zeros]), mask=blank) for k in ("class", "doc") for v in (later, earlier)]
+        for k in _NAMES:
+            column = x[k].view(np.int64) if x[k].dtype == np.uint64 else x[k]
+            out.append(pa.array(np.concatenate([np.zeros(n, column.dtype), column[again]]), mask=~blank))
+        return pa.RecordBatch.from_arrays(out, ["later", "earlier", "later_doc", "earlier_doc", *_NAMES])
 
     def groups(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        wanted = x.pop("wanted").astype(bool) if "wanted" in x else np.ones(len(x["word"]), bool)
-        if first:
-            x = _first_of_classes(x)
-        else:
-            order = np.lexsort((x["line"], x["row"], x["doc"], x["word"]))
-            x, wanted = {k: v[order] for k, v in x.items()}, wanted[order]
-        starts = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]])) if len(x["word"]) else np.zeros(0, np.int64)
+        new = np.ones(len(x["word"]), bool)  # equal lines follow each other, the first one first
+        new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["class"][1:] != x["class"][:-1])
+        x = {k: v[new] for k, v in x.items()}
+        x |= {k: x[k].view(np.uint64) for k in ("bits1", "bits2")}
+        starts = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]]))
         lengths = np.diff(np.append(starts, len(x["word"])))
-        small = (lengths > 1) & (lengths <= CROWD)
-        later, earlier, again = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        later, earlier, again = [], [], []
         if first:
-            for a, b in _small_groups(x, starts[small], lengths[small]):
-                later.append(a)
-                earlier.append(b)
-        for s, n in zip(starts[lengths > CROWD].tolist(), lengths[lengths > CROWD].tolist(), strict=True):
-            crowded = False
-            for a, b, more in _large_group(x, s, s + n, wanted, skip, take):
+            small = np.repeat((lengths > 1) & (lengths <= CROWD), lengths)
+            a, b, more = _nearest(*_small_groups(x, np.flatnonzero(small), np.repeat(starts + lengths, lengths)[small]), skip, take)
+            later.append(a)
+            earlier.append(b)
+            crowds = [np.unique(np.searchsorted(starts, more, side="right") - 1)]
+        else:
+            crowds = [np.zeros(0, np.int64)]
+        large = np.flatnonzero(lengths > (CROWD if first else 1))
+        for g in large.tolist():
+            for a, b, more in _large_group(x, starts[g], starts[g] + lengths[g], skip, take):
                 later.append(a)
                 earlier.append(b)
-                crowded |= more
-            if crowded and first:
-                again.append(np.arange(s, s + n))
-        return batch_of(x, np.concatenate(later), np.concatenate(earlier), np.concatenate(again))
+                if len(more):
+                    crowds.append(np.array([g]))
+        crowds = np.unique(np.concatenate(crowds))
+        again = np.concatenate([np.zeros(0, np.int64), *(np.arange(starts[g], starts[g] + lengths[g]) for g in crowds.tolist())])
+        none = np.zeros(0, np.int64)
+        return batch_of(x, np.concatenate([none, *later]), np.concatenate([none, *earlier]), again)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
-            if held is not None:
-                x = {k: np.concatenate([held[k], v]) for k, v in x.items()}
-            if not len(x["word"]):
+            x.setdefault("wanted", np.ones(len(batch), bool))
+            if not len(batch):
                 continue
             cut = int(np.searchsorted(x["word"], x["word"][-1], side="left"))  # the last word may go on
-            held = {k: v[cut:] for k, v in x.items()}
-            if cut:
-                yield groups({k: v[:cut] for k, v in x.items()})
-        if held is not None:
-            yield groups(held)
+            if cut == 0 and held and held[-1]["word"][-1] == x["word"][-1]:
+                held.append(x)
+                continue
+            whole = {k: np.concatenate([*(h[k] for h in held), v[:cut]]) for k, v in x.items()}
+            if len(whole["word"]):
+                yield groups(whole)
+            held = [{k: v[cut:] for k, v in x.items()}]
+        if held:
+            yield groups({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
     return run
 
 
-def _sets(sent_ranks, sent_filter):
+def _by_word(postings: DataFrame) -> DataFrame:
+    return postings.repartition("word").sortWithinPartitions("word", "size", "class", "doc", "row", "line")
+
+
+def _sets(sent_ranks, sent_docs, sent_classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in text_slices(whole)):
-            per_text, sizes, keys = line_sets(batch.column("text"), sent_ranks.value)
-            name = _class(keys, sizes)
-            keep = np.unique(name, return_index=True)[1]
-            keep = keep[sent_filter.value.has(name[keep]) & (sizes[keep] >= 4)]
-            ends = np.cumsum(sizes)
-            sets = [keys[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(sets, pa.binary())], ["class", "words"])
+        for batch in batches:
+            ids = pc.fill_null(batch.column("doc_id"), _LOW).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(sent_docs.value.has(ids)))
+            for part in text_slices(batch):
+                _, sizes, keys, name = line_sets(part.column("text"), sent_ranks.value)
+                keep = np.unique(name, return_index=True)[1]
+                keep = keep[sent_classes.value.has(name[keep]) & (sizes[keep] >= 4)]
+                ends = np.cumsum(sizes)
+                sets = [keys[ends[i] - sizes[i] : ends[i]].tobytes() for i in keep.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(name[keep]), pa.array(sets, pa.binary())], ["class", "words"])
 
     return run
 
@@ -327,53 +378,41 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "later").join(two, "earlier").select("later", "left", "right").mapInArrow(check, "later long").distinct()
 
 
-def similar_to_earlier(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
+def similar_to_earlier(docs: DataFrame, ranks) -> DataFrame:
     """Classes (equal sets) that have an earlier similar line of another class."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(ranks)  # CELLS numbers
-    postings = docs.mapInArrow(_postings(sent), _POSTING).repartition("word").sortWithinPartitions("word")
-    found = stage(postings.mapInArrow(_pairs(0, NEAREST, True), _PAIRS), "pairs")
-    crowded = found.where("later is null").drop("later", "earlier")
-    pairs = stage(found.where("later is not null").select("later", "earlier").distinct(), "candidates")
+    columns = ["later", "earlier", "later_doc", "earlier_doc"]
+    postings = docs.mapInArrow(_postings(ranks), _POSTING)
+    found = stage(_by_word(postings).mapInArrow(_pairs(0, NEAREST, True), _PAIRS), "pairs")
+    crowded = found.where("later is null").drop(*columns)
+    pairs = stage(found.where("later is not null").select(*columns).distinct(), "candidates")
     matched, skip, take = None, 0, NEAREST
     while True:
-        classes = pairs.select(F.col("later").alias("class")).unionAll(pairs.select(F.col("earlier").alias("class"))).distinct()
-        named = spark.sparkContext.broadcast(_filter(classes))  # FILTER_BYTES at most
-        sets = docs.mapInArrow(_sets(sent, named), "class long, words binary").dropDuplicates(["class"])
+        sides = [pairs.select(F.col(s).alias("class"), F.col(f"{s}_doc").alias("doc")) for s in ("later", "earlier")]
+        sides = sides[0].unionAll(sides[1]).distinct()
+        classes = spark.sparkContext.broadcast(_filter(sides.select("class").distinct()))  # FILTER_BYTES at most
+        holding = spark.sparkContext.broadcast(_filter(sides.select("doc").distinct()))
+        sets = docs.mapInArrow(_sets(ranks, holding, classes), "class long, words binary").dropDuplicates(["class"])
         good = stage(_verified(pairs, stage(sets, "sets")), "matched")
         matched = good if matched is None else matched.unionAll(good)
-        skip, take = skip + take, take * 4
+        skip, take = skip + take, take * 8
         known = matched.select(F.col("later").alias("class")).distinct().withColumn("done", F.lit(True))
         left = crowded.join(known, "class", "left").withColumn("wanted", F.col("done").isNull()).drop("done")
-        left = left.repartition("word").sortWithinPartitions("word")
-        more = left.mapInArrow(_pairs(skip, take, False), _PAIRS).where("later is not null")
-        pairs = stage(more.select("later", "earlier").distinct(), "candidates")
+        more = _by_word(left).mapInArrow(_pairs(skip, take, False), _PAIRS).where("later is not null")
+        pairs = stage(more.select(*columns).distinct(), "candidates")
         if not pairs.head(1):
             return matched.select(F.col("later").alias("class")).distinct()
 
 
-def _occurrences(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in text_slices(whole)):
-            per_text, sizes, keys = line_sets(batch.column("text"), sent.value)
-            name = _class(keys, sizes)
-            doc, row, line = _number(batch, per_text)
-            full = np.flatnonzero(sizes > 0)
-            columns = [name[full], doc[full], row[full], line[full].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["class", "doc", "row", "line"])
-
-    return run
-
-
 def remove_lines(docs: DataFrame) -> DataFrame:
     """All rows: doc_id, row, text without the removed lines, n_lines, n_removed."""
     spark = docs.sparkSession
     ship(spark)
     docs = pick(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
-    ranks = _ranks(count_words(docs))
+    scanned = stage(docs.mapInArrow(_scan, _SCAN), "lines")
+    ranks = spark.sparkContext.broadcast(_ranks(_cell_counts(scanned)))  # CELLS numbers
     similar = similar_to_earlier(docs, ranks)
-    sent = spark.sparkContext.broadcast(ranks)
-    lines = stage(docs.mapInArrow(_occurrences(sent), "class long, doc long, row long, line int"), "lines")
+    lines = scanned.where("cell is null")
     place = F.struct("doc", "row", "line")
     firsts = lines.groupBy("class").agg(F.min(place).alias("first"))
     firsts = firsts.join(similar.withColumn("similar", F.lit(True)), "class", "left")
