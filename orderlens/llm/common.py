@@ -25,6 +25,26 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*(F.col(f"c{df.columns.index(n)}").alias(n) for n in names))
 
 
+def with_rest(df: DataFrame) -> DataFrame:
+    """doc_id and text, and all columns by their places in one struct."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    own = [F.col(f"c{df.columns.index(n)}").alias(n) for n in ("doc_id", "text")]
+    return plain.select(*own, F.struct(*plain.columns).alias("rest"))
+
+
+def without_rest(df: DataFrame, columns: list[str], new_text: bool = False) -> DataFrame:
+    """The columns of before; with ``new_text`` the text and its length follow ``text``."""
+    out = [F.col(f"rest.c{i}").alias(f"c{i}") for i in range(len(columns))]
+    if new_text:
+        changed = ~F.col("text").eqNullSafe(F.col(f"rest.c{columns.index('text')}"))
+        out[columns.index("text")] = F.col("text").alias(f"c{columns.index('text')}")
+        if "n_chars" in columns:
+            i = columns.index("n_chars")
+            length = F.char_length("text").cast(df.schema["rest"].dataType[f"c{i}"].dataType)
+            out[i] = F.when(changed, length).otherwise(F.col(f"rest.c{i}")).alias(f"c{i}")
+    return df.select(*out).toDF(*columns)
+
+
 def ship(spark: SparkSession) -> None:
     """Let local Python workers find this package; clusters get it with ``--py-files``."""
     root = str(Path(__file__).resolve().parents[2])

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import pick, ship, stage
+from orderlens.llm.common import ship, stage, with_rest
 from orderlens.llm.shingles import mix, per_row, plain_text
 from orderlens.llm.tokens import text_slices
 
@@ -405,21 +405,21 @@ def similar_to_earlier(docs: DataFrame, ranks) -> DataFrame:
 
 
 def remove_lines(docs: DataFrame) -> DataFrame:
-    """All rows: doc_id, row, text without the removed lines, n_lines, n_removed."""
+    """All rows: doc_id, text without the removed lines, n_lines, n_removed; and ``rest``, the columns given."""
     spark = docs.sparkSession
     ship(spark)
-    docs = pick(docs, "doc_id", "text").withColumn("row", F.xxhash64("text"))
+    given = with_rest(docs).withColumn("row", F.xxhash64("text"))
+    docs = given.select("doc_id", "text", "row")
     scanned = stage(docs.mapInArrow(_scan, _SCAN), "lines")
     ranks = spark.sparkContext.broadcast(_ranks(_cell_counts(scanned)))  # CELLS numbers
     similar = similar_to_earlier(docs, ranks)
-    lines = scanned.where("cell is null")
     place = F.struct("doc", "row", "line")
-    firsts = lines.groupBy("class").agg(F.min(place).alias("first"))
-    firsts = firsts.join(similar.withColumn("similar", F.lit(True)), "class", "left")
-    stay = firsts.where("similar is null").select("first.*")
+    firsts = scanned.where("cell is null").groupBy("class").agg(F.min(place).alias("first"))
+    stay = firsts.join(similar, "class", "left_anti").select("first.*")
     stay = stay.groupBy("doc", "row").agg(F.collect_list("line").alias("stay"))
-    key = F.coalesce("doc_id", F.lit(_LOW)).alias("doc")
-    joined = docs.select("doc_id", "row", "text", key).join(stay, ["doc", "row"], "left")
+    joined = given.withColumn("doc", F.coalesce("doc_id", F.lit(_LOW))).join(stay, ["doc", "row"], "left")
+    joined = joined.select("doc_id", "text", "stay", "rest")
+    kinds = joined.schema["rest"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -431,11 +431,10 @@ def remove_lines(docs: DataFrame) -> DataFrame:
                 texts.append("\n".join(left) if text is not None else None)
                 total.append(len(own))
                 removed.append(len(own) - len(left))
+            numbers = [pa.array(x, pa.int64()) for x in (total, removed)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("row"), pa.array(texts, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())],
-                ["doc_id", "row", "text", "n_lines", "n_removed"],
+                [batch.column("doc_id"), pa.array(texts, pa.string()), *numbers, batch.column("rest")],
+                ["doc_id", "text", "n_lines", "n_removed", "rest"],
             )
 
-    return joined.select("doc_id", "row", "text", "stay").mapInArrow(
-        cut, "doc_id long, row long, text string, n_lines long, n_removed long"
-    )
+    return joined.mapInArrow(cut, f"doc_id long, text string, n_lines long, n_removed long, rest {kinds}")

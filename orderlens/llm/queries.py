@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, fingerprint, line_dedup, near_dedup, packing, sharding, toxicity, wavelet
+from orderlens.llm import decontaminate, extraction, fingerprint, line_dedup, near_dedup, packing, pii, sharding, toxicity, wavelet
 from orderlens.llm.common import table, utf8_crc32
 
 
@@ -30,6 +30,11 @@ def op2_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_block_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat an earlier one, nearly or fully."""
     return line_dedup.remove_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
@@ -46,6 +51,18 @@ def op3_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents, and the words that disclose it."""
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *(count(k) for k in ("email", "ip", "card", "phone")),
+        F.sha2(pii.join_spans(F.col("base")), 256).alias("base_sha256"),
+        pii.join_spans(pii.all_spans(F.col("base"), F.col("terms"))).alias("spans"),
+    )
+
+
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     sharded = sharding.histogram_shards(table(spark, sf_dir, "documents"), 40)
@@ -85,9 +102,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_odd_sketches": op2_odd_sketches,
+    "op4_block_field": op4_block_field,
     "op5_line_dedup": op5_line_dedup,
     "op6_weighted_sampling": op6_weighted_sampling,
     "op3_wavelet_shards": op3_wavelet_shards,
+    "op7_disclosure": op7_disclosure,
     "op8_histogram_shards": op8_histogram_shards,
     "op9_bounded_packing": op9_bounded_packing,
     "op10_decontaminate": op10_decontaminate,

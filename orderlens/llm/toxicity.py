@@ -19,9 +19,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import pick, ship
@@ -162,18 +163,20 @@ def _lists(docs: DataFrame) -> list[np.ndarray]:
     return [np.frombuffer(r["found"], "<i4").astype(np.int64) for r in sorted(got, key=lambda r: r["doc_id"])]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All rows: doc_id, text, score."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, model: Model):
+    """A column function from texts to scores."""
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # FEATURES weights
 
     @F.pandas_udf("double")
-    def rate(texts):
+    def rate(texts: pd.Series) -> pd.Series:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])
         parts = [sent.value.score(part.column("text")) for part in text_slices(batch)]
-        import pandas as pd
-
         return pd.Series(np.concatenate([np.zeros(0), *parts]))
 
-    return pick(docs, "doc_id", "text").withColumn("score", rate("text"))
+    return rate
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """All rows: doc_id, text, score."""
+    return pick(docs, "doc_id", "text").withColumn("score", scorer(docs.sparkSession, model)("text"))
