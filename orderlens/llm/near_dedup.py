@@ -5,16 +5,17 @@
    a bucket.  All samples are also folded into an odd sketch: a bitmap whose bits say
    whether an odd number of samples fell on them.  The bits in which two sketches
    differ estimate how many samples differ, precisely where similarity is high.
-3. In every bucket each class is compared with the one of the least document: sketches
-   first, then full sets.  Links found make components.
-4. Buckets that still hold several components are searched for pairs of different
-   components whose sketches are near; each component names its nearest ones first, and
-   more in each round, until no such pair is untested.  So a group of copies costs one comparison a class, and a
-   link that is not with the least class is not lost.  Sketches of large buckets are
-   compared in blocks.
+3. Sketches are compared within buckets, in blocks where a bucket is large; a pair that
+   shares several buckets belongs to the first of them.  Classes with a near partner
+   go on, once per bucket, with their full sets.
+4. Full sets are compared in the bucket's task, and pairs that links found there have
+   already connected are left out.  So no pair leaves a task but the links of a tree,
+   and a group of copies costs about one comparison a class.
 
 Two classes at the least linked similarity of 0.8 share no bucket in one of 2 * 10^7
-cases (32 bands of 4), and less often at higher ones.
+cases (32 bands of 4), and have sketches too far apart in one of 10^5; at 0.85 both
+happen less than a thousandth as often.  Sets whose sizes differ by more than a fifth
+can't be linked and aren't compared.
 
 Bad input: null, empty and white texts have no shingles and are linked with nothing;
 fewer words than a shingle make one shingle; a null id is no candidate for the
@@ -39,10 +40,10 @@ from orderlens.llm.tokens import text_slices
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Sketches count as near from this estimate on, six deviations below the least linked similarity.
-NEAR = 0.55
-#: Sketches of a bucket that are compared at once, and the pairs a component names in the first round.
-BLOCK, NEAREST = 2048, 4
+#: Sketches count as near from this estimate on, four deviations below the least linked similarity.
+NEAR = 0.65
+#: Classes of a bucket in one block; two blocks meet in one task.
+BLOCK = 1024
 
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALTS = mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
@@ -126,129 +127,128 @@ def _sets(size: int):
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the similarity."""
-    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
-    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
+_CELL = "key long, i int, j int, block int, node binary, n long, bands array<long>, sketch binary"
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(check, "a binary, b binary")
+def _cells(classes: DataFrame) -> DataFrame:
+    """Rows of all buckets of several classes; every two blocks of a bucket meet in one cell (key, i, j)."""
+    members = classes.select("node", F.explode("bands").alias("key"))
+    shared = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = shared.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = members.join(shared, "key").join(classes.select("node", "n", "bands", "sketch"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = [F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")]
+    return rows.select("key", *cell, "block", "node", "n", "bands", "sketch")
 
 
-def _star_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each bucket's least class with its other classes, where sketches are near."""
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
-    pivots = members.groupBy("key").agg(least.alias("least"), F.count("*").alias("n")).where("n > 1")
-    stars = members.join(pivots.select("key", F.col("least.node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("left"))
-    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("right"))
-    limit = most_differing()
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) if len(batch) else np.zeros((0, 1), np.uint8)
-                for c in ("left", "right")
-            )
-            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(left ^ right).sum(axis=1) <= limit))
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
 
-    joined = stars.join(one, "a").join(two, "b").select("a", "b", "left", "right")
-    return joined.mapInArrow(near, "a binary, b binary")
 
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Table]]:
+    """Cells of sorted rows, those that end within each batch together."""
+    left: pa.Table | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([left, rows]) if left is not None else rows
+        change = np.zeros(len(rows), bool)
+        for c in ("key", "i", "j"):
+            column = rows.column(c).to_numpy()
+            change[1:] |= column[1:] != column[:-1]
+        borders = [0, *np.flatnonzero(change).tolist()]
+        yield [rows.slice(x, y - x) for x, y in zip(borders[:-1], borders[1:], strict=True)]
+        left = rows.slice(borders[-1]).combine_chunks()
+    if left is not None:
+        yield [left]
 
-def _cross_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, take: int) -> DataFrame:
-    """Near pairs of different components in the buckets that hold several, the nearest of each component.
 
-    A row of nulls says that some component has more.
-    """
-    root = F.coalesce("root", "node").alias("root")
-    known = members.join(roots, "node", "left").select("key", "node", root)
-    mixed = known.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    mixed = mixed.where("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = known.join(mixed, "key").join(classes.select("node", "sketch"), "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block)
-    # every pair of blocks meets in one cell
-    cells = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "sketch")
-    cells = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    limit = most_differing()
+def _near_in_cell(cell: pa.Table, limit: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows near by sketch and size that share no earlier bucket."""
+    none = np.zeros(0, np.int64)
+    if len(cell) < 2:
+        return none, none
+    i, j, key = (cell.column(c)[0].as_py() for c in ("i", "j", "key"))
+    block, size = cell.column("block").to_numpy(), cell.column("n").to_numpy()
+    sketches = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint64).reshape(len(cell), -1)
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    first = np.flatnonzero(block == i)
+    second = first if i == j else np.flatnonzero(block == j)
+    lefts, rights = [none], [none]
+    for a in first.tolist():
+        others = second[second > a] if i == j else second
+        fit = 100 * np.minimum(size[others], size[a]) >= percent * np.maximum(size[others], size[a])
+        others = others[fit]
+        apart = np.bitwise_count(sketches[a] ^ sketches[others]).sum(axis=1, dtype=np.int32)
+        others = others[apart <= limit]
+        if band and len(others):
+            others = others[~(bands[others, :band] == bands[a, :band]).any(axis=1)]
+        lefts.append(np.full(len(others), a))
+        rights.append(others)
+    return np.concatenate(lefts), np.concatenate(rights)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: pa.Table | None = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = pa.concat_tables([left, rows]) if left is not None else rows
-            ends = _group_ends(rows)
-            start = 0
-            out: list[tuple[bytes | None, bytes | None]] = []
-            for end in ends[:-1]:
-                out += _near_in_cell(rows.slice(start, end - start), limit, take)
-                start = end
-            left = rows.slice(start).combine_chunks()
-            yield _pairs(out)
-        if left is not None:
-            yield _pairs(_near_in_cell(left, limit, take))
 
-    return cells.mapInArrow(search, "a binary, b binary").distinct()
+def _candidates(percent: int):
+    """Rows of the cells that have a near partner there."""
+    limit = most_differing()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _whole_cells(batches):
+            kept = []
+            for cell in cells:
+                left, right = _near_in_cell(cell, limit, percent)
+                if len(left):
+                    kept.append(cell.take(pa.array(np.union1d(left, right))))
+            if kept:
+                yield from pa.concat_tables(kept).combine_chunks().to_batches()
 
-def _pairs(rows: list[tuple[bytes | None, bytes | None]]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True) if rows else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+    return run
 
 
-def _group_ends(rows: pa.Table) -> list[int]:
-    cols = [rows.column(c).to_numpy() for c in ("key", "i", "j")]
-    change = np.zeros(len(rows), bool)
-    for c in cols:
-        change[1:] |= c[1:] != c[:-1]
-    return [*np.flatnonzero(change).tolist(), len(rows)]
+def _links_in_cell(cell: pa.Table, limit: int, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between rows by full sets, a tree for each group of linked rows."""
+    left, right = _near_in_cell(cell, limit, percent)
+    if not len(left):
+        return []
+    nodes = cell.column("node").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in cell.column("hashes").to_pylist()]
+    size = np.array([len(x) for x in sets])
+    starts = np.cumsum(size) - size
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(names), bool)
+    root = np.arange(len(nodes))
+    out = []
+    borders = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
+    for x, y in zip(borders.tolist(), [*borders[1:].tolist(), len(left)], strict=True):
+        a, others = int(left[x]), right[x:y]
+        others = others[root[others] != root[a]]
+        if not len(others):
+            continue
+        own = ids[starts[a] : starts[a] + size[a]]
+        marked[own] = True
+        n = size[others]
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1]) + np.repeat(starts[others] - (upto - n), n)
+        common = np.add.reduceat(marked[ids[at]].astype(np.int64), upto - n)
+        marked[own] = False
+        for b in others[100 * common >= percent * (size[a] + n - common)].tolist():
+            if root[a] != root[b]:
+                out.append((nodes[a], nodes[b]))
+                root[root == root[b]] = root[a]
+    return out
+
+
+def _links(percent: int):
+    limit = most_differing()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cells in _whole_cells(batches):
+            pairs = [p for cell in cells for p in _links_in_cell(cell, limit, percent)]
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-def _near_in_cell(cell: pa.Table, limit: int, take: int) -> list[tuple[bytes | None, bytes | None]]:
-    if len(cell) < 2:
-        return []
-    i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
-    block = cell.column("block").to_numpy()
-    nodes, roots = cell.column("node").to_pylist(), cell.column("root").to_pylist()
-    number = {r: k for k, r in enumerate(dict.fromkeys(roots))}
-    if len(number) < 2:
-        return []
-    sketches = np.frombuffer(b"".join(cell.column("sketch").to_pylist()), np.uint64).reshape(len(nodes), -1)
-    group = np.array([number[r] for r in roots])
-    first = np.flatnonzero(block == i)
-    second = first if i == j else np.flatnonzero(block == j)
-    lefts, rights, bits = [], [], []
-    for a in first.tolist():
-        others = second[(group[second] != group[a]) & ((second > a) | (i != j))]
-        apart = np.bitwise_count(sketches[a] ^ sketches[others]).sum(axis=1, dtype=np.int32)
-        near = np.flatnonzero(apart <= limit)
-        lefts.append(np.full(len(near), a))
-        rights.append(others[near])
-        bits.append(apart[near])
-    left, right, apart = np.concatenate(lefts), np.concatenate(rights), np.concatenate(bits)
-    # a pair is named if it is among the nearest of either component
-    named = np.zeros(len(left), bool)
-    more = False
-    for own in (group[left], group[right]):
-        order = np.lexsort((apart, own))
-        starts = np.flatnonzero(np.concatenate([[True], own[order][1:] != own[order][:-1]])) if len(own) else np.zeros(0, np.int64)
-        lengths = np.diff(np.append(starts, len(own)))
-        rank = np.arange(len(own)) - np.repeat(starts, lengths)
-        named[order[rank < take]] = True
-        more |= bool((lengths > take).any())
-    pairs = [(min(nodes[a], nodes[b]), max(nodes[a], nodes[b])) for a, b in zip(left[named].tolist(), right[named].tolist(), strict=True)]
-    return pairs + [(None, None)] * (more and not named.all())
+    return run
 
 
 def cluster(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
@@ -262,26 +262,16 @@ def cluster(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     full = signed.where("node is not null")
     # rows of a class differ in their ids only
     classes = full.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("doc_id"),
+        F.first("n_shingles").alias("n"),
+        F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
     )
     classes = stage(classes, "classes")
-    members = classes.select("node", "doc_id", F.explode("bands").alias("key"))
-    pairs = stage(_star_pairs(members, classes), "pairs")
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links, tested, take = None, ordered, NEAREST
-    while True:
-        if links is None or pairs.head(1):
-            needed = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-            sets = _needed_sets(docs, classes, needed, size)
-            found = stage(_verified(pairs, sets, percent), "links")
-            links = found if links is None else links.unionAll(found)
-        roots = stage(connected(links), "roots")
-        named = stage(_cross_pairs(members, classes, roots, take), "named")
-        pairs = named.where("a is not null").join(tested, ["a", "b"], "left_anti").select("a", "b")
-        pairs = stage(pairs, "pairs")
-        if not pairs.head(1) and not named.where("a is null").head(1):
-            break
-        tested, take = tested.unionAll(pairs), take * 8
+    near = stage(_by_cell(_cells(classes)).mapInArrow(_candidates(percent), _CELL), "near")
+    sets = _needed_sets(docs, classes, near.select("node").distinct(), size)
+    links = _by_cell(near.join(sets, "node")).mapInArrow(_links(percent), "a binary, b binary")
+    roots = connected(links)
     labels = classes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = labels.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     labels = labels.join(least, "root").select("node", "component_id")
