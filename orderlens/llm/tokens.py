@@ -2,9 +2,9 @@
 
 A tokenizer that splits at white space before it merges gives the same ids for a
 text and for its chunks, as long as no chunk border touches a run of white space.
-Most words of a corpus repeat, so each worker remembers the ids of chunks and of the
-words in them, and gives only new ones to the library: plain Latin words straight to
-its merges, everything else through the whole tokenizer.
+Most words of a corpus repeat, so each worker remembers the ids of words, and gives
+only new ones to the library: plain Latin words straight to its merges, everything
+else through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Entries of either half of a memory; the older half goes when the younger is full.
-MEMORY = 200_000
+MEMORY = 350_000
 #: Texts up to this size are encoded together.
 BATCH_BYTES = 8 * 1024 * 1024
 
@@ -65,9 +65,6 @@ class Memory:
                 self.young[key] = found
         return found
 
-    def put(self, key: str, value: bytes) -> None:
-        self.young[key] = value
-
     def trim(self) -> None:
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
@@ -90,7 +87,7 @@ class ChunkEncoder:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.chunks, self.words = Memory(), Memory()
+        self.words = Memory()
         self.lower, self.pieces = False, None
         made = json.loads(self.tokenizer.to_str())
         split = made["pre_tokenizer"] or {}
@@ -99,37 +96,51 @@ class ChunkEncoder:
         elif "Lowercase" in str(made["normalizer"]) and "[\\\\p{N}]|" in str(split):
             self.lower, self.pieces = True, _WORD_PIECES
 
-    def _word(self, piece: str) -> bytes:
+    def _word(self, piece: str, key: str) -> bytes:
         """Ids of one piece, from the merges."""
         spelt = piece.encode().decode("latin-1").translate(self.letters)
-        found = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
-        self.words.put(piece, found)
+        self.words.young[key] = found = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
+    def _pieces(self, chunk: str) -> bytes:
+        """Ids of a simple chunk, piece by piece; a piece has the key of the chunk that it would be alone."""
+        get, out = self.words.get, []
+        if self.lower:
+            for p in self.pieces.findall(chunk.lower()):
+                out.append(get(p) or self._word(p, p))
+        else:
+            for p in self.pieces.findall(chunk):
+                key = p[1:] if p[0] == " " else "  " + p
+                out.append(get(key) or self._word(p, key))
+        return b"".join(out)
+
     def _ids(self, keys: list[str]) -> list[bytes]:
-        """Ids of distinct keys, after learning the new ones."""
-        get, word = self.chunks.get, self.words.get
-        out = list(map(get, keys))
+        """Ids of distinct keys, after learning the new ones.
+
+        Words are remembered, and chunks that are not plain; chunks of several plain
+        words are put together again from them.
+        """
+        young, old = self.words.young, self.words.old
+        out = list(map(young.get, keys))
         rest: list[int] = []
         for i, known in enumerate(out):
             if known is None:
                 key = keys[i]
-                chunk = key[2:] if key.startswith("  ") else " " + key
-                if self.pieces is None or not _SIMPLE.fullmatch(chunk):
-                    rest.append(i)
+                known = old.get(key)
+                if known is not None:
+                    young[key] = out[i] = known
                     continue
-                if self.lower:
-                    chunk = chunk.lower()
-                out[i] = found = b"".join([word(p) or self._word(p) for p in self.pieces.findall(chunk)])
-                self.chunks.put(key, found)
+                chunk = key[2:] if key[:2] == "  " else " " + key
+                if self.pieces is not None and _SIMPLE.fullmatch(chunk):
+                    out[i] = self._pieces(chunk)
+                else:
+                    rest.append(i)
         if rest:
             found = self.tokenizer.encode_batch_fast(
-                [keys[i][2:] if keys[i].startswith("  ") else " " + keys[i] for i in rest], add_special_tokens=False
+                [keys[i][2:] if keys[i][:2] == "  " else " " + keys[i] for i in rest], add_special_tokens=False
             )
             for i, e in zip(rest, found, strict=True):
-                out[i] = array.array("I", e.ids).tobytes()
-                self.chunks.put(keys[i], out[i])
-        self.chunks.trim()
+                young[keys[i]] = out[i] = array.array("I", e.ids).tobytes()
         self.words.trim()
         return out
 
@@ -169,18 +180,16 @@ class ChunkEncoder:
         try:
             keys, counts = self._chunks(texts.cast(pa.large_string()))
             coded = keys.dictionary_encode()
-            found = self._ids(coded.dictionary.to_pylist())
+            found = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+            codes = coded.indices.to_numpy(zero_copy_only=False)
+            flat = np.frombuffer(b"".join(map(found.__getitem__, codes.tolist())), np.uint32)
         finally:
             if collecting:
                 gc.enable()
-        codes = coded.indices.to_numpy(zero_copy_only=False)
         own = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        lengths = own[codes]
-        upto = np.concatenate([[0], np.cumsum(lengths)])
-        at = np.arange(upto[-1]) + np.repeat((np.cumsum(own) - own)[codes] - upto[:-1], lengths)
+        upto = np.concatenate([[0], np.cumsum(own[codes])])
         ends = np.concatenate([[0], np.cumsum(counts)])
-        return flat[at], upto[ends[1:]] - upto[ends[:-1]]
+        return flat, upto[ends[1:]] - upto[ends[:-1]]
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ from orderlens.llm.ranges import by_id
 from orderlens.llm.tokens import encoder, text_slices
 
 #: Bytes of text in a shard, nearly; one task handles one shard at a time.
-SHARD_BYTES = 16 * 1024 * 1024
+SHARD_BYTES = 8 * 1024 * 1024
 
 _MAGIC = b"WVMX0001"
 _HEAD = struct.Struct("<8s5q")
@@ -45,10 +45,10 @@ def build(ids: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
         ids = ids.astype(np.uint16)
     planes, zeros = [], []
     for bit in range(width - 1, -1, -1):
-        ones = (ids & ids.dtype.type(1 << bit)) != 0
+        ones = ((ids >> ids.dtype.type(bit)) & ids.dtype.type(1)).astype(np.uint8).view(bool)
         planes.append(np.packbits(ones))
-        up = ids[ones]
-        ids = np.concatenate([ids[~ones], up])
+        up = np.compress(ones, ids)
+        ids = np.concatenate([np.compress(~ones, ids), up])
         zeros.append(len(ids) - len(up))
     return planes, zeros
 
