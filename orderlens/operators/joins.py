@@ -1,4 +1,4 @@
-"""Joins that hold up when one key owns a large part of the rows."""
+"""Joins on keys that may be null."""
 
 from __future__ import annotations
 
@@ -7,40 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it owns more than 1/HOT_SHARE of the rows, and more than
-# HOT_MIN_ROWS of them.  Fewer than HOT_SHARE keys can, which bounds the broadcast.
-HOT_SHARE = 1000
-HOT_MIN_ROWS = 100_000
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null matches null; key columns come from the left."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
     return left.join(renamed, on, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def attach_by_key(
-    rows: DataFrame,
-    lookup: DataFrame,
-    keys: list[str],
-    weight: str,
-    hot_min_rows: int = HOT_MIN_ROWS,
-) -> DataFrame:
-    """Add the columns of ``lookup`` (one row per key) to every row.
-
-    ``weight`` is the lookup column with the number of rows of the key.  If some
-    key is hot, rows of hot keys meet a broadcast of those keys and stay where
-    they are; all other rows are joined by key, where no key is large.  Rows
-    without a match are dropped.  Both inputs are evaluated more than once and
-    should be cheap to read.
-    """
-    heaviest, n_rows = lookup.agg(F.max(weight), F.sum(weight)).first()
-    limit = max(hot_min_rows, (n_rows or 0) // HOT_SHARE)
-    if (heaviest or 0) <= limit:
-        return null_safe_join(rows, lookup.drop(weight), keys)
-    hot = F.broadcast(lookup.filter(F.col(weight) > limit).drop(weight))
-    cold = lookup.filter(F.col(weight) <= limit).drop(weight)
-    hot_rows = null_safe_join(rows, hot, keys)
-    cold_rows = null_safe_join(null_safe_join(rows, hot.select(*keys), keys, "left_anti"), cold, keys)
-    return hot_rows.unionByName(cold_rows)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import aggregates as A
 from orderlens.operators.joins import null_safe_join
-from orderlens.operators.prefix import ROWS_PER_BUCKET, running_totals
+from orderlens.operators.prefix import running_totals
 from orderlens.session import freeze
 
 
@@ -309,7 +309,7 @@ def cumulative_share(
     key: str = "customer",
     within: Sequence[str] = (),
     slicers: Slicers = NONE,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = 0,
 ) -> DataFrame:
     """Revenue per customer with the running total from the largest down.
 
@@ -318,11 +318,11 @@ def cumulative_share(
     """
     keys = list(within)
     per = slicers.apply(lines).groupBy(*keys, key).agg(F.sum("sales").alias("revenue"))
-    return concentration(per, keys, rows_per_bucket)
+    return concentration(per, keys, buckets)
 
 
-def concentration(per: DataFrame, keys: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def concentration(per: DataFrame, keys: Sequence[str] = (), buckets: int = 0) -> DataFrame:
     """Add ``cumulative`` and ``whole`` to rows that hold one ``revenue`` each."""
     return running_totals(
-        per, "revenue", {"cumulative": "revenue"}, list(keys), rows_per_bucket=rows_per_bucket
+        per, "revenue", {"cumulative": "revenue"}, list(keys), buckets=buckets
     ).withColumnRenamed("cumulative_whole", "whole")

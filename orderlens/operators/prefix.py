@@ -1,9 +1,8 @@
 """Running totals over a global order without a single-task sort.
 
-A window without PARTITION BY moves every row into one task.  That is what
-happens here only for row counts checked to be small.  Beyond them the order is
-cut into buckets by split points on the value; each bucket is summed on its own
-and shifted by the total of the buckets before it.
+A window without PARTITION BY moves every row into one task.  Here rows are dealt
+to buckets by ranges of the value, each bucket is summed on its own and shifted by
+the total of the buckets before it.  There is one way for every size.
 """
 
 from __future__ import annotations
@@ -11,56 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.operators.joins import attach_by_key, null_safe_join
+from orderlens.operators.joins import null_safe_join
 from orderlens.session import freeze
 
-# No task sorts many more rows than this.
-ROWS_PER_BUCKET = 1_000_000
-MIN_BUCKETS, MAX_BUCKETS = 8, 1024
-
-
-def _split_points(peers: DataFrame, value: str, n: int, rows_per_bucket: int) -> list[float]:
-    """At most ``MAX_BUCKETS - 1`` ascending cut values, read once.
-
-    Read to the driver so that every later use sees the same cuts; an
-    approximate sketch evaluated twice may differ.
-    """
-    buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, -(-n // rows_per_bucket)))
-    grid = [i / buckets for i in range(1, buckets)]
-    cuts = peers.agg(
-        F.percentile_approx(F.col(value).cast("double"), grid, 10 * MAX_BUCKETS)
-    ).first()[0]
-    return sorted(set(cuts))
 
+def _order(value: str, descending: bool) -> Column:
+    return F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
 
-def _bucket(value: str, cuts: list[float], descending: bool) -> Column:
-    """Bucket number, growing along the sort order; a monotone function of the value."""
-    if not cuts:
-        return F.lit(0)
-    points, v = F.array(*[F.lit(c) for c in cuts]), F.col(value).cast("double")
-    passed = F.filter(points, (lambda c: c > v) if descending else (lambda c: c < v))
-    return F.size(passed)
 
+def _bucketed(peers: DataFrame, value: str, within: list[str], descending: bool, buckets: int) -> DataFrame:
+    """Rows with the number of their range, written once so that every use sees the same ranges."""
+    n = buckets or int(peers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = peers.repartitionByRange(n, *within, _order(value, descending))
+    return freeze(dealt.withColumn("_bucket", F.spark_partition_id()))
 
-def _order(value: str, descending: bool) -> Column:
-    return F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
 
+def _offsets(marked: DataFrame, sums: list[str], within: list[str]) -> DataFrame:
+    """Per group and bucket the totals of the buckets before it, and of the whole group.
 
-def _plain(
-    rows: DataFrame, value: str, sums: dict[str, str], within: list[str], descending: bool, inclusive: bool
-) -> DataFrame:
-    """The same result from a RANGE window, one task per ``within`` group."""
-    group = Window.partitionBy(*within)
-    along = group.orderBy(_order(value, descending))
-    peers = Window.partitionBy(*within, value)
-    present = F.col(value).isNotNull()
-    out = {}
-    for name, c in sums.items():
-        counted = F.when(present, F.col(c))
-        own = F.lit(0) if inclusive else F.coalesce(F.sum(counted).over(peers), F.lit(0))
-        out[name] = F.when(present, F.sum(counted).over(along) - own)
-        out[f"{name}_whole"] = F.when(present, F.sum(counted).over(group))
-    return rows.withColumns(out)
+    Bucket totals, as many as there are buckets, meet in one array per group.
+    """
+    totals = marked.groupBy(*within, "_bucket").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
+    fields = [f"_t{i}" for i in range(len(sums))]
+    lists = totals.groupBy(*within).agg(F.sort_array(F.collect_list(F.struct("_bucket", *fields))).alias("_all"))
+    each = lists.select(*within, "_all", F.posexplode("_all").alias("_at", "_own"))
+
+    def upto(i: int, n: Column) -> Column:
+        kind = totals.schema[f"_t{i}"].dataType
+        zero = F.lit(0).cast(kind)
+        first = F.slice("_all", F.lit(1), n)
+        return F.aggregate(first, zero, lambda t, x: (t + F.coalesce(x[f"_t{i}"], zero)).cast(kind))
+
+    return each.select(
+        *within,
+        F.col("_own._bucket").alias("_bucket"),
+        *[upto(i, F.col("_at")).alias(f"_o{i}") for i in range(len(sums))],
+        *[upto(i, F.size("_all")).alias(f"_w{i}") for i in range(len(sums))],
+    )
 
 
 def cumulate_values(
@@ -70,47 +56,31 @@ def cumulate_values(
     within: list[str] | None = None,
     descending: bool = True,
     inclusive: bool = True,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = 0,
 ) -> DataFrame:
     """Running totals over rows that are unique in (``within``, ``value``).
 
     ``sums`` maps each output column to the column it accumulates, with the row
     itself or, unless ``inclusive``, only the rows before it.  The total of the
     whole group comes along as ``<output>_whole``.  Values must not be null.
-    ``peers`` is evaluated more than once and should be cheap to read.
+    ``buckets`` is the number of ranges, by default the shuffle partitions.
     """
     within = list(within or [])
-    n = peers.count()
-    if n <= rows_per_bucket:
-        return _plain(peers, value, sums, within, descending, inclusive)
-    cuts = _split_points(peers, value, n, rows_per_bucket)
-    marked = peers.withColumn("_bucket", _bucket(value, cuts, descending))
+    marked = _bucketed(peers, value, within, descending, buckets)
     inside = (
         Window.partitionBy(*within, "_bucket")
         .orderBy(_order(value, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = marked.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
-    # At most MAX_BUCKETS rows per group reach these windows.
-    group = Window.partitionBy(*within)
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.groupBy(*within, "_bucket")
-        .agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
-        .select(
-            *within,
-            "_bucket",
-            *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0)).alias(f"_o_{o}") for o in sums],
-            *[F.sum(f"_t_{o}").over(group).alias(f"{o}_whole") for o in sums],
-        )
-    )
-    if not within:
-        offsets = F.broadcast(offsets)
-    shifted = null_safe_join(local, offsets, [*within, "_bucket"])
-    own = {o: F.lit(0) if inclusive else F.col(c) for o, c in sums.items()}
-    return shifted.withColumns({o: F.col(o) + F.col(f"_o_{o}") - own[o] for o in sums}).drop(
-        "_bucket", *[f"_o_{o}" for o in sums]
-    )
+    shifted = null_safe_join(local, _offsets(marked, list(sums.values()), within), [*within, "_bucket"])
+    columns = {}
+    for i, (out, c) in enumerate(sums.items()):
+        own = F.lit(0) if inclusive else F.col(c)
+        columns[out] = F.col(out) + F.col(f"_o{i}") - own
+        columns[f"{out}_whole"] = F.col(f"_w{i}")
+    helpers = [f"_{k}{i}" for i in range(len(sums)) for k in "ow"]
+    return shifted.withColumns(columns).drop("_bucket", *helpers)
 
 
 def running_totals(
@@ -120,7 +90,7 @@ def running_totals(
     within: list[str] | None = None,
     descending: bool = True,
     inclusive: bool = True,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = 0,
 ) -> DataFrame:
     """Running totals along ``value``; rows with equal values share one total.
 
@@ -129,32 +99,13 @@ def running_totals(
     left out of their own total.  ``<output>_whole`` holds the group total.
     Rows with a null value count nowhere and get null totals.
 
-    ``rows`` is written to the shared folder once.  Up to ``rows_per_bucket``
-    rows a plain window does; beyond that, equal values are folded, the folded
-    values are accumulated in buckets, and the totals are joined back with hot
-    values kept out of the shuffle.
+    ``rows`` is written to the shared folder once.  Equal values are folded, the
+    folded values are accumulated in buckets, and the totals are joined back.
     """
     within = list(within or [])
     rows = freeze(rows)
-    if rows.count() <= rows_per_bucket:
-        return _plain(rows, value, sums, within, descending, inclusive)
-    valued = rows.filter(F.col(value).isNotNull())
-    peers = freeze(
-        valued.groupBy(*within, value).agg(
-            F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
-        )
-    )
-    totals = cumulate_values(
-        peers, value, {o: f"_s_{o}" for o in sums}, within, descending, inclusive, rows_per_bucket
-    )
-    totals = freeze(totals.drop(*[f"_s_{o}" for o in sums]))
-    ranked = attach_by_key(valued, totals, [*within, value], weight="_n")
-    missing = rows.filter(F.col(value).isNull()).select(
-        "*",
-        *[
-            F.lit(None).cast(ranked.schema[c].dataType).alias(c)
-            for o in sums
-            for c in (o, f"{o}_whole")
-        ],
-    )
-    return ranked.unionByName(missing)
+    folded = rows.filter(F.col(value).isNotNull()).groupBy(*within, value)
+    peers = folded.agg(*[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()])
+    totals = cumulate_values(peers, value, {o: f"_s_{o}" for o in sums}, within, descending, inclusive, buckets)
+    totals = totals.drop(*[f"_s_{o}" for o in sums])
+    return null_safe_join(rows, totals, [*within, value], "left")

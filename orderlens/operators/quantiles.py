@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.operators.prefix import ROWS_PER_BUCKET, cumulate_values
+from orderlens.operators.prefix import cumulate_values
 from orderlens.session import freeze
 
 
@@ -52,7 +52,7 @@ def exact_quantiles(
     columns: list[str],
     probabilities: list[float],
     accuracy: int = 10_000,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = 0,
 ) -> DataFrame:
     """(column, probability, quantile) with linear interpolation between ranks.
 
@@ -64,20 +64,20 @@ def exact_quantiles(
     df = df.select(
         *[F.nanvl(F.col(f"`{c}`").cast("double"), missing).alias(f"x{i}") for i, c in enumerate(columns)]
     )
-    slack = 3.0 / accuracy  # sketch error on both sides, and one rank of interpolation
-    marks = [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
+    counts = df.agg(*[F.count(f"x{i}") for i in range(len(columns))]).first()
+
+    def marks(n: int) -> list[float]:
+        slack = 3.0 / accuracy + 2.0 / max(n, 1)  # sketch error on both sides, and ranks of interpolation
+        return [min(1.0, max(0.0, p + d)) for p in probabilities for d in (-slack, slack)]
+
     sketch = df.agg(
-        *[F.count(f"x{i}") for i in range(len(columns))],
-        *[F.percentile_approx(f"x{i}", marks, accuracy) for i in range(len(columns))],
+        *[F.percentile_approx(f"x{i}", marks(counts[i]), accuracy) for i in range(len(columns))]
     ).first()
     wanted, intervals = [], {}
     for i in range(len(columns)):
-        n, cuts = sketch[i], sketch[len(columns) + i]
+        n, cuts = counts[i], sketch[i]
         if n:
-            if n <= accuracy:  # few values: keep them all
-                intervals[i] = [(float("-inf"), float("inf"))]
-            else:
-                intervals[i] = _merge([(cuts[2 * j], cuts[2 * j + 1]) for j in range(len(probabilities))])
+            intervals[i] = _merge([(cuts[2 * j], cuts[2 * j + 1]) for j in range(len(probabilities))])
         for j, p in enumerate(probabilities):
             at = p * (n - 1) if n else -1.0
             lo = math.floor(at)
@@ -96,7 +96,7 @@ def exact_quantiles(
         .agg(F.count_if(~F.col("is_gap")).alias("n_value"), F.count("*").alias("n_all"))
     )
     cum = cumulate_values(
-        per_value, "v", {"upto": "n_all"}, ["i"], descending=False, rows_per_bucket=rows_per_bucket
+        per_value, "v", {"upto": "n_all"}, ["i"], descending=False, buckets=buckets
     )
     ranked = cum.selectExpr("i", "v", "upto - n_all AS first_rank", "upto - n_all + n_value AS last_rank")
     covers = "first_rank <= {0} AND {0} < last_rank"

@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import aggregates as A
 from orderlens.functions import columns as C
-from orderlens.operators.joins import attach_by_key
+from orderlens.operators.joins import null_safe_join
 from orderlens.operators.measures import concentration
-from orderlens.operators.prefix import ROWS_PER_BUCKET
 from orderlens.operators.star import Star
 from orderlens.session import freeze
 from orderlens.sources.tables import refresh_by_year
@@ -159,9 +158,9 @@ def pareto_columns(ranked: DataFrame, *names: str) -> DataFrame:
     )
 
 
-def c1_pareto(star: Star, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+def c1_pareto(star: Star, buckets: int = 0) -> DataFrame:
     """Revenue share and cumulative share per customer, largest first."""
-    ranked = concentration(customer_revenue(star), rows_per_bucket=rows_per_bucket)
+    ranked = concentration(customer_revenue(star), buckets=buckets)
     return pareto_columns(ranked, "customer_name").orderBy(
         F.col("revenue").desc_nulls_first(), "customer_name"
     )
@@ -208,9 +207,9 @@ def c4_share_of_industry(star: Star) -> DataFrame:
     very many customers stays spread over the cluster.
     """
     per = freeze(customer_revenue(star, "industry"))
-    totals = per.groupBy("industry").agg(F.sum("revenue").alias("_total"), F.count("*").alias("_n"))
+    totals = per.groupBy("industry").agg(F.sum("revenue").alias("_total"))
     return (
-        attach_by_key(per, totals, ["industry"], weight="_n")
+        null_safe_join(per, totals, ["industry"])
         .select(
             "industry",
             "customer_name",

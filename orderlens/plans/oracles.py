@@ -104,8 +104,9 @@ CLEAN = listing(CLEAN_COLUMNS)
 add("io1_load_with_fallback", "SELECT 'sample' AS source_kind, count(*) AS n_lines FROM feat")
 add(
     "io2_read_csv",
-    """SELECT CAST(order_id AS VARCHAR) AS order_id, strftime(order_date, '%Y-%m-%d') AS order_date,
-       customer, product, CAST(sales AS DOUBLE) AS sales, quantity,
+    """SELECT TRUE AS row_id, CAST(order_id AS VARCHAR) AS order_id, strftime(order_date, '%Y-%m-%d') AS order_date,
+       date_key, contact_name, country, city, region, subregion, customer, CAST(customer_id AS VARCHAR) AS customer_id,
+       industry, segment, product, sha256(customer) AS license, CAST(sales AS DOUBLE) AS sales, quantity,
        CAST(discount AS DOUBLE) AS discount, CAST(profit AS DOUBLE) AS profit FROM feat""",
 )
 
@@ -176,7 +177,7 @@ add(
 )
 add(
     "pr4_duplicate_rows",
-    """SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT customer, product, quantity, discount
+    f"""SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT {', '.join(CLEAN_COLUMNS)}
        FROM feat)) AS n_duplicates FROM feat""",
 )
 add(
@@ -653,7 +654,8 @@ YTD, MOM, RUN = dbl("ytd"), growth("prev"), dbl("run")
 add("me9_sales_ly", *time_visual({"total_sales": NOW, "sales_ly": LY}, "region"))
 add("me10_sales_yoy", *time_visual({"total_sales": NOW, "sales_ly": LY, "sales_yoy": YOY}))
 add("me11_sales_ytd", *time_visual({"total_sales": NOW, "sales_ytd": YTD}, "segment"))
-add("me12_sales_mom", *time_visual({"total_sales": NOW, "sales_mom": MOM}, where=ASIA_EUROPE))
+add("me12_sales_mom", *time_visual({"total_sales": NOW, "sales_mom": MOM}))
+add("me12_sales_mom_sliced", *time_visual({"total_sales": NOW, "sales_mom": MOM}, where=ASIA_EUROPE))
 add("me15_running_total", *time_visual({"total_sales": NOW, "running_total": RUN}))
 add(
     "me18_time_in_context",
@@ -725,7 +727,8 @@ add(
     "vi4_product_profit",
     f"SELECT product, {P} AS total_profit, sum(profit) < 0 AS is_loss FROM feat GROUP BY product",
 )
-add("vi5_top_customers", f"SELECT * FROM {top(10, ASIA_EUROPE)}")
+add("vi5_top_customers", f"SELECT * FROM {top(10)}")
+add("vi5_top_customers_sliced", f"SELECT * FROM {top(10, ASIA_EUROPE)}")
 add("vi7_discount_profit_scatter", visual(["avg_discount", "total_profit"], ["segment", "product"]))
 add(
     "vi8_product_table",
@@ -733,16 +736,14 @@ add(
        / nullif(max(profit_margin) OVER () - min(profit_margin) OVER (), 0), 6) AS colour
        FROM ({visual(['total_sales', 'total_profit', 'profit_margin'], ['product'])})""",
 )
-_REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
-_CELLS = ", ".join(
-    f"CAST(sum(profit) FILTER (WHERE region = '{r}') AS DOUBLE) AS {r.lower().replace(' ', '_')}"
-    for r in _REGIONS
-)
-add(
-    "vi9_product_region_matrix",
-    f"""SELECT product, {_CELLS}, {P} AS total FROM feat GROUP BY product
-       UNION ALL SELECT 'Total', {_CELLS}, {P} FROM feat""",
-)
+
+
+def _matrix(row: str, column: str, measures: str) -> str:
+    return f"""SELECT {row}, {column}, GROUPING({row}) = 1 AS {row}_total, GROUPING({column}) = 1 AS {column}_total,
+       {measures} FROM feat GROUP BY CUBE ({row}, {column})"""
+
+
+add("vi9_product_region_matrix", _matrix("product", "region", f"{P} AS profit"))
 add(
     "vi10_pareto_chart",
     f"""SELECT customer, {PARETO} FROM rev ORDER BY rev.revenue DESC, customer LIMIT 15""",
@@ -750,22 +751,18 @@ add(
 )
 
 
-def _segment_cells() -> str:
-    out = []
-    for s in ("Enterprise", "SMB", "Strategic"):
-        only = f"FILTER (WHERE segment = '{s}')"
-        s_sum, p_sum = dbl(f"sum(sales) {only}"), dbl(f"sum(profit) {only}")
-        out.append(f"{s_sum} AS {s.lower()}_sales, {p_sum} / nullif({s_sum}, 0) AS {s.lower()}_margin")
-    return ", ".join(out)
-
-
-add("vi11_industry_segment_matrix", f"SELECT industry, {_segment_cells()} FROM feat GROUP BY industry")
+add(
+    "vi11_industry_segment_matrix",
+    _matrix("industry", "segment", f"{S} AS sales, {P} / nullif({S}, 0) AS margin"),
+)
 add("vi12_customer_table", visual(CARDS, ["customer"]))
+_ONE = {"customer": "Customer#000000001", "product": "Brand#1"}
 for _id, _key, _other in (("vi13", "customer", "product"), ("vi14", "product", "customer")):
-    add(f"{_id}_{_key}_kpis", visual(CARDS, [_key]))
-    add(f"{_id}_{_key}_monthly", visual(["total_sales"], [_key, "year", "month"]))
-    add(
-        f"{_id}_{_key}_orders",
-        f"""SELECT {_key}, order_id, order_date, {_other}, {S} AS sales, {P} AS profit,
-           CAST(sum(quantity) AS BIGINT) AS quantity, count(*) AS n_lines FROM feat GROUP BY 1, 2, 3, 4""",
-    )
+    for _name, _only in ((_key, "TRUE"), (f"one_{_key}", f"{_key} = '{_ONE[_key]}'")):
+        add(f"{_id}_{_name}_kpis", visual(CARDS, [_key], _only))
+        add(f"{_id}_{_name}_monthly", visual(["total_sales"], [_key, "year", "month"], _only))
+        add(
+            f"{_id}_{_name}_orders",
+            f"""SELECT {_key}, order_id, order_date, {_other}, {S} AS sales, {P} AS profit, CAST(sum(quantity) AS BIGINT)
+               AS quantity, count(*) AS n_lines FROM feat WHERE {_only} GROUP BY 1, 2, 3, 4""",
+        )

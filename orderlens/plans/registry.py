@@ -86,8 +86,8 @@ def _io1(spark, d):
 
 
 def _io2(spark, d):
-    cols = ["Order ID", "Order Date", "Customer", "Product", "Sales", "Quantity", "Discount", "Profit"]
-    return clean.clean_column_names(_loaded(spark, d).select(*cols))
+    # the running number of a line is not the same on every run
+    return clean.clean_column_names(_loaded(spark, d)).drop("source_kind").withColumn("row_id", F.col("row_id").isNotNull())
 
 
 def _io5(spark, d):
@@ -176,7 +176,7 @@ on_lines("pr2_column_types", _typed_missing)
 on_lines("pr3_missing_values", lambda df: profile.missing_values(df.select(*CLEAN_COLUMNS)))
 on_lines(
     "pr4_duplicate_rows",
-    lambda df: profile.duplicate_rows(df.select("customer", "product", "quantity", "discount")),
+    lambda df: profile.duplicate_rows(df.select(*CLEAN_COLUMNS)),
 )
 on_lines("pr5_numeric_summary", lambda df: profile.numeric_summary(df.select(*RAW_NUMERIC)))
 on_lines("cl1_clean_column_names", lambda df: clean.clean_column_names(_renamed(df)))
@@ -296,7 +296,7 @@ on_star("b3_segments_above_average_discount", library.b3_segments_above_average_
 on_star("b4_industry_segment", library.b4_industry_segment)
 on_star("b5_monthly_trend", library.b5_monthly_trend)
 on_star("c1_pareto", library.c1_pareto)
-on_star("c1_pareto_in_buckets", lambda s: library.c1_pareto(s, rows_per_bucket=100))
+on_star("c1_pareto_in_buckets", lambda s: library.c1_pareto(s, buckets=50))
 on_star("c2_best_product_by_region", library.c2_best_product_by_region)
 on_star("c3_month_over_month", library.c3_month_over_month)
 on_star("c4_share_of_industry", library.c4_share_of_industry)
@@ -356,7 +356,8 @@ on_calendar("me9_sales_ly", _time("total_sales", "sales_ly", by=("region",)))
 on_calendar("me9_sales_ly_daily", lambda ln, c: measures.daily_time_measures(ln, c))
 on_calendar("me10_sales_yoy", _time("total_sales", "sales_ly", "sales_yoy"))
 on_calendar("me11_sales_ytd", _time("total_sales", "sales_ytd", by=("segment",)))
-on_calendar("me12_sales_mom", _time("total_sales", "sales_mom", slicers=ASIA_EUROPE))
+on_calendar("me12_sales_mom", _time("total_sales", "sales_mom"))
+on_calendar("me12_sales_mom_sliced", _time("total_sales", "sales_mom", slicers=ASIA_EUROPE))
 on_lines(
     "me14_pct_of_total_sales",
     lambda df: measures.evaluate(df, ["total_sales"], ["industry"], ASIA_EUROPE, share_of_total=True),
@@ -414,7 +415,8 @@ on_lines("vi1_kpi_cards", visuals.kpi_cards)
 on_lines("vi2_monthly_trend", visuals.monthly_trend)
 on_lines("vi3_region_bars", visuals.region_bars)
 on_lines("vi4_product_profit", visuals.product_profit)
-on_lines("vi5_top_customers", lambda df: visuals.top_customers(df, slicers=ASIA_EUROPE))
+on_lines("vi5_top_customers", visuals.top_customers)
+on_lines("vi5_top_customers_sliced", lambda df: visuals.top_customers(df, slicers=ASIA_EUROPE))
 on_lines("vi6_discount_columns", visuals.discount_columns)
 on_lines("vi7_discount_profit_scatter", visuals.discount_profit_scatter)
 on_lines("vi8_product_table", visuals.product_table)
@@ -422,9 +424,12 @@ on_lines("vi9_product_region_matrix", visuals.product_region_matrix)
 on_lines("vi10_pareto_chart", visuals.pareto_chart)
 on_lines("vi11_industry_segment_matrix", visuals.industry_segment_matrix)
 on_lines("vi12_customer_table", visuals.customer_table)
+ONE_CUSTOMER, ONE_PRODUCT = "Customer#000000001", "Brand#1"
 for _part in ("kpis", "monthly", "orders"):
     on_lines(f"vi13_customer_{_part}", lambda df, p=_part: visuals.customer_detail(df)[p])
     on_lines(f"vi14_product_{_part}", lambda df, p=_part: visuals.product_detail(df)[p])
+    on_lines(f"vi13_one_customer_{_part}", lambda df, p=_part: visuals.customer_detail(df, ONE_CUSTOMER)[p])
+    on_lines(f"vi14_one_product_{_part}", lambda df, p=_part: visuals.product_detail(df, ONE_PRODUCT)[p])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

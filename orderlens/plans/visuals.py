@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +10,9 @@ from orderlens.functions import columns as C
 from orderlens.operators import kpis
 from orderlens.operators.measures import NONE, Slicers, cumulative_share, evaluate
 from orderlens.plans.library import c6_discount_margin, pareto_columns
-from orderlens.session import freeze
 
 CARDS = ["total_sales", "total_profit", "profit_margin", "total_orders", "avg_order_value"]
 
-# A pivot turns values into columns; more than this many is no longer a report.
-MAX_PIVOT_COLUMNS = 200
-
 
 def kpi_cards(lines: DataFrame, slicers: Slicers = NONE) -> DataFrame:
     return evaluate(lines, CARDS, slicers=slicers)
@@ -70,55 +64,40 @@ def product_table(lines: DataFrame, slicers: Slicers = NONE) -> DataFrame:
     return per.withColumn("colour", F.round(F.try_divide(F.col("profit_margin") - lo, hi - lo), 6))
 
 
-def _values(df: DataFrame, column: str) -> list[str]:
-    """Distinct values for a pivot header, refused beyond the column limit."""
-    rows = (
-        df.select(column).filter(F.col(column).isNotNull()).distinct().limit(MAX_PIVOT_COLUMNS + 1).collect()
-    )
-    if len(rows) > MAX_PIVOT_COLUMNS:
-        raise ValueError(f"{column} has more than {MAX_PIVOT_COLUMNS} values; too many for a pivot")
-    return sorted(r[0] for r in rows)
-
-
-def product_region_matrix(lines: DataFrame, slicers: Slicers = NONE) -> DataFrame:
-    """Profit by product (rows) and region (columns), with totals on both sides.
+def _matrix(lines: DataFrame, row: str, column: str, sums: list[str]) -> DataFrame:
+    """Sums by row and column key, by each of them, and over all, one line a cell.
 
-    Cells are summed first; cube and pivot then work on cell-sized data.
+    ``<key>_total`` marks the lines that hold a total over that key, whatever the
+    key's values are; a null key is a value like any other.  Cells are summed
+    first, so the totals are made of cell-sized data.
     """
-    cells = freeze(slicers.apply(lines).groupBy("product", "region").agg(F.sum("profit").alias("_p")))
-    regions = _values(cells, "region")
-    cubed = (
-        cells.cube("product", "region")
-        .agg(A.total("_p").alias("profit"), F.grouping_id().alias("_g"))
-        .select(
-            F.when(F.col("_g") >= 2, "Total").otherwise(F.col("product")).alias("product"),
-            F.when(F.col("_g") % 2 == 1, "Total").otherwise(F.col("region")).alias("_column"),
-            "profit",
-        )
+    cells = lines.groupBy(row, column).agg(*[F.sum(c).alias(c) for c in sums])
+    return cells.cube(row, column).agg(
+        (F.grouping(row) == 1).alias(f"{row}_total"),
+        (F.grouping(column) == 1).alias(f"{column}_total"),
+        *[F.sum(c).alias(c) for c in sums],
     )
-    wide = cubed.groupBy("product").pivot("_column", [*regions, "Total"]).agg(F.max("profit"))
-    return wide.toDF("product", *[_name(c) for c in [*regions, "Total"]])
 
 
-def _name(value: str) -> str:
-    return re.sub(r"[^0-9a-z]+", "_", value.lower())
+def wide(matrix: DataFrame, row: str, column: str, values: list[str], measure: str) -> DataFrame:
+    """A matrix's cells with one column for each of the named values, for those who want it wide."""
+    cells = matrix.filter(~F.col(f"{row}_total") & ~F.col(f"{column}_total"))
+    return cells.groupBy(row).pivot(column, values).agg(F.first(measure))
+
+
+def product_region_matrix(lines: DataFrame, slicers: Slicers = NONE) -> DataFrame:
+    """Profit by product and region, with totals on both sides."""
+    cells = _matrix(slicers.apply(lines), "product", "region", ["profit"])
+    return cells.withColumn("profit", F.col("profit").cast("double"))
 
 
 def industry_segment_matrix(lines: DataFrame, slicers: Slicers = NONE) -> DataFrame:
-    """Sales and margin by industry (rows) and segment (columns)."""
-    cells = freeze(
-        slicers.apply(lines)
-        .groupBy("industry", "segment")
-        .agg(F.sum("sales").alias("_s"), F.sum("profit").alias("_p"))
-    )
-    segments = _values(cells, "segment")
-    wide = (
-        cells.groupBy("industry")
-        .pivot("segment", segments)
-        .agg(A.total("_s").alias("sales"), A.ratio(F.sum("_p"), F.sum("_s")).alias("margin"))
+    """Sales and margin by industry and segment, with totals on both sides."""
+    cells = _matrix(slicers.apply(lines), "industry", "segment", ["sales", "profit"])
+    margin = A.ratio(F.col("profit"), F.col("sales")).alias("margin")
+    return cells.select(
+        "industry", "segment", "industry_total", "segment_total", F.col("sales").cast("double").alias("sales"), margin
     )
-    names = [f"{_name(s)}_{m}" for s in segments for m in ("sales", "margin")]
-    return wide.toDF("industry", *names)
 
 
 def pareto_chart(lines: DataFrame, n: int = 15, slicers: Slicers = NONE) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -43,7 +45,10 @@ def freeze(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder once and continue from there.
 
     Used where one aggregate feeds several later steps, so that the big scan
-    behind it runs once and a lost executor does not bring it back.
+    behind it runs once and a lost executor does not bring it back.  The files
+    are Parquet: later steps read only their columns and know the size.
     """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/frozen-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

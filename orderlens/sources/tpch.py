@@ -28,14 +28,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     places = (
         table(spark, sf_dir, "nation")
-        .join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", "n_name", "r_name")
     )
     orders = (
         table(spark, sf_dir, "orders")
         .select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("order_date"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             "o_orderkey",
             "order_date",

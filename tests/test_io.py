@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from orderlens import schema
 from orderlens.operators import clean, profile
-from orderlens.plans import pipeline
+from orderlens.plans import pipeline, registry, warehouse
 from orderlens.sources import csvfiles as R
-from orderlens.sources import synthetic
 from orderlens.sources.tables import write_csv, write_table
 
 HEADER = ",".join(f.name for f in schema.SOURCE)
@@ -71,50 +70,22 @@ def test_fallback_order(spark, tmp_path):
         R.load_data(spark, str(tmp_path / "x"), str(tmp_path / "y"))
 
 
-def test_generator_shape(spark):
-    df = synthetic.generate(spark, 3000)
-    assert df.schema.names == schema.SOURCE.names
-    assert [f.dataType for f in df.schema] == [f.dataType for f in schema.SOURCE]
-    again = synthetic.generate(spark, 3000).repartition(3)
-    assert sorted(df.collect()) == sorted(again.collect())
-    named = clean.clean_column_names(df).cache()
-    assert named.select("row_id").distinct().count() == named.count()
-    assert named.select("order_id").distinct().count() == 3000
-    lines = named.groupBy("order_id").agg(
-        F.count("*").alias("n"), F.count_distinct("product").alias("p"), F.count_distinct("customer").alias("c")
-    )
-    assert lines.filter("n <> p OR c <> 1 OR n > 4").count() == 0
-    profile_rows = named.groupBy("customer_id").agg(F.count_distinct("segment", "city").alias("n"))
-    assert profile_rows.count() == 20 and profile_rows.filter("n > 1").count() == 0
-    stats = named.agg(
-        F.min("order_date"), F.max("order_date"), F.min("quantity"), F.max("quantity"), F.avg("discount")
-    ).first()
-    assert stats[0] >= "2020-01-01" and stats[1] <= "2023-12-31" and (stats[2], stats[3]) == (1, 14)
-    assert 0.10 < stats[4] < 0.15
-    margins = named.groupBy((F.col("discount") > 0.2).alias("high")).agg(
-        (F.sum("profit") / F.sum("sales")).alias("m")
-    )
-    by = {r.high: r.m for r in margins.collect()}
-    assert by[False] > 0 > by[True]
-    suite = named.filter("product = 'Marketing Suite'").agg(F.sum("profit")).first()[0]
-    assert suite < 0
-    named.unpersist()
-
-
 def test_run_from_file_to_report(spark, tmp_path):
     sample = str(tmp_path / "sample")
-    write_csv(synthetic.generate(spark, 400), sample)
+    given = warehouse.lines(spark, "/root/testdata/sf0.001")
+    write_csv(registry.source_form(given), sample)
+    n_orders = given.select("order_id").distinct().count()
     out = pipeline.run(spark, str(tmp_path / "real"), sample, str(tmp_path / "t"), str(tmp_path / "csv"))
     assert out.lines.columns == [*schema.CLEAN_COLUMNS, "line_seq"]
     assert out.lines.count() == out.raw.count()
     assert {r.rule: r.n_rows for r in out.quality.collect()}["negative_sales"] == 0
     values = {(r.section, r.key, r.metric): r.value for r in out.report.collect()}
-    assert values["headline", "all", "n_orders"] == 400
+    assert values["headline", "all", "n_orders"] == n_orders
     staged = R.read_staging(spark, str(tmp_path / "csv"))
     assert staged.schema == schema.STAGING and staged.count() == out.lines.count()
     bi = R.read_bi(spark, str(tmp_path / "csv"))
     assert dict(bi.dtypes)["sales"] == "double" and dict(bi.dtypes)["year"] == "bigint"
-    assert {r.column: r.n_too_long for r in R.too_long(staged).collect()}["region"] == 0
+    assert {r.column: r.n_too_long for r in R.too_long(staged).collect()}["segment"] == 0
 
 
 def test_staging_refuses_misfits(spark, tmp_path):

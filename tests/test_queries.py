@@ -4,8 +4,10 @@ import __spark_entry__ as entry_point
 import pytest
 from compare import database, differences
 
+from orderlens.plans.oracles import ORACLES
+from orderlens.plans.registry import QUERIES
+
 SF = "/root/testdata/sf0.01"
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +17,8 @@ def db():
 
 def test_every_query_has_a_twin():
     assert set(ORACLES) == set(QUERIES)
+    assert QUERIES.items() <= entry_point.queries().items()
+    assert ORACLES.items() <= entry_point.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -3,6 +3,7 @@
 import contextlib
 import io
 import random
+import re
 from datetime import date
 
 import numpy as np
@@ -11,10 +12,10 @@ from compare import database, differences
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from orderlens.operators import joins, prefix, quantiles
+from orderlens.operators import prefix, quantiles
 from orderlens.operators import measures as M
 from orderlens.operators.star import build_star, fact_sales
-from orderlens.plans import library, warehouse
+from orderlens.plans import library, visuals, warehouse
 from orderlens.plans import registry as Q
 from orderlens.plans.oracles import ORACLES
 from orderlens.sources.tables import write_bucketed
@@ -42,45 +43,32 @@ def skewed(spark, n=3000, seed=7):
 
 @pytest.mark.parametrize("within", [[], ["g"]])
 @pytest.mark.parametrize("descending", [True, False])
-@pytest.mark.parametrize("rows_per_bucket", [10, 10_000])
-def test_running_totals_equal_a_range_window(spark, monkeypatch, within, descending, rows_per_bucket):
-    monkeypatch.setattr(joins, "HOT_SHARE", 20)
+@pytest.mark.parametrize("buckets", [0, 1, 300])
+def test_running_totals_equal_a_range_window(spark, within, descending, buckets):
     df = skewed(spark)
     order = F.col("v").desc() if descending else F.col("v").asc()
     w = Window.partitionBy(*within).orderBy(order)
     want = df.filter("v is not null").select("id", F.sum("w").over(w).alias("t")).collect()
-    got = prefix.running_totals(df, "v", {"t": "w"}, within, descending, rows_per_bucket=rows_per_bucket)
+    got = prefix.running_totals(df, "v", {"t": "w"}, within, descending, buckets=buckets)
     rows = got.collect()
     assert len(rows) == df.count()
     assert {r.id: r.t for r in rows if r.v is not None} == {r.id: r.t for r in want}
     assert all(r.t is None and r.t_whole is None for r in rows if r.v is None)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [10, 10_000])
-def test_exclusive_totals_are_ranks(spark, rows_per_bucket):
+@pytest.mark.parametrize("buckets", [0, 1, 300])
+def test_exclusive_totals_are_ranks(spark, buckets):
     df = skewed(spark).withColumn("one", F.lit(1).cast("long"))
     w = Window.partitionBy("g").orderBy(F.col("v").desc())
     want = {r.id: r.k for r in df.filter("v is not null").select("id", F.rank().over(w).alias("k")).collect()}
     got = prefix.running_totals(
-        df, "v", {"above": "one"}, ["g"], inclusive=False, rows_per_bucket=rows_per_bucket
+        df, "v", {"above": "one"}, ["g"], inclusive=False, buckets=buckets
     )
     assert {r.id: r.above + 1 for r in got.collect() if r.v is not None} == want
 
 
-def test_hot_keys_are_kept_out_of_the_shuffle(spark):
-    rows = skewed(spark)
-    lookup = rows.groupBy("v").agg(F.count("*").alias("n"), F.sum("w").alias("total"))
-    want = sorted(joins.null_safe_join(rows, lookup.drop("n"), ["v"]).collect(), key=lambda r: r.id)
-    hot = joins.attach_by_key(rows, lookup, ["v"], "n", hot_min_rows=100)
-    assert "Union" in plan(hot)
-    assert sorted(hot.collect(), key=lambda r: r.id) == want
-    plain = joins.attach_by_key(rows, lookup, ["v"], "n")
-    assert "Union" not in plan(plain)
-    assert sorted(plain.collect(), key=lambda r: r.id) == want
-
-
-@pytest.mark.parametrize("accuracy,rows_per_bucket", [(100, 20), (10_000, 10_000), (500, 10_000)])
-def test_quantiles_equal_numpy(spark, accuracy, rows_per_bucket):
+@pytest.mark.parametrize("accuracy,buckets", [(100, 20), (10_000, 0), (500, 3)])
+def test_quantiles_equal_numpy(spark, accuracy, buckets):
     rnd = random.Random(3)
     rows = [
         (rnd.choice([0.1, 0.1, 0.2, rnd.random()]), rnd.gauss(0, 1), 7.0, None, i if i % 5 else None)
@@ -90,7 +78,7 @@ def test_quantiles_equal_numpy(spark, accuracy, rows_per_bucket):
     levels = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
     got = {
         (r.column, r.probability): r.quantile
-        for r in quantiles.exact_quantiles(df, list("abcde"), levels, accuracy, rows_per_bucket).collect()
+        for r in quantiles.exact_quantiles(df, list("abcde"), levels, accuracy, buckets).collect()
     }
     assert len(got) == 30
     for i, name in enumerate("abcde"):
@@ -102,8 +90,9 @@ def test_quantiles_equal_numpy(spark, accuracy, rows_per_bucket):
 
 def test_no_single_partition_for_customer_sized_order(spark):
     star = warehouse.star(spark, SF)
-    ranked = M.concentration(library.customer_revenue(star), rows_per_bucket=10)
-    assert "SinglePartition" not in plan(ranked)
+    ranked = M.concentration(library.customer_revenue(star), buckets=10)
+    executed = ranked._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"(Window|Sort).*\n.*Exchange SinglePartition", executed)  # bucket totals meet, rows don't
 
 
 def test_scans_are_narrow_and_filters_reach_them(spark):
@@ -198,10 +187,31 @@ def test_star_load_with_a_hot_customer_and_no_broadcast(
     assert top.pct_of_total > 50
 
 
-def test_hot_path_has_no_nested_loop(spark):
-    rows = skewed(spark)
-    lookup = rows.groupBy("v").agg(F.count("*").alias("n"))
-    assert "NestedLoop" not in plan(joins.attach_by_key(rows, lookup, ["v"], "n", hot_min_rows=100))
+def test_no_single_task_window(spark):
+    star, lines = warehouse.star(spark, SF), warehouse.lines(spark, SF)
+    products = star.dim_product.select(F.col("product_name").alias("product"))
+    for df in (
+        library.c1_pareto(star),
+        visuals.pareto_chart(lines),
+        M.product_rank(lines, products),
+        M.cumulative_share(lines, "customer"),
+    ):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" in text
+        assert not re.search(r"Window.*\n.*Sort.*\n.*Exchange SinglePartition", text)
+
+
+def test_matrices_keep_every_value(spark):
+    rows = [(p, r, 1, 1) for p in ("Total", "A B", "A-B", None) for r in ("x", None)] + [("A B", f"r{i}", 1, 1) for i in range(500)]
+    lines = spark.createDataFrame(rows, "product string, region string, profit int, sales int")
+    got = visuals.product_region_matrix(lines).collect()
+    cells = {(r["product"], r.region): r.profit for r in got if not r.product_total and not r.region_total}
+    assert len(cells) == 508 and set(cells.values()) == {1.0}
+    totals = {r["product"]: r.profit for r in got if r.region_total and not r.product_total}
+    assert totals == {"Total": 2, "A B": 502, "A-B": 2, None: 2}
+    assert [r.profit for r in got if r.region_total and r.product_total] == [508]
+    across = visuals.wide(visuals.product_region_matrix(lines), "product", "region", ["x", "r7"], "profit")
+    assert {r["product"]: (r.x, r.r7) for r in across.collect()}["A B"] == (1, 1)
 
 
 def test_bucketed_fact_groups_without_a_shuffle(spark, tmp_path):
