@@ -30,7 +30,7 @@ SAMPLES = 96
 #: Bytes of text in a partition.
 PIECE_BYTES = 16 * 1024 * 1024
 #: Terms whose variables are drawn at once.
-_TERMS = 16_384
+_TERMS = 4096
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +41,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
-    return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
+    return (bits.astype(np.float64) + 0.5) * 2.0**-32
 
 
 def _draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,10 +55,10 @@ def _draws(hashes: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _costs(hashes: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
-    """Log cost of each weighted term in each sample."""
+    """Log cost of each weighted term in each sample; rounded, so that it is the same wherever it is worked out."""
     r, c, b = _draws(hashes, samples)
-    grid = np.floor(np.log(weights.astype(np.float32))[:, None] / r + b)
-    return c - r * (grid - b) - r
+    grid = np.floor(np.log(weights.astype(np.float64))[:, None] / r + b)
+    return (c - r * (grid - b) - r).astype(np.float32)
 
 
 def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
@@ -140,15 +140,18 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES, piece_bytes: int
             done = len(own) < len(batch)
             ids = batch.column("doc_id").slice(0, n).to_pylist()
             texts = [t or "" for t in batch.column("text").slice(0, n).to_pylist()]
-            signed = signatures(pa.array(texts, pa.large_string()), samples)
             if last is not None:
                 ids, texts = [last[0], *ids], [last[1], *texts]
+            edited = [edit(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
+            # together, since an edited text has the words of the two it is made of
+            new = texts[len(texts) - n :]
+            both = signatures(pa.array(new + edited, pa.large_string()), samples)
+            signed, changed = both[:n], both[n:]
+            if last is not None:
                 signed = np.concatenate([last[2][None], signed])
             last = (ids[-1], texts[-1], signed[-1])
-            if len(ids) < 2:
+            if not edited:
                 continue
-            edited = [edit(a, b) for a, b in zip(texts[:-1], texts[1:], strict=True)]
-            changed = signatures(pa.array(edited, pa.large_string()), samples)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[:-1], pa.int64()),
