@@ -63,20 +63,14 @@ def _costs(hashes: np.ndarray, weights: np.ndarray, samples: int) -> np.ndarray:
 
 def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
     """16 bits per text and sample; zeros for a text without words."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.utf8_split_whitespace(texts)
-    coded = lists.flatten().dictionary_encode()
+    lists = [t.lower().split() for t in pc.fill_null(texts.cast(pa.large_string()), "").to_pylist()]
+    coded = pa.array([w for own in lists for w in own], pa.large_string()).dictionary_encode()
     words = coded.dictionary.to_pylist()
-    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    pairs, weights = np.unique(
-        rows * max(len(words), 1) + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True
-    )
+    rows = np.repeat(np.arange(len(lists)), [len(own) for own in lists])
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pairs, weights = np.unique(rows * max(len(words), 1) + codes, return_counts=True)
     rows, codes = np.divmod(pairs, max(len(words), 1))
-    full = np.array([w != "" for w in words], bool)
-    if len(words):
-        keep = full[codes]
-        rows, codes, weights = rows[keep], codes[keep], weights[keep]
-    out = np.zeros((len(texts), samples), np.uint16)
+    out = np.zeros((len(lists), samples), np.uint16)
     if not len(rows):
         return out
     hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
@@ -85,26 +79,16 @@ def signatures(texts: pa.Array, samples: int = SAMPLES) -> np.ndarray:
         part = hashes[a : a + _TERMS]
         once[a : a + _TERMS] = _costs(part, np.ones(len(part)), samples)
     starts = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    owners = rows[starts]
     # a text's terms of weight 1 come from the table, the heavier ones are worked out
-    for a in range(0, len(starts), 256):
-        first, last = starts[a], starts[a + 256] if a + 256 < len(starts) else len(rows)
-        for low in range(first, last, 1 << 17) if last - first > 1 << 18 else [first]:
-            high = min(last, low + (1 << 17)) if last - first > 1 << 18 else last
-            costs = once[codes[low:high]]
-            heavy = np.flatnonzero(weights[low:high] > 1)
-            for h in range(0, len(heavy), _TERMS):
-                at = heavy[h : h + _TERMS]
-                costs[at] = _costs(hashes[codes[low + at]], weights[low + at], samples)
-            inside = starts[(starts > low) & (starts < high)]
-            cuts = np.concatenate([[low], inside])
-            least = np.minimum.reduceat(costs, cuts - low, axis=0)
-            text = rows[cuts]
-            if low == first:
-                best = np.full((len(owners[a : a + 256]), samples), np.inf, np.float32)
-            np.minimum.at(best, np.searchsorted(owners[a : a + 256], text), least)
-        bits = _mix(best.view(np.uint32).astype(np.uint64)) >> np.uint64(48)
-        out[owners[a : a + 256]] = np.maximum(bits, 1)
+    for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True):
+        best = np.full(samples, np.inf, np.float32)
+        for low in range(first, last, _TERMS):
+            own, weight = codes[low : min(last, low + _TERMS)], weights[low : min(last, low + _TERMS)]
+            np.minimum(best, once[own].min(axis=0, initial=np.inf, where=(weight == 1)[:, None]), out=best)
+            heavy = weight > 1
+            if heavy.any():
+                np.minimum(best, _costs(hashes[own[heavy]], weight[heavy], samples).min(axis=0), out=best)
+        out[rows[first]] = np.maximum(_mix(best.view(np.uint32).astype(np.uint64)) >> np.uint64(48), 1)
     return out
 
 
