@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 #: Entries of either half of a memory; the older half goes when the younger is full.
 MEMORY = 350_000
 #: Texts up to this size are encoded together.
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 4 * 1024 * 1024
 
 #: Unicode's white space, for two regular expression engines.
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
