@@ -13,8 +13,8 @@
    and a group of copies costs about one comparison a class.
 
 Two classes at the least linked similarity of 0.8 share no bucket in one of 2 * 10^7
-cases (32 bands of 4), and have sketches too far apart in one of 10^5; at 0.85 both
-happen less than a thousandth as often.  Sets whose sizes differ by more than a fifth
+cases (32 bands of 4), and have sketches too far apart in one of 4 * 10^7; at 0.85 both
+happen less than a hundredth as often.  Sets whose sizes differ by more than a fifth
 can't be linked and aren't compared.
 
 Bad input: null, empty and white texts have no shingles and are linked with nothing;
@@ -40,8 +40,8 @@ from orderlens.llm.tokens import text_slices
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
-#: Sketches count as near from this estimate on, four deviations below the least linked similarity.
-NEAR = 0.65
+#: Sketches count as near from this estimate on: links at the least similarity are lost less often than by the bands.
+NEAR = 0.55
 #: Classes of a bucket in one block; two blocks meet in one task.
 BLOCK = 1024
 
