@@ -2,7 +2,7 @@
 
 Each takes (spark, docs, sf_dir); ``docs`` has doc_id, text and any other columns, which
 are handed on.  Rows with nulls anywhere, empty texts and repeated rows are treated as
-the operators say; rows that share an id are kept or dropped by near_dedup together.
+the operators say.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orderlens.llm import decontaminate, line_dedup, near_dedup, packing
 from orderlens.llm import toxicity as toxic
-from orderlens.llm.common import table, with_rest, without_rest
+from orderlens.llm.common import stage, table, with_rest, without_rest
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
@@ -35,11 +35,21 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group, and documents of no group."""
-    found = near_dedup.cluster(docs, SHINGLE)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    all_ = with_rest(docs)
-    return without_rest(all_.join(gone, all_["doc_id"].eqNullSafe(gone["gone"]), "left_anti"), docs.columns)
+    """One row of the least id of each group (a null id comes last), and rows of no group.
+
+    Rows have numbers of their own, written once, so rows that share an id, or have
+    none, are judged each by its text; of equal rows one stays.
+    """
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
+    numbered = stage(numbered, "rows")
+    own = {n: F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text")}
+    found = near_dedup.cluster(numbered.select(F.col("row").alias("doc_id"), own["text"].alias("text")), SHINGLE)
+    found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
+    place = F.struct(own["doc_id"].isNull().alias("no_id"), own["doc_id"].alias("doc_id"), "row")
+    grouped = stage(numbered.select("row", place.alias("place")).join(found, "row"), "groups")
+    kept = grouped.groupBy("group").agg(F.min("place").alias("first"))
+    kept = kept.select(F.col("first.row").alias("row"))
+    return numbered.join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

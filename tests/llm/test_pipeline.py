@@ -30,6 +30,15 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 4, 9]
 
 
+def test_near_dedup_judges_rows_that_share_an_id_or_have_none(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(3, text), (None, text + " end"), (None, "quite another text that no one repeats"), (None, ""), (None, None)]
+    rows += [(9, "start " + text), (9, "one more text of the id nine"), (7, "the same row twice"), (7, "the same row twice")]
+    kept = stages.near_dedup_(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(4), SF)
+    want = [rows[0], rows[2], rows[3], rows[4], rows[6], rows[7]]
+    assert sorted((tuple(r) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_stages_hand_on_other_columns_and_odd_rows(spark, odd_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd_docs, SF).schema.names == odd_docs.schema.names
