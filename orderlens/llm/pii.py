@@ -1,13 +1,16 @@
 """Personal data: patterns, and terms that give protected entities away.
 
 Mail and network addresses, payment cards and telephone numbers are found by pattern.
-Each distinct value found is a protected entity.  Words can give an entity away even
+Each distinct value found is a protected entity, and so are each kind and, for mail,
+each name before the sign, whatever their values.  Words can give an entity away even
 where it is blotted out: those that in the whole corpus stand beside it and hardly
-anywhere else.  With counts over all lines, the information that a word t holds of an
-entity e is log(n(e,t) N / (n(e) n(t))), and e's own information is log(N / n(e)); their
-ratio, 1 at most, is the share of e that t discloses.  In lines that hold e, words
-disclosing it beyond one threshold are generalised to a placeholder, beyond a higher
-one removed.  Counts of less than a few different lines prove nothing and are left.
+anywhere else.  That is asked of lines and of whole texts.  With counts over all lines
+(texts), the information that a word t holds of an entity e is log(n(e,t) N / (n(e) n(t))),
+and e's own information is log(N / n(e)); their ratio, 1 at most, is the share of e that
+t discloses.  In lines (texts) that hold e, words disclosing it beyond one threshold are
+generalised to a placeholder, beyond a higher one removed.  Counts of less than a few
+different lines prove nothing and are left; equal lines of a text count once; an entity
+in half of all lines has less than a bit to disclose and is left as well.
 
 Bad input: a null text has no spans; a null id stays null; repeated rows are judged
 each and count each; other columns are ignored; no rows give no rows.
@@ -20,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,66 +95,92 @@ def _hash(text: str) -> int:
 
 
 _SPAN = "struct<begin:long,stop:long,kind:string>"
-_FOUND = f"doc_id long, spans array<{_SPAN}>, words array<struct<entity:long,word:long,line:long,begin:long,stop:long>>"
-
-
-def _words_beside(text: str, spans: list[tuple[int, int, str]]) -> list[dict]:
-    """Words of the lines that hold entities, once for each entity of the line."""
-    lines: dict[int, list[tuple[int, int, str]]] = {}
-    for s in spans:
-        lines.setdefault(text.rfind("\n", 0, s[0]) + 1, []).append(s)
-    out = []
-    for begin, held in lines.items():
-        stop = text.find("\n", begin)
-        line = text[begin : stop if stop >= 0 else len(text)]
-        name = _hash(line)
-        entities = {_hash(entity(k, text[a:b])) for a, b, k in held}
-        for m in _WORD.finditer(line):
-            a, b = begin + m.start(), begin + m.end()
-            if not any(a < y and x < b for x, y, _ in held):
-                word = _hash(m[0].lower())
-                out += [{"entity": e, "word": word, "line": name, "begin": a, "stop": b} for e in entities]
-    return out
+_FOUND = f"doc_id long, spans array<{_SPAN}>, words array<struct<word:long,line:long,begin:long,stop:long>>, held array<struct<entity:long,line:long,whole:boolean>>"
+
+
+def names(kind: str, value: str) -> list[str]:
+    """What a value is protected as: itself, its kind, and the name in a mail address."""
+    out = [entity(kind, value), f"kind:{kind}"]
+    return [*out, f"name:{value.lower().rpartition('@')[0]}"] if kind == "email" else out
+
+
+def _entity_hash(name: str, whole: bool) -> int:
+    return _hash(f"{'text' if whole else 'line'} {name}")
+
+
+def _words(text: str) -> list[tuple[int, int, str]]:
+    """Places of the words of a text, and their names."""
+    return [(*m.span(), m[0].lower()) for m in _WORD.finditer(text)]
+
+
+def _beside(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[dict], list[dict]]:
+    """Words of a text outside its spans, and the entities of its lines and of the whole."""
+    held, words, begin = {}, [], 0
+    whole, at = _hash(text), 0
+    for line in text.split("\n"):
+        name, stop = _hash(line), begin + len(line)
+        own = []
+        while at < len(spans) and spans[at][0] <= stop:  # a span belongs to the line where it begins
+            own.append(spans[at])
+            at += 1
+        for a, b, kind in own:
+            for n in names(kind, text[a:b]):
+                held[_entity_hash(n, False), name, False] = held[_entity_hash(n, True), whole, True] = None
+        for a, b, word in _words(line):
+            a, b = begin + a, begin + b
+            if not any(a < y and x < b for x, y, _ in own):
+                words.append({"word": _hash(word), "line": name, "begin": a, "stop": b})
+        begin = stop + 1
+    return words, [dict(zip(("entity", "line", "whole"), h, strict=True)) for h in held]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("begin", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())])
-    word = pa.struct([(n, pa.int64()) for n in ("entity", "word", "line", "begin", "stop")])
+    word = pa.struct([(n, pa.int64()) for n in ("word", "line", "begin", "stop")])
+    held = pa.struct([("entity", pa.int64()), ("line", pa.int64()), ("whole", pa.bool_())])
     for batch in (part for whole in batches for part in text_slices(whole)):
         texts = batch.column("text").to_pylist()
         spans = [find_base(t) for t in texts]
+        beside = [_beside(t, s) if s else ([], []) for t, s in zip(texts, spans, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
                 pa.array([[{"begin": a, "stop": b, "kind": k} for a, b, k in s] for s in spans], pa.list_(span)),
-                pa.array([_words_beside(t, s) if s else [] for t, s in zip(texts, spans, strict=True)], pa.list_(word)),
+                pa.array([w for w, _ in beside], pa.list_(word)),
+                pa.array([h for _, h in beside], pa.list_(held)),
             ],
-            ["doc_id", "spans", "words"],
+            ["doc_id", "spans", "words", "held"],
         )
 
 
-def _count_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines that hold each word, slice by slice, and the number of lines under a null."""
+def _holding(codes: np.ndarray, units: np.ndarray, number: int, total: int) -> np.ndarray:
+    """How many units hold each code."""
+    return np.bincount(np.unique(codes * max(total, 1) + units) // max(total, 1), minlength=number)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines and texts that hold each word, slice by slice, and their numbers under a null."""
     for batch in (part for whole in batches for part in text_slices(whole)):
-        lines = pc.split_pattern(pc.fill_null(batch.column("text").cast(pa.large_string()), ""), "\n").flatten()
-        plain = pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\pL]+", " ")
-        words = pc.split_pattern(plain, " ")
-        rows = np.repeat(np.arange(len(lines)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-        coded = words.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        pairs = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(len(lines), 1) + rows)
-        counts = np.bincount(pairs // max(len(lines), 1), minlength=len(names))
-        keep = [i for i, w in enumerate(names) if len(w) > 2]
-        hashes = [_hash(names[i]) for i in keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*hashes, None], pa.int64()), pa.array([*counts[keep].tolist(), len(lines)], pa.int64())], ["word", "n"]
-        )
+        lines = [list(dict.fromkeys((t or "").split("\n"))) for t in batch.column("text").to_pylist()]
+        found = [[w for _, _, w in _words(x)] for own in lines for x in own]
+        words = pa.array([w for own in found for w in own], pa.string()).dictionary_encode()
+        keys = words.dictionary.to_pylist()
+        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        line = np.repeat(np.arange(len(found)), [len(own) for own in found])
+        text = np.repeat(np.arange(len(lines)), [len(own) for own in lines])[line]
+        hashes = [_hash(k) for k in keys]
+        for whole, units, total in ((False, line, len(found)), (True, text, len(lines))):
+            n = _holding(codes, units, len(keys), total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*hashes, None], pa.int64()), pa.array([whole] * (len(keys) + 1)), pa.array([*n.tolist(), total], pa.int64())],
+                ["word", "whole", "n"],
+            )
 
 
 def disclosure(together: Column, lines: Column, entity_lines: Column, word_lines: Column) -> Column:
     """Share of an entity's information that a word holds."""
     own = F.log(lines / entity_lines)
-    return F.when(own > 0, F.log(together * lines / (entity_lines * word_lines)) / own).otherwise(F.lit(0.0))
+    return F.when(own >= np.log(2), F.log(together * lines / (entity_lines * word_lines)) / own).otherwise(F.lit(0.0))
 
 
 def find_spans(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
@@ -160,17 +188,26 @@ def find_spans(docs: DataFrame, generalise: float = GENERALISE, support: int = S
     ship(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
     found = stage(docs.mapInArrow(_scan, _FOUND).withColumn("id", F.monotonically_increasing_id()), "spans")
-    beside = found.where("size(words) > 0").select("id", F.explode("words").alias("w")).select("id", "w.*")
-    # an entity or a word can stand in a line twice; line hashes are counted once per row
-    held = beside.groupBy("entity", "word", "id", "line").agg(F.count("*").alias("_")).drop("_")
-    pairs = held.groupBy("entity", "word").agg(F.count("*").alias("together"), F.approx_count_distinct("line", 0.02).alias("kinds"))
-    pairs = pairs.where(F.col("kinds") >= support)
-    entities = beside.select("entity", "id", "line").distinct().groupBy("entity").agg(F.count("*").alias("entity_lines"))
-    counted = stage(docs.mapInArrow(_count_lines, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    lines = counted.where("word is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    words = counted.where("word is not null").select("word", F.col("n").alias("word_lines"))
-    share = disclosure(F.col("together"), F.lit(float(lines)), F.col("entity_lines"), F.greatest("word_lines", "together"))
-    telling = pairs.join(entities, "entity").join(words, "word").select("entity", "word", F.least(share, F.lit(1.0)).alias("share"))
+    beside = found.where("size(held) > 0").select("id", "words", F.explode("held").alias("e")).select("id", "words", "e.*")
+    entities = beside.groupBy("entity", "whole").agg(F.count("*").alias("entity_lines"))
+    beside = beside.withColumn("w", F.explode(F.expr("filter(words, w -> whole or w.line = line)")))
+    beside = beside.select("id", "entity", "whole", "line", "w.word", "w.begin", "w.stop")
+    # a word can stand in a line twice; equal lines of a row count once
+    held = beside.groupBy("entity", "whole", "word", "line", "id").agg(F.count("*").alias("_"))
+    held = held.groupBy("entity", "whole", "word", "line").agg(F.count("*").alias("n"))
+    pairs = held.groupBy("entity", "whole", "word").agg(F.sum("n").alias("together"), F.count("*").alias("kinds")).where(F.col("kinds") >= support)
+    # entities of kinds have many words each: their few counts go to all tasks, the others are joined
+    entities = stage(entities, "entities")
+    wide = [_entity_hash(f"kind:{k}", whole) for k in KINDS for whole in (False, True)]
+    few = F.broadcast(entities.where(F.col("entity").isin(wide)))
+    narrow = pairs.where(~F.col("entity").isin(wide)).join(entities, ["entity", "whole"])
+    pairs = pairs.join(few, ["entity", "whole"]).unionByName(narrow)
+    counted = stage(docs.mapInArrow(_count, "word long, whole boolean, n long").groupBy("word", "whole").agg(F.sum("n").alias("n")), "words")
+    totals = {r["whole"]: float(r["n"]) for r in counted.where("word is null").collect()}  # one of lines, one of texts
+    total = F.when(F.col("whole"), F.lit(totals.get(True, 0.0))).otherwise(F.lit(totals.get(False, 0.0)))
+    words = counted.where("word is not null").select("word", "whole", F.col("n").alias("word_lines"))
+    share = disclosure(F.col("together"), total, F.col("entity_lines"), F.col("word_lines"))
+    telling = pairs.join(words, ["word", "whole"]).select("entity", "word", F.least(share, F.lit(1.0)).alias("share"))
     telling = stage(telling.where(F.col("share") >= generalise), "telling")
     terms = beside.join(telling, ["entity", "word"]).groupBy("id", "begin", "stop").agg(F.max("share").alias("share"))
     terms = terms.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("begin", "stop", "share"))).alias("terms"))

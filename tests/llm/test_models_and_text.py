@@ -165,6 +165,19 @@ def test_words_that_disclose_an_entity(spark):
     assert clean[900] is None and clean[100] == rows[60][1] and "@" not in clean[1]
 
 
+def test_words_beside_different_values_of_a_kind(spark):
+    rows = [(i, f"zuhörer İxél schickt {i} von 10.0.{i}.7 noch\neine zeile mit geheimwort{i}") for i in range(8)]
+    rows += [(100 + i, f"schickt noch eine andere zeile mit {i} von hier") for i in range(200)]
+    found = {r.doc_id: r.terms for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {rows[3][1][t.begin : t.stop] for t in found[3]} == {"zuhörer", "İxél", "geheimwort"}
+    assert not any(found[100 + i] for i in range(200))
+
+
+def test_op7_finds_terms_in_the_given_documents(spark):
+    found = queries.op7_disclosure(spark, "/root/testdata/sf0.1").where("spans like '%term:%'").collect()
+    assert found and all(r.n_email + r.n_ip + r.n_card + r.n_phone for r in found)
+
+
 def test_personal_data_of_odd_rows(spark, odd_docs, no_docs):
     assert pii.find_spans(odd_docs).where("size(base) = 0 and size(terms) = 0").count() == 10
     assert pii.find_spans(no_docs).collect() == []
