@@ -13,13 +13,16 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_WORD = re.compile(r"[a-z]+")
 
-#: Elements whose content is no text of the page.
-RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template", "svg", "math", "select", "noscript"}
+#: Elements whose content is no text of the page, up to their end tag.
+RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "template", "svg", "select", "annotation", "annotation-xml"}
+#: Those that take all the rest of the page if they have no end tag; others without one are left open like any element.
+_TO_THE_END = {"script", "style", "textarea", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that stand in a line of text; all others are borders of blocks.
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark meter nobr output progress q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
+    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr br "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup mover munder munderover mstyle mpadded mfenced".split()
 )
 #: Open elements that a start tag closes: itself or its like, up to the nearest element that holds them.
 _CLOSES = {
@@ -119,6 +122,7 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return []
     state, at, n = _State(), 0, len(page)
+    endless: set[str] = set()
     while at < n:
         m = _MARKUP.search(page, at)
         if not m:
@@ -130,12 +134,16 @@ def blocks_of(page: str | None) -> list[Block]:
         if not tag:
             continue
         closing = (m[1] or m[4]) == "/"
-        if tag in RAW and not closing:
-            if tag in _CONTROLS:
-                state.controls += 1
-            end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else n
+        empty = (m[3] or m[6] or "").endswith("/")
+        if tag == "svg" and empty and not closing:
             continue
+        if tag in RAW and not closing and tag not in endless:
+            end = re.compile(f"</{tag}(?![a-zA-Z0-9-])[^>]*>", re.IGNORECASE).search(page, at)
+            if end or tag in _TO_THE_END:
+                state.controls += tag in _CONTROLS
+                at = end.end() if end else n
+                continue
+            endless.add(tag)
         if tag not in INLINE:
             state.border()
         elif tag == "br" or tag == "img":
@@ -151,7 +159,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 state.close_like({"p"}, {"button", "td", "th", "li", "div", "article", "section", "body", "blockquote"})
             if tag in _CLOSES:
                 state.close_like(*_CLOSES[tag])
-            if tag not in VOID and not (m[3] or m[6] or "").endswith("/"):
+            if tag not in VOID and not empty:
                 state.stack.append(_element(tag, m[3] or m[6] or ""))
                 state.links += tag == "a"
     state.border()

@@ -43,6 +43,15 @@ def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     assert {r.score for r in toxicity.score(odd_docs, blank).collect()} == {0.0}
 
 
+def test_elements_without_an_end_swallow_no_article():
+    said = lambda page: [b.text for b in blocks_of(page)]
+    assert said('<p>one <svg viewBox="0"/> two</p><svg><text>no</text></svg><p>three</p>') == ["one two", "three"]
+    for tag in ("svg", "template", "select", "iframe"):
+        assert said(f"<p>one</p><{tag}><p>two</p><{tag}><p>three</p>") == ["one", "two", "three"]
+    assert said("<p>as <math><mi>x</mi><mo>=</mo><mn>2</mn></math> says</p><math/><noscript>and more</noscript>") == ["as x=2 says", "and more"]
+    assert said("<p>one</p><script>var x = '<p>no</p>';") == ["one"]
+
+
 def test_field_labels_pages_it_has_not_seen():
     field = extraction.trained()
     right = total = 0
