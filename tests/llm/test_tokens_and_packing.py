@@ -36,6 +36,15 @@ def test_chunks_give_the_ids_of_whole_texts(path, documents):
     assert got == plain(path, texts)
 
 
+@pytest.mark.parametrize(("path", "name"), [(BYTE, "<|endoftext|>"), (WORD, "<|startoftext|>")])
+def test_only_names_of_added_tokens_differ_from_the_default(path, name):
+    default = Tokenizer.from_file(path)
+    for text, same in (("ab cd", True), ("ab <|end cd", True), (f"ab {name} cd", False)):
+        ids = tokens.ChunkEncoder(path).encode([text])[0].tolist()
+        assert (ids == default.encode(text, add_special_tokens=False).ids) == same
+        assert default.token_to_id(name) not in ids
+
+
 def test_memory_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 3)
     enc = tokens.ChunkEncoder(BYTE)
