@@ -6,6 +6,8 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from fixture_frame import FIXTURE_ROWS, raw_frame  # noqa: E402
+
 from orderlens.session import build_session  # noqa: E402
 
 
@@ -25,23 +27,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-FIXTURE_HEADERS = [
-    "Order ID", "Order Date", "Customer ID", "Customer", "Region", "Segment", "Industry", "Product",
-    "Sales", "Quantity", "Discount", "Profit",
-]
-FIXTURE_ROWS = [
-    ("ORD-1", "2023-01-15", "C1", "Acme", "AMER", "SMB", "Finance", "FinanceHub", 1000.0, 2, 0.10, 200.0),
-    ("ORD-1", "2023-01-15", "C1", "Acme", "AMER", "SMB", "Finance", "Support", 500.0, 1, 0.0, -50.0),
-    ("ORD-2", "2023-02-20", "C2", "Globex", "EMEA", "Enterprise", "Energy", "FinanceHub", 2000.0, 4, 0.20, 400.0),
-]
-FIXTURE_TYPES = ["string"] * 8 + ["double", "int", "double", "double"]
-
-
-def raw_frame(spark, rows):
-    schema = ", ".join(f"`{h}` {t}" for h, t in zip(FIXTURE_HEADERS, FIXTURE_TYPES, strict=True))
-    return spark.createDataFrame(rows, schema)
-
-
 @pytest.fixture()
 def raw(spark):
     """Two orders on three lines, one of them at a loss."""

@@ -1,7 +1,7 @@
 """The small two-order frame, with results worked by hand."""
 
 import pytest
-from conftest import FIXTURE_ROWS, raw_frame
+from fixture_frame import FIXTURE_ROWS, raw_frame
 from pyspark.sql import functions as F
 
 from orderlens.operators import clean, kpis, measures
