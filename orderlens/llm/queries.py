@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, extraction, fingerprint, line_dedup, near_dedup, packing, pii, sharding, toxicity, wavelet
-from orderlens.llm.common import table, utf8_crc32
+from orderlens.llm import decontaminate, extraction, fingerprint, line_dedup, merkle, near_dedup, packing, pii, sharding, toxicity, wavelet
+from orderlens.llm.common import pick, table, utf8_crc32
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +99,28 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle tree of all documents by language, and what every proof says of a tampered row."""
+    docs = pick(table(spark, sf_dir, "documents"), "doc_id", "source", "lang", "n_chars", "text")
+    head, text = [F.col("doc_id"), F.col("source"), F.col("lang")], F.col("text")
+    tampered = F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(7)) == 0
+    carry = {
+        "doc_id": F.col("doc_id"),
+        "tampered": F.when(tampered, merkle.leaf(*head, F.col("n_chars") + 1, text)),
+    }
+    found = merkle.manifest(docs, merkle.leaf(*head, F.col("n_chars"), text), "lang", "doc_id", carry)
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_odd_sketches": op2_odd_sketches,
@@ -110,6 +132,7 @@ QUERIES = {
     "op8_histogram_shards": op8_histogram_shards,
     "op9_bounded_packing": op9_bounded_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 #: Links over all pairs that share a shingle, and what is reachable by them.
 _NEAR = r"""WITH RECURSIVE words AS (
@@ -134,4 +157,57 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.c AS component_
 FROM documents d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) m ON m.a = d.doc_id LEFT JOIN sizes z ON z.doc_id = d.doc_id
 """
 
-ORACLES = {"op2_odd_sketches": _NEAR}
+#: Trees level by level, then every leaf's way up, first in its language, then to the root.
+_MERKLE = r"""WITH RECURSIVE fields AS (
+  SELECT doc_id, lang,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS n,
+    coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') AS n1,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    coalesce(xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+      lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, e: xor(xor(a, e) >> 1, 3988292384 * (xor(a, e) & 1))), 4294967295) % 7 = 0, false) AS bad
+  FROM documents
+), hashed AS (
+  SELECT doc_id, lang, sha256(head || n || tail) AS leaf, sha256(head || CASE WHEN bad THEN n1 ELSE n END || tail) AS shown
+  FROM fields
+), leaves AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed
+), tree(lang, level, place, h, n) AS (
+  SELECT lang, 0, place, leaf, n FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (n + 1) // 2
+  FROM tree WHERE n > 1 GROUP BY lang, level, place // 2, n
+), tops AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM tree WHERE n = 1
+), crown(level, place, h, n) AS (
+  SELECT 0, place, h, n FROM tops
+  UNION ALL
+  SELECT level + 1, place // 2, sha256(string_agg(h, '' ORDER BY place)), (n + 1) // 2
+  FROM crown WHERE n > 1 GROUP BY level, place // 2, n
+), way(id, lang, level, place, n, h, proof) AS (
+  SELECT id, lang, 0, place, n, shown, '' FROM leaves
+  UNION ALL
+  SELECT w.id, w.lang, w.level + 1, w.place // 2, (w.n + 1) // 2,
+    sha256(CASE WHEN w.place % 2 = 0 THEN w.h || coalesce(s.h, '') ELSE coalesce(s.h, '') || w.h END),
+    w.proof || coalesce(s.h, '')
+  FROM way w LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.place = xor(w.place, 1)
+  WHERE w.n > 1
+), up(id, level, place, n, h, proof) AS (
+  SELECT w.id, 0, t.place, t.n, w.h, w.proof FROM way w JOIN tops t ON t.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT u.id, u.level + 1, u.place // 2, (u.n + 1) // 2,
+    sha256(CASE WHEN u.place % 2 = 0 THEN u.h || coalesce(s.h, '') ELSE coalesce(s.h, '') || u.h END),
+    u.proof || coalesce(s.h, '')
+  FROM up u LEFT JOIN crown s ON s.level = u.level AND s.place = xor(u.place, 1)
+  WHERE u.n > 1
+)
+SELECT l.doc_id, l.leaf, t.h AS subroot, r.h AS root, sha256(u.proof) AS proof_sha256, u.h AS folded_root, u.h = r.h AS verified
+FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN up u ON u.id = l.id AND u.n = 1
+JOIN crown r ON r.n = 1
+"""
+
+ORACLES = {"op2_odd_sketches": _NEAR, "op11_merkle_manifest": _MERKLE}
