@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, extraction, fingerprint, line_dedup, merkle, near_dedup, packing, pii, sharding, toxicity, wavelet
+from orderlens.llm import decontaminate, extraction, fingerprint, licenses, line_dedup, merkle, near_dedup, packing, pii, sharding, toxicity, wavelet
 from orderlens.llm.common import pick, table, utf8_crc32
+from orderlens.llm.license_rules import RULES
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +122,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence signatures in all documents."""
+    return licenses.summary(licenses.detect(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_odd_sketches": op2_odd_sketches,
@@ -133,6 +139,7 @@ QUERIES = {
     "op9_bounded_packing": op9_bounded_packing,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_license_rules": op13_license_rules,
 }
 #: Links over all pairs that share a shingle, and what is reachable by them.
 _NEAR = r"""WITH RECURSIVE words AS (
@@ -210,4 +217,48 @@ FROM leaves l JOIN tops t ON t.lang IS NOT DISTINCT FROM l.lang JOIN up u ON u.i
 JOIN crown r ON r.n = 1
 """
 
-ORACLES = {"op2_odd_sketches": _NEAR, "op11_merkle_manifest": _MERKLE}
+
+
+def _license_sql() -> str:
+    """All rules at all places, and containment of every two detections of a text."""
+    rules = ", ".join(
+        f"('{start}', {n}, '{r.label}', {r.priority}, {r.weight}, {str(r.base).lower()}, '^{r.pattern} ')"
+        for n, r in enumerate(RULES)
+        for start in r.starts
+    )
+    return rf"""WITH rules(start, rule, label, priority, weight, base, pattern) AS (VALUES {rules}),
+texts AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), each_word AS (
+  SELECT id, unnest(generate_series(1, len(w))) AS i, unnest(w) AS word FROM texts
+), places AS (
+  SELECT id, i, word AS start FROM each_word WHERE word IN (SELECT start FROM rules)
+  UNION ALL
+  SELECT a.id, a.i, a.word || ' ' || b.word FROM each_word a JOIN each_word b ON b.id = a.id AND b.i = a.i + 1
+  WHERE a.word || ' ' || b.word IN (SELECT start FROM rules)
+), tried AS (
+  SELECT p.id, p.i - 1 AS a, rule, label, priority, weight, base,
+    regexp_extract(array_to_string(w[p.i:p.i + 39], ' ') || ' ', pattern) AS match
+  FROM places p JOIN rules r ON r.start = p.start JOIN texts t ON t.id = p.id
+), found AS (
+  SELECT *, a + length(match) - length(replace(match, ' ', '')) AS z FROM tried WHERE match <> ''
+), told AS (
+  SELECT * FROM found f WHERE base OR NOT EXISTS (
+    SELECT 1 FROM found g WHERE g.id = f.id AND g.a <= f.a AND g.z >= f.z AND g.priority <= f.priority
+      AND (g.a < f.a OR g.z > f.z OR g.priority < f.priority OR g.rule < f.rule))
+)
+SELECT t.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(*) FILTER (base) AS n_base,
+  min(a) FILTER (base) AS first_word, max(a) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, CAST(coalesce(max(weight), 0) AS DOUBLE) AS score
+FROM texts t LEFT JOIN told d ON d.id = t.id GROUP BY t.id, t.doc_id
+"""
+
+
+ORACLES = {
+    "op2_odd_sketches": _NEAR,
+    "op11_merkle_manifest": _MERKLE,
+    "op13_license_rules": _license_sql(),
+}
