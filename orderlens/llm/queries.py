@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderlens.llm import decontaminate, extraction, fingerprint, licenses, line_dedup, merkle, near_dedup, packing, pii, sharding, toxicity, wavelet
+from orderlens.llm import decontaminate, extraction, fingerprint, licenses, line_dedup, merkle, near_dedup, packing, pii, search, sharding, toxicity, wavelet
 from orderlens.llm.common import pick, table, utf8_crc32
 from orderlens.llm.license_rules import RULES
 
@@ -122,6 +122,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    index = search.build(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"), 50).drop("query")
+
+
 def op13_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence signatures in all documents."""
     return licenses.summary(licenses.detect(table(spark, sf_dir, "documents")))
@@ -139,6 +145,7 @@ QUERIES = {
     "op9_bounded_packing": op9_bounded_packing,
     "op10_decontaminate": op10_decontaminate,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_pair_bound_search": op12_pair_bound_search,
     "op13_license_rules": op13_license_rules,
 }
 #: Links over all pairs that share a shingle, and what is reachable by them.
@@ -218,6 +225,34 @@ JOIN crown r ON r.n = 1
 """
 
 
+#: Every document scored for every item.
+_SEARCH = r"""WITH texts AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), held AS (
+  SELECT d, doc_id, len(w) AS n, w FROM texts WHERE len(w) > 0
+), counts AS (
+  SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM held
+), postings AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM held) GROUP BY ALL
+), asked AS (
+  SELECT DISTINCT q, item_id, term FROM (SELECT row_number() OVER () AS q, item_id,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), counts
+), scored AS (
+  SELECT q, item_id, p.d, any_value(doc_id) AS doc_id,
+    CAST(sum(x.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l)))) AS BIGINT) AS score
+  FROM asked a JOIN postings p ON p.term = a.term JOIN weights x ON x.term = a.term JOIN held h ON h.d = p.d, counts
+  GROUP BY q, item_id, p.d
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
 
 def _license_sql() -> str:
     """All rules at all places, and containment of every two detections of a text."""
@@ -260,5 +295,6 @@ FROM texts t LEFT JOIN told d ON d.id = t.id GROUP BY t.id, t.doc_id
 ORACLES = {
     "op2_odd_sketches": _NEAR,
     "op11_merkle_manifest": _MERKLE,
+    "op12_pair_bound_search": _SEARCH,
     "op13_license_rules": _license_sql(),
 }
