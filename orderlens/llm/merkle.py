@@ -9,7 +9,7 @@ Leaves are dealt to blocks of 2 ** ``BLOCK_LEVELS`` consecutive places.  Inside
 the last digit of the place is grouped away again and again: nodes that differ in it
 only become one row that holds their structs, so a block ends as one row with its nodes
 nested in it.  Blocks are the leaves of the next, far smaller round.  Proofs go back
-down: one transform over the nested structs adds each node's siblings to what
+down: a transform over the nested structs adds each node's siblings to what
 the block was handed from above, and explode turns the leaves into rows.  A block meets
 what it was handed by grouping, not by a join, so that null groups need no care.
 
@@ -142,24 +142,37 @@ def _grow(nodes: DataFrame, groups: list[str]) -> tuple[list[DataFrame], DataFra
         nodes = blocks.select(*groups, F.col("block").alias("at"), left.alias("height"), "digest", F.struct("block").alias("item"))
 
 
-def _proofs(kids: Column, level: int, above: Column) -> Column:
-    """(digest, item, proof) of all leaves below ``kids``, a run of nodes at ``level`` of a block."""
+def _proofs(kids: Column, height: Column, above: Column) -> Column:
+    """(digest, item, proof) of all leaves nested in ``kids``, the run of nodes below a block's top.
 
-    def sibling(node: Column, side: Callable[[Column], Column]) -> Column:
-        return F.array_join(F.transform(F.filter(kids, side), lambda k: k["digest"]), "")
+    Goes down a level at a time; every node takes the proof of the one above it along.
+    """
+    runs = F.array(F.struct(kids.alias("kids"), above.alias("proof")))
+    for level in range(BLOCK_LEVELS - 1, -1, -1):
+        below = ["digest", "item"] if level == 0 else ["kids"]
+        runs = F.flatten(F.transform(runs, _step(height > level, below)))
+    return runs
+
+
+def _step(hashed: Column, below: list[str]) -> Callable[[Column], Column]:
+    """From a run to its nodes, each with its proof; a level at which nothing is hashed adds none."""
+    return lambda run: _nodes(run, hashed, below)
+
+
+def _nodes(run: Column, hashed: Column, below: list[str]) -> Column:
+
+    def digests(side: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.transform(F.filter(run["kids"], side), lambda k: k["digest"]), "")
 
     def one(node: Column) -> Column:
         step = F.struct(
-            sibling(node, lambda k: k["at"] < node["at"]).alias("before"),
-            sibling(node, lambda k: k["at"] > node["at"]).alias("after"),
+            digests(lambda k: k["at"] < node["at"]).alias("before"),
+            digests(lambda k: k["at"] > node["at"]).alias("after"),
         )
-        proof = F.when(F.col("nest.height") > level, F.concat(F.array(step), above)).otherwise(above)
-        if level == 0:
-            return F.struct(node["digest"].alias("digest"), node["item"].alias("item"), proof.alias("proof"))
-        return _proofs(node["kids"], level - 1, proof)
+        steps = F.when(hashed, F.array(step)).otherwise(_none())
+        return F.struct(*(node[b].alias(b) for b in below), F.concat(steps, run["proof"]).alias("proof"))
 
-    found = F.transform(kids, one)
-    return found if level == 0 else F.flatten(found)
+    return F.transform(run["kids"], one)
 
 
 def _descend(rounds: list[DataFrame], groups: list[str], handed: DataFrame) -> DataFrame:
@@ -171,7 +184,7 @@ def _descend(rounds: list[DataFrame], groups: list[str], handed: DataFrame) -> D
         to = handed.select(*groups, "block", F.struct(*rest).alias("way"))
         both = nest.unionByName(to, allowMissingColumns=True).groupBy(*groups, "block")
         met = both.agg(F.first("nest", True).alias("nest"), F.first("way", True).alias("way"))
-        each = F.explode(_proofs(F.col("nest.kids"), BLOCK_LEVELS - 1, F.col("way.proof"))).alias("one")
+        each = F.explode(_proofs(F.col("nest.kids"), F.col("nest.height"), F.col("way.proof"))).alias("one")
         found = met.select(*groups, "way.subroot", "way.root", each)
         found = found.select(*groups, "one.item", "one.digest", "subroot", "root", "one.proof")
         if i == 0:
