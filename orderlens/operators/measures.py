@@ -8,16 +8,16 @@ computed from that small grouped result.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
-from datetime import date
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.functions import aggregates as A
-from orderlens.operators.joins import null_safe_join
+from orderlens.operators import timelines
 from orderlens.operators.prefix import running_totals
+from orderlens.operators.slicers import NONE, Slicers
 from orderlens.session import freeze
 
 
@@ -58,37 +58,6 @@ MEASURES: dict[str, Measure] = {
 }
 
 
-@dataclass(frozen=True)
-class Slicers:
-    """Filter context shared by the visuals of a page."""
-
-    values: Mapping[str, Sequence] = field(default_factory=dict)
-    years: Sequence[int] | None = None
-    date_range: tuple[date, date] | None = None
-
-    def without_dates(self) -> Slicers:
-        return Slicers(self.values)
-
-    def without(self, column: str) -> Slicers:
-        kept = {k: v for k, v in self.values.items() if k != column}
-        return Slicers(kept, self.years, self.date_range)
-
-    def apply(self, df: DataFrame, date_column: str = "order_date") -> DataFrame:
-        for column, allowed in self.values.items():
-            df = df.filter(F.col(column).isin(list(allowed)))
-        if self.years is not None:
-            df = df.filter(F.col("year").isin(list(self.years)))
-        if self.date_range is not None:
-            lo, hi = self.date_range
-            df = df.filter(F.col(date_column).between(lo, hi))
-            if "year" in df.columns:  # prunes the year partitions
-                df = df.filter(F.col("year").between(lo.year, hi.year))
-        return df
-
-
-NONE = Slicers()
-
-
 def evaluate(
     df: DataFrame,
     measures: Sequence[str],
@@ -116,151 +85,33 @@ def evaluate(
 # -- time intelligence -------------------------------------------------------
 
 
-def _month_index(year: str = "year", month: str = "month") -> Column:
-    return F.col(year) * 12 + F.col(month) - 1
-
-
-def _month_grid(sales: DataFrame, calendar: DataFrame, keys: list[str]) -> DataFrame:
-    """Every calendar month, once per key combination that has sales."""
-    months = calendar.select("year", "month").distinct()
-    if not keys:
-        return months.withColumn("_m", _month_index())
-    bounds = months.agg(F.min(_month_index()).alias("lo"), F.max(_month_index()).alias("hi"))
-    span = F.sequence(bounds.select("lo").scalar(), bounds.select("hi").scalar())
-    return (
-        sales.select(*keys)
-        .distinct()
-        .withColumn("_m", F.explode(span))
-        .withColumn("year", F.floor(F.col("_m") / 12).cast("int"))
-        .withColumn("month", (F.col("_m") % 12 + 1).cast("int"))
-    )
-
-
-def _selected(slicers: Slicers) -> Column:
-    """Months inside the date slicers; a date range must cover whole months."""
-    keep = F.lit(True)
-    if slicers.years is not None:
-        keep = keep & F.col("year").isin(list(slicers.years))
-    if slicers.date_range is not None:
-        lo, hi = slicers.date_range
-        keep = keep & F.col("_m").between(lo.year * 12 + lo.month - 1, hi.year * 12 + hi.month - 1)
-    return keep
-
-
-def _whole_months(slicers: Slicers) -> None:
-    if slicers.date_range is None:
-        return
-    lo, hi = slicers.date_range
-    if lo.day != 1 or (date.fromordinal(hi.toordinal() + 1)).day != 1:
-        raise ValueError("month-grain time measures need a date range of whole months")
-
-
-def _history(lines: DataFrame, slicers: Slicers) -> DataFrame:
-    """Lines that can influence the selected months: those years and the one before.
-
-    Without a date slicer all lines count.  The year bound prunes partitions.
-    """
-    years = []
-    if slicers.years is not None:
-        years += [(min(slicers.years), max(slicers.years))]
-    if slicers.date_range is not None:
-        years += [(slicers.date_range[0].year, slicers.date_range[1].year)]
-    if not years:
-        return lines
-    return lines.filter(F.col("year").between(min(y[0] for y in years) - 1, max(y[1] for y in years)))
-
-
 def time_measures(
     lines: DataFrame, calendar: DataFrame, by: Sequence[str] = (), slicers: Slicers = NONE
 ) -> DataFrame:
     """Monthly sales with last year, YoY, YTD, MoM and running total.
 
-    One row per calendar month (and per key combination in ``by``).  Shifts
-    follow calendar months, so a month without sales counts; YTD and running
-    total carry forward past the last month with data.  Shifts and YTD look
-    beyond the date slicers, the running total starts at the first selected
-    month.  A window holds one key combination, at most as many rows as the
-    calendar has months.
+    One row per selected calendar month (and per key combination in ``by``).  Shifts
+    follow calendar months, so a month without sales counts; YTD and running total carry
+    forward past the last month with data.  Shifts and YTD look beyond the date slicers,
+    the running total starts at the first selected day.  For many keys take
+    ``timelines.intervals``, which this expands: its rows follow the sales.
     """
-    _whole_months(slicers)
-    keys = list(by)
-    scope = _history(slicers.without_dates().apply(lines), slicers)
-    sales = scope.groupBy(*keys, "year", "month").agg(F.sum("sales").alias("_sales"))
-    if keys:  # read twice below: for the key list and for the sums
-        sales = freeze(sales)
-    grid = _month_grid(sales, calendar, keys)
-    dense = null_safe_join(grid, sales, [*keys, "year", "month"], "left")
-    along = Window.partitionBy(*keys).orderBy("_m")
-    in_year = Window.partitionBy(*keys, "year").orderBy("_m")
-    so_far = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    picked = _selected(slicers)
-    now = F.col("_sales")
-    shifted = dense.withColumns(
-        {
-            "_ly": F.lag("_sales", 12).over(along),
-            "_prev": F.lag("_sales", 1).over(along),
-            "_run": F.sum(F.when(picked, now)).over(so_far),
-            "_ytd": F.sum("_sales").over(in_year),
-        }
-    ).filter(picked)
-    change = lambda ref: F.when(
-        F.col(ref).isNotNull(),
-        A.ratio(F.coalesce(now, F.lit(0)) - F.col(ref), F.col(ref)),
-    )
-    return shifted.select(
-        *keys,
-        "year",
-        "month",
-        now.cast("double").alias("total_sales"),
-        F.col("_ly").cast("double").alias("sales_ly"),
-        change("_ly").alias("sales_yoy"),
-        F.col("_ytd").cast("double").alias("sales_ytd"),
-        change("_prev").alias("sales_mom"),
-        F.col("_run").cast("double").alias("running_total"),
-    )
+    found = timelines.expand(timelines.intervals(lines, calendar, by, slicers))
+    columns = [F.year("first").alias("year"), F.month("first").alias("month")]
+    return found.select(*by, *columns, *timelines.MEASURES)
 
 
 def daily_time_measures(
     lines: DataFrame, calendar: DataFrame, by: Sequence[str] = (), slicers: Slicers = NONE
 ) -> DataFrame:
-    """Day-grain sales, last year, YTD and running total.
+    """Day-grain sales, last year, YTD and running total of the selected days.
 
-    29 February looks back at 28 February.  A window holds one key combination,
-    at most as many rows as the calendar has days.
+    29 February looks back at 28 February.  As with months, ``timelines.intervals`` holds
+    the same values in rows that follow the sales.
     """
-    if slicers.years is not None or slicers.date_range is not None:
-        raise ValueError("slice the day-grain result by date instead")
-    keys = list(by)
-    sales = (
-        slicers.apply(lines)
-        .filter(F.col("order_date").isNotNull())
-        .groupBy(*keys, F.col("order_date").alias("date"))
-        .agg(F.sum("sales").alias("_sales"))
-    )
-    sales = freeze(sales)  # read again for last year's days
-    if keys:
-        bounds = calendar.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-        span = F.sequence(
-            bounds.select("lo").scalar(), bounds.select("hi").scalar(), F.expr("interval 1 day")
-        )
-        grid = sales.select(*keys).distinct().withColumn("date", F.explode(span))
-    else:
-        grid = calendar.select("date")
-    dense = null_safe_join(grid, sales, [*keys, "date"], "left")
-    last_year = sales.withColumnsRenamed({"date": "_back", "_sales": "_ly"})
-    dense = null_safe_join(
-        dense.withColumn("_back", F.add_months("date", -12)), last_year, [*keys, "_back"], "left"
-    )
-    along = Window.partitionBy(*keys).orderBy("date")
-    in_year = Window.partitionBy(*keys, F.year("date")).orderBy("date")
-    return dense.select(
-        *keys,
-        "date",
-        F.col("_sales").cast("double").alias("total_sales"),
-        F.col("_ly").cast("double").alias("sales_ly"),
-        F.sum("_sales").over(in_year).cast("double").alias("sales_ytd"),
-        F.sum("_sales").over(along).cast("double").alias("running_total"),
-    )
+    wanted = ["total_sales", "sales_ly", "sales_ytd", "running_total"]
+    found = timelines.intervals(lines, calendar, by, slicers, wanted, timelines.DAY)
+    return timelines.expand(found, timelines.DAY).withColumnRenamed("first", "date").select(*by, "date", *wanted)
 
 
 # -- rank and concentration --------------------------------------------------

@@ -686,6 +686,78 @@ add(
        ON p.d = date AND p.region = r.region""",
     CALENDAR,
 )
+
+
+def interval_visual(columns: dict[str, str], points: list[str], unit: str = "month") -> tuple[str, str]:
+    """Every customer's breakpoints, and values looked up at each of them."""
+    at = "CAST(date_trunc('month', order_date) AS DATE)" if unit == "month" else "order_date"
+    ctes = f"""{CALENDAR},
+per AS (SELECT customer AS k, {at} AS m, sum(sales) AS s FROM feat GROUP BY 1, 2),
+pts AS (SELECT DISTINCT k, CAST(p AS DATE) AS p FROM (
+          SELECT k, unnest([{', '.join(f'CAST({x} AS DATE)' for x in points)}]) AS p FROM per
+          UNION ALL SELECT k, lo FROM per, span), span WHERE p <= hi),
+t0 AS (SELECT k, p, CAST(coalesce(lead(p) OVER (PARTITION BY k ORDER BY p) - INTERVAL 1 {unit},
+          date_trunc('{unit}', hi)) AS DATE) AS z FROM pts, span),
+t AS (SELECT t0.*,
+        (SELECT s FROM per b WHERE b.k = t0.k AND b.m = p) AS s,
+        (SELECT s FROM per b WHERE b.k = t0.k AND b.m = CAST(p - INTERVAL 1 YEAR AS DATE)) AS ly,
+        (SELECT s FROM per b WHERE b.k = t0.k AND b.m = CAST(p - INTERVAL 1 MONTH AS DATE)) AS prev,
+        (SELECT sum(s) FROM per b WHERE b.k = t0.k AND b.m <= p AND year(b.m) = year(p)) AS ytd,
+        (SELECT sum(s) FROM per b WHERE b.k = t0.k AND b.m <= p) AS run
+      FROM t0)"""
+    body = ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
+    return f"SELECT k AS customer, p AS first, z AS last, {body} FROM t", ctes
+
+
+_NEXT, _SECOND, _YEAR = "m + INTERVAL 1 MONTH", "m + INTERVAL 2 MONTH", "m + INTERVAL 1 YEAR"
+add(
+    "me9_sales_ly_by_customer",
+    *interval_visual({"total_sales": NOW, "sales_ly": LY, "sales_yoy": YOY}, ["m", _NEXT, _YEAR, "m + INTERVAL 13 MONTH"]),
+)
+add("me11_sales_ytd_by_customer", *interval_visual({"sales_ytd": YTD}, ["m", "make_date(year(m) + 1, 1, 1)"]))
+add("me12_sales_mom_by_customer", *interval_visual({"sales_mom": MOM}, ["m", _NEXT, _SECOND]))
+add("me15_running_total_by_customer", *interval_visual({"running_total": RUN}, ["m"]))
+add("me15_running_total_by_customer_day", *interval_visual({"running_total": RUN}, ["m"], "day"))
+
+
+def ranged_visual(lo: str, hi: str, key: str = "", where: str = "TRUE") -> tuple[str, str]:
+    """Selected days of every month, and the days that they look back at, summed day by day."""
+    k = key or "CAST(NULL AS VARCHAR)"
+    back = lambda n: f"""(SELECT sum(s) FROM per b WHERE b.k IS NOT DISTINCT FROM v.k AND b.d >= CAST(a - INTERVAL {n} AS DATE)
+        AND b.d <= CASE WHEN z = last_day(z) THEN last_day(CAST(z - INTERVAL {n} AS DATE)) ELSE CAST(z - INTERVAL {n} AS DATE) END)"""
+    ctes = f"""{CALENDAR},
+per AS (SELECT {k} AS k, order_date AS d, sum(sales) AS s FROM feat WHERE {where} GROUP BY 1, 2),
+v AS (SELECT ks.k, year, month, greatest(make_date(year, month, 1), DATE '{lo}') AS a,
+        least(last_day(make_date(year, month, 1)), DATE '{hi}') AS z
+      FROM (SELECT DISTINCT k FROM per) ks CROSS JOIN months
+      WHERE make_date(year, month, 1) <= DATE '{hi}' AND last_day(make_date(year, month, 1)) >= DATE '{lo}'),
+t AS (SELECT v.*,
+        (SELECT sum(s) FROM per b WHERE b.k IS NOT DISTINCT FROM v.k AND b.d BETWEEN a AND z) AS s,
+        {back('1 YEAR')} AS ly, {back('1 MONTH')} AS prev,
+        (SELECT sum(s) FROM per b WHERE b.k IS NOT DISTINCT FROM v.k AND b.d <= z AND year(b.d) = v.year) AS ytd,
+        (SELECT sum(s) FROM per b WHERE b.k IS NOT DISTINCT FROM v.k AND b.d BETWEEN DATE '{lo}' AND z) AS run
+      FROM v)"""
+    lead = f"k AS {key}, " if key else ""
+    return f"""SELECT {lead}year, month, {NOW} AS total_sales, {LY} AS sales_ly, {YOY} AS sales_yoy, {YTD} AS sales_ytd,
+       {MOM} AS sales_mom, {RUN} AS running_total FROM t""", ctes
+
+
+def daily_visual(pick: str, key: str = "") -> tuple[str, str]:
+    k = key or "CAST(NULL AS VARCHAR)"
+    look = lambda what, when: f"(SELECT {what} FROM per b WHERE b.k IS NOT DISTINCT FROM ks.k AND {when})"
+    lead = f"k AS {key}, " if key else ""
+    return f"""SELECT {lead}date, {dbl(look('s', 'b.d = date'))} AS total_sales,
+       {dbl(look('s', 'b.d = CAST(date - INTERVAL 1 YEAR AS DATE)'))} AS sales_ly,
+       {dbl(look('sum(s)', 'year(b.d) = year(date) AND b.d <= date'))} AS sales_ytd,
+       {dbl(look('sum(s)', f"b.d <= date AND {pick.replace('date', 'b.d')}"))} AS running_total
+       FROM (SELECT DISTINCT k FROM per) ks CROSS JOIN cal WHERE {pick}""", f"""{CALENDAR},
+per AS (SELECT {k} AS k, order_date AS d, sum(sales) AS s FROM feat GROUP BY 1, 2)"""
+
+
+add("me18_mid_month_range", *ranged_visual("1996-02-29", "1998-02-10", "region"))
+add("me18_part_of_a_month", *ranged_visual("1997-02-05", "1997-02-20", where="segment = 'SMB'"))
+add("me18_days_in_range", *daily_visual("date BETWEEN '1996-02-29' AND '1998-02-10'", "region"))
+add("me18_days_of_years", *daily_visual("year(date) IN (1996, 1998)"))
 add(
     "me16_product_rank",
     f"""SELECT product, {dbl('revenue')} AS total_sales,

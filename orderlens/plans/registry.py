@@ -8,6 +8,7 @@ tables on first use.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 from orderlens.functions import aggregates as A
 from orderlens.functions import columns as C
 from orderlens.operators import calendar as cal
-from orderlens.operators import clean, kpis, measures, profile, star
+from orderlens.operators import clean, kpis, measures, profile, star, timelines
 from orderlens.operators.features import engineer_features, with_discount_bucket
 from orderlens.operators.measures import Slicers
 from orderlens.plans import library, pipeline, report, visuals, warehouse
@@ -367,6 +368,18 @@ on_calendar(
     "me15_running_total_by_day",
     lambda ln, c: measures.daily_time_measures(ln, c, ["region"]).select("region", "date", "running_total"),
 )
+
+
+def _intervals(*wanted: str, grain: timelines.Grain = timelines.MONTH):
+    """By customer: rows follow the sales, so the twin holds intervals as well."""
+    return lambda lines, calendar: timelines.intervals(lines, calendar, ["customer"], measures=wanted, grain=grain)
+
+
+on_calendar("me9_sales_ly_by_customer", _intervals("total_sales", "sales_ly", "sales_yoy"))
+on_calendar("me11_sales_ytd_by_customer", _intervals("sales_ytd"))
+on_calendar("me12_sales_mom_by_customer", _intervals("sales_mom"))
+on_calendar("me15_running_total_by_customer", _intervals("running_total"))
+on_calendar("me15_running_total_by_customer_day", _intervals("running_total", grain=timelines.DAY))
 _register(
     "me16_product_rank",
     lambda s, d: measures.product_rank(
@@ -404,6 +417,14 @@ on_calendar(
     "me18_time_in_context",
     _time("total_sales", "sales_ly", "sales_yoy", "sales_ytd", "sales_mom", "running_total", slicers=YEARS),
 )
+MID_MONTHS = Slicers(date_range=(date(1996, 2, 29), date(1998, 2, 10)))
+IN_A_MONTH = Slicers({"segment": ["SMB"]}, date_range=(date(1997, 2, 5), date(1997, 2, 20)))
+on_calendar("me18_mid_month_range", _time(*timelines.MEASURES, by=("region",), slicers=MID_MONTHS))
+on_calendar("me18_part_of_a_month", _time(*timelines.MEASURES, slicers=IN_A_MONTH))
+on_calendar("me18_days_in_range", lambda ln, c: measures.daily_time_measures(ln, c, ["region"], MID_MONTHS))
+on_calendar(
+    "me18_days_of_years", lambda ln, c: measures.daily_time_measures(ln, c, slicers=Slicers(years=[1996, 1998]))
+)
 on_lines(
     "me19_measure_layer",
     lambda df: measures.evaluate(df, list(measures.MEASURES), ["region", "segment"], ASIA_EUROPE, True),
