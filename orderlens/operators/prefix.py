@@ -2,7 +2,8 @@
 
 A window without PARTITION BY moves every row into one task.  Here rows are dealt
 to buckets by ranges of the value, each bucket is summed on its own and shifted by
-the total of the buckets before it.  There is one way for every size.
+the total of the buckets before it, which comes from a tree of block sums.  There is
+one way for every size.
 """
 
 from __future__ import annotations
@@ -13,40 +14,45 @@ from pyspark.sql import functions as F
 from orderlens.operators.joins import null_safe_join
 from orderlens.session import freeze
 
+#: Places that are summed by one window.
+BLOCK = 512
+
 
 def _order(value: str, descending: bool) -> Column:
     return F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
 
 
-def _bucketed(peers: DataFrame, value: str, within: list[str], descending: bool, buckets: int) -> DataFrame:
+def _bucketed(peers: DataFrame, value: str, within: list[str], descending: bool, n: int) -> DataFrame:
     """Rows with the number of their range, written once so that every use sees the same ranges."""
-    n = buckets or int(peers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = peers.repartitionByRange(n, *within, _order(value, descending))
     return freeze(dealt.withColumn("_bucket", F.spark_partition_id()))
 
 
-def _offsets(marked: DataFrame, sums: list[str], within: list[str]) -> DataFrame:
-    """Per group and bucket the totals of the buckets before it, and of the whole group.
+def sums_before(totals: DataFrame, at: str, sums: list[str], within: list[str], size: int) -> DataFrame:
+    """Per group and place the sums over all lower places (``_before_<c>``) and over the group (``_all_<c>``).
 
-    Bucket totals, as many as there are buckets, meet in one array per group.
+    ``totals`` has one row per (``within``, ``at``), places from 0 to ``size`` - 1.  Places
+    are summed in blocks of ``BLOCK``, blocks in blocks of blocks, until one is left; every
+    window holds one block.  The work is linear in the places, whatever their number.
     """
-    totals = marked.groupBy(*within, "_bucket").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums)])
-    fields = [f"_t{i}" for i in range(len(sums))]
-    lists = totals.groupBy(*within).agg(F.sort_array(F.collect_list(F.struct("_bucket", *fields))).alias("_all"))
-    each = lists.select(*within, "_all", F.posexplode("_all").alias("_at", "_own"))
-
-    def upto(i: int, n: Column) -> Column:
-        kind = totals.schema[f"_t{i}"].dataType
-        zero = F.lit(0).cast(kind)
-        first = F.slice("_all", F.lit(1), n)
-        return F.aggregate(first, zero, lambda t, x: (t + F.coalesce(x[f"_t{i}"], zero)).cast(kind))
-
-    return each.select(
-        *within,
-        F.col("_own._bucket").alias("_bucket"),
-        *[upto(i, F.col("_at")).alias(f"_o{i}") for i in range(len(sums))],
-        *[upto(i, F.size("_all")).alias(f"_w{i}") for i in range(len(sums))],
+    rows = totals.select(*within, F.col(at).cast("long").alias("_at"), *[F.col(c).alias(f"_before_{c}") for c in sums])
+    parts = [f"_before_{c}" for c in sums]
+    inside = Window.partitionBy(*within, "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_block", F.floor(F.col("_at") / BLOCK).cast("long"))
+    whole = Window.partitionBy(*within, "_block")
+    alone = size <= BLOCK
+    found = rows.withColumns(
+        {p: F.coalesce(F.sum(p).over(inside), F.lit(0)) for p in parts}
+        | ({f"_all_{c}": F.sum(f"_before_{c}").over(whole) for c in sums} if alone else {})
     )
+    if not alone:
+        blocks = rows.groupBy(*within, "_block").agg(*[F.sum(p).alias(p) for p in parts])
+        above = sums_before(blocks, "_block", parts, within, -(-size // BLOCK))
+        found = null_safe_join(found, above.withColumnsRenamed({"_at": "_block"}), [*within, "_block"])
+        found = found.withColumns(
+            {p: F.col(p) + F.col(f"_before_{p}") for p in parts} | {f"_all_{c}": F.col(f"_all__before_{c}") for c in sums}
+        )
+    return found.select(*within, "_at", *parts, *[f"_all_{c}" for c in sums])
 
 
 def cumulate_values(
@@ -66,20 +72,23 @@ def cumulate_values(
     ``buckets`` is the number of ranges, by default the shuffle partitions.
     """
     within = list(within or [])
-    marked = _bucketed(peers, value, within, descending, buckets)
+    n = buckets or int(peers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = _bucketed(peers, value, within, descending, n)
     inside = (
         Window.partitionBy(*within, "_bucket")
         .orderBy(_order(value, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = marked.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
-    shifted = null_safe_join(local, _offsets(marked, list(sums.values()), within), [*within, "_bucket"])
+    totals = marked.groupBy(*within, "_bucket").agg(*[F.sum(c).alias(f"_t_{out}") for out, c in sums.items()])
+    offsets = sums_before(totals, "_bucket", [f"_t_{out}" for out in sums], within, n)
+    shifted = null_safe_join(local, offsets.withColumnRenamed("_at", "_bucket"), [*within, "_bucket"])
     columns = {}
-    for i, (out, c) in enumerate(sums.items()):
+    for out, c in sums.items():
         own = F.lit(0) if inclusive else F.col(c)
-        columns[out] = F.col(out) + F.col(f"_o{i}") - own
-        columns[f"{out}_whole"] = F.col(f"_w{i}")
-    helpers = [f"_{k}{i}" for i in range(len(sums)) for k in "ow"]
+        columns[out] = F.col(out) + F.col(f"_before__t_{out}") - own
+        columns[f"{out}_whole"] = F.col(f"_all__t_{out}")
+    helpers = [f"_{k}__t_{out}" for out in sums for k in ("before", "all")]
     return shifted.withColumns(columns).drop("_bucket", *helpers)
 
 

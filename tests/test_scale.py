@@ -56,6 +56,31 @@ def test_running_totals_equal_a_range_window(spark, within, descending, buckets)
     assert all(r.t is None and r.t_whole is None for r in rows if r.v is None)
 
 
+@pytest.mark.parametrize("buckets", [6, 40, 300])
+def test_running_totals_over_levels_of_blocks(spark, monkeypatch, buckets):
+    monkeypatch.setattr(prefix, "BLOCK", 3)
+    df = skewed(spark, 900)
+    w = Window.partitionBy("g").orderBy(F.col("v").desc())
+    whole = Window.partitionBy("g")
+    want = df.filter("v is not null").select("id", F.sum("w").over(w).alias("t"), F.sum("w").over(whole).alias("t_whole"))
+    got = prefix.running_totals(df, "v", {"t": "w"}, ["g"], buckets=buckets).filter("v is not null")
+    key = lambda r: (r.id, r.t, r.t_whole)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_twenty_thousand_buckets(spark):
+    n, buckets = 1_000_000, 20_000
+    marked = spark.range(n).select((F.col("id") % buckets).alias("b"), (F.col("id") % 7).alias("w"), F.lit("g").alias("g"))
+    totals = marked.groupBy("g", "b").agg(F.sum("w").alias("t"))
+    found = prefix.sums_before(totals, "b", ["t"], ["g"], buckets)
+    assert "collect_list" not in plan(found)
+    table = found.toPandas().sort_values("_at")
+    ids = np.arange(n)
+    per = np.bincount(ids % buckets, ids % 7, buckets).astype(int)
+    assert (table["_before_t"].to_numpy() == np.cumsum(per) - per).all()
+    assert (table["_all_t"] == per.sum()).all() and len(table) == buckets
+
+
 @pytest.mark.parametrize("buckets", [0, 1, 300])
 def test_exclusive_totals_are_ranks(spark, buckets):
     df = skewed(spark).withColumn("one", F.lit(1).cast("long"))
