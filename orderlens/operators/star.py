@@ -6,16 +6,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.operators import keys
+from orderlens.operators.joins import null_safe_join
+from orderlens.operators.keys import number_rows  # noqa: F401
 from orderlens.schema import DIM_CUSTOMER, DIM_DATE, DIM_GEOGRAPHY, DIM_PRODUCT, FACT_SALES
+from orderlens.session import freeze
 from orderlens.sources.tables import write_table
 
 GEO = ["country", "city", "region", "subregion"]
-KEY_BUCKETS = 1024
-MAX_KEY_BUCKETS = 4096
 
 
 class IntegrityError(Exception):
@@ -44,55 +46,38 @@ class Star:
             df.createOrReplaceTempView(name)
 
 
-def number_rows(df: DataFrame, keys: list[str], name: str, buckets: int = KEY_BUCKETS) -> DataFrame:
-    """Gapless integer ids 1..n, the same on every run over the same rows.
-
-    Rows are spread by a hash of their natural key and numbered inside each
-    bucket; the sizes of the earlier buckets shift them.  No task sees more
-    than its buckets.
-    """
-    if not 0 < buckets <= MAX_KEY_BUCKETS:
-        raise ValueError(f"buckets must be between 1 and {MAX_KEY_BUCKETS}")
-    marked = df.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    inside = Window.partitionBy("_bucket").orderBy(*keys)
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    shifts = sizes.select(
-        "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift")
-    )  # at most MAX_KEY_BUCKETS rows
-    return (
-        marked.withColumn("_pos", F.row_number().over(inside))
-        .join(F.broadcast(shifts), "_bucket")
-        .withColumn(name, (F.col("_pos") + F.col("_shift")).cast("int"))
-        .select(name, *df.columns)
-    )
-
-
-def dim_date(lines: DataFrame) -> DataFrame:
-    """One row per date key; the key is natural."""
-    return (
-        lines.select(
-            "date_key", F.col("order_date").alias("full_date"), "year", "quarter", "month", "month_name"
-        )
-        .distinct()
-        .select(*DIM_DATE)
-    )
-
-
-def dim_customer(lines: DataFrame) -> DataFrame:
-    people = lines.select(
-        "customer_id", F.col("customer").alias("customer_name"), "industry", "segment"
-    ).distinct()
-    return number_rows(people, ["customer_id"], "customer_key").select(*DIM_CUSTOMER)
-
-
-def dim_product(lines: DataFrame) -> DataFrame:
-    names = lines.select(F.col("product").alias("product_name")).distinct()
-    return number_rows(names, ["product_name"], "product_key").select(*DIM_PRODUCT)
-
-
-def dim_geography(lines: DataFrame) -> DataFrame:
-    return number_rows(lines.select(*GEO).distinct(), GEO, "geography_key").select(*DIM_GEOGRAPHY)
+#: Columns of the flat lines that make up each dimension, and the natural key that its number stands for.
+MEMBERS = {
+    "dim_date": ["date_key", "order_date", "year", "quarter", "month", "month_name"],
+    "dim_customer": ["customer_id", "customer", "industry", "segment"],
+    "dim_product": ["product"],
+    "dim_geography": GEO,
+}
+NUMBERED = {
+    "dim_customer": ("customer_key", ["customer_id"]),
+    "dim_product": ("product_key", ["product"]),
+    "dim_geography": ("geography_key", GEO),
+}
+_TABLES = {"dim_date": DIM_DATE, "dim_customer": DIM_CUSTOMER, "dim_product": DIM_PRODUCT, "dim_geography": DIM_GEOGRAPHY}
+_NAMES = {"order_date": "full_date", "customer": "customer_name", "product": "product_name"}
+
+
+def dimension_members(lines: DataFrame) -> dict[str, DataFrame]:
+    """Distinct members of all dimensions, from one scan of the lines, written once."""
+    columns = [c for own in MEMBERS.values() for c in own]
+    found = freeze(lines.groupingSets(list(MEMBERS.values()), *columns).agg(F.grouping_id().alias("_set")))
+    # a bit per column, the first one highest, set where the column is not in the grouping
+    left_out = {n: sum(1 << i for i, c in enumerate(reversed(columns)) if c not in own) for n, own in MEMBERS.items()}
+    return {n: found.where(F.col("_set") == left_out[n]).select(*own) for n, own in MEMBERS.items()}
+
+
+def dimension(name: str, members: DataFrame, registry: str) -> DataFrame:
+    """One dimension of these members, with the numbers that the registry keeps for them."""
+    if name in NUMBERED:
+        key, natural = NUMBERED[name]
+        known = keys.register(members.select(*natural).distinct(), f"{registry}/{name}", key)
+        members = null_safe_join(members, known, natural)
+    return members.withColumnsRenamed(_NAMES).select(*_TABLES[name])
 
 
 def fact_sales(
@@ -135,21 +120,24 @@ def build_star(
     null_safe_geography: bool = False,
     sale_id: str | None = None,
     check: bool = True,
+    registry: str | None = None,
 ) -> Star:
     """Drop-and-recreate load of the five tables under ``root``.
 
-    Dimensions are written first, so the fact load reads them back with known
-    sizes.  The fact is partitioned by year for date pruning.
+    Numbers of members last: the registry of an earlier load (``registry``, by default a
+    folder under ``root``) keeps them, and only new members get new ones.  Dimensions are
+    written first, so the fact load reads them back with known sizes.  The fact is
+    partitioned by year for date pruning.
     """
-    dims = {
-        "dim_date": dim_date(lines),
-        "dim_customer": dim_customer(lines),
-        "dim_product": dim_product(lines),
-        "dim_geography": dim_geography(lines),
-    }
+    members = dimension_members(lines)
+    registry = registry or f"{root}/keys"
+
+    def load(name: str) -> DataFrame:
+        return write_table(dimension(name, members[name], registry), f"{root}/{name}")
+
     # The four loads are independent and each leaves cores idle, so they overlap.
-    with ThreadPoolExecutor(len(dims)) as pool:
-        stored = dict(zip(dims, pool.map(lambda n: write_table(dims[n], f"{root}/{n}"), dims), strict=True))
+    with ThreadPoolExecutor(len(members)) as pool:
+        stored = dict(zip(members, pool.map(load, members), strict=True))
     fact = fact_sales(
         lines.drop("year"),
         stored["dim_customer"],
@@ -194,10 +182,10 @@ def _violations(df: DataFrame, table: str, rule: str) -> DataFrame:
     )
 
 
-def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows beyond the first for each key; keys with a null are exempt, as in SQL."""
-    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
-    repeats = df.filter(present).groupBy(*keys).agg(F.count("*").alias("c"))
+    present = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in columns])
+    repeats = df.filter(present).groupBy(*columns).agg(F.count("*").alias("c"))
     return repeats.agg(F.sum(F.col("c") - 1).alias("n"))
 
 
@@ -217,7 +205,7 @@ def constraint_violations(star: Star, sale_ids: bool = True) -> DataFrame:
     that shuffles the whole fact; a drawn id is unique by construction.
     """
     checks = []
-    keys = {
+    unique = {
         "dim_date": [["date_key"]],
         "dim_customer": [["customer_key"], ["customer_id"]],
         "dim_product": [["product_key"], ["product_name"]],
@@ -231,7 +219,7 @@ def constraint_violations(star: Star, sale_ids: bool = True) -> DataFrame:
         "fact_sales": ["sale_id", "order_id"],
     }
     tables = star.tables()
-    for name, groups in keys.items():
+    for name, groups in unique.items():
         for cols in groups:
             checks.append(
                 _violations(duplicate_keys(tables[name], cols), name, f"unique({', '.join(cols)})")

@@ -316,7 +316,7 @@ for _name, _table in (
     add(_name, f"SELECT DISTINCT {DIMS[_table]} FROM feat")
 add(
     "et2_customer_keys",
-    """SELECT CAST(row_number() OVER () AS INT) AS customer_key
+    """SELECT row_number() OVER () AS customer_key
        FROM (SELECT DISTINCT customer_id, customer, industry, segment FROM feat)""",
 )
 add(
