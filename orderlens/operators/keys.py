@@ -48,19 +48,23 @@ def read(spark: SparkSession, path: str, members: T.StructType, name: str) -> Da
     return spark.read.schema(schema).parquet(path)
 
 
-def register(members: DataFrame, path: str, name: str) -> DataFrame:
+def register(members: DataFrame, path: str, name: str, order: list[str] | None = None) -> DataFrame:
     """Add the new ones of ``members`` (distinct natural keys; null is a key like any other).
 
-    Returns (name, natural key) of all members the registry holds then.
+    ``order`` names further columns of ``members`` by which new ones are numbered first, so
+    that members met together get numbers close together; they are not kept.  Returns
+    (name, natural key) of all members the registry holds then.
     """
-    spark, keys = members.sparkSession, members.columns
-    held = read(spark, path, members.schema, name)
+    spark, first = members.sparkSession, order or []
+    keys = [c for c in members.columns if c not in first]
+    natural = members.select(*keys).schema
+    held = read(spark, path, natural, name)
     new, last, batch = members, 0, 0
     if held is not None:
         top = held.agg(F.max(name).alias("last"), F.max("batch").alias("batch")).first()
         last, batch = top["last"] or 0, top["batch"] or 0
         new = null_safe_join(members, held.select(*keys), keys, "left_anti")
-    numbered = number_rows(new, keys, name, after=last)
+    numbered = number_rows(new, [*first, *keys], name, after=last)
     if held is None or not numbered.isEmpty():
-        numbered.write.mode("overwrite").parquet(f"{path}/batch={batch + 1}")
-    return read(spark, path, members.schema, name).drop("batch")
+        numbered.select(name, *keys).write.mode("overwrite").parquet(f"{path}/batch={batch + 1}")
+    return read(spark, path, natural, name).drop("batch")

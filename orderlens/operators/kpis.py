@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import aggregates as A
 from orderlens.functions import columns as C
+from orderlens.operators.grouping import grouped
 
 MEASURES = ["sales", "quantity", "discount", "profit", "profit_margin"]
 
@@ -44,12 +45,15 @@ def build_order_level(df: DataFrame, sequence: str = "line_seq") -> DataFrame:
 
 def headline_kpis(df: DataFrame) -> DataFrame:
     """One row with the seven top-line figures."""
-    sums = df.agg(
-        A.total_or_zero("sales").alias("total_sales"),
-        A.total_or_zero("profit").alias("total_profit"),
-        F.count_distinct("order_id").alias("n_orders"),
-        F.count_distinct("customer_id").alias("n_customers"),
-        A.mean("discount").alias("_discount"),
+    sums = grouped(
+        df,
+        {
+            "total_sales": A.total_or_zero("sales"),
+            "total_profit": A.total_or_zero("profit"),
+            "_discount": A.mean("discount"),
+        },
+        {"n_orders": "order_id", "n_customers": "customer_id"},
+        [],
     )
     return sums.select(
         "total_sales",

@@ -1,7 +1,8 @@
 """Measure layer: named measures for any grouping, under any filters.
 
 ``evaluate`` answers one visual: the slicers become a filter, the axis becomes a
-GROUP BY, and all plain measures come out of a single aggregate.  Measures that
+GROUP BY, and all sums come out of a single aggregate; each further distinct count
+has a narrow one of its own, so that no row is copied.  Measures that
 change their context (share of total, rank, cumulative share, time shifts) are
 computed from that small grouped result.
 """
@@ -16,19 +17,22 @@ from pyspark.sql import functions as F
 
 from orderlens.functions import aggregates as A
 from orderlens.operators import timelines
+from orderlens.operators.grouping import grouped
 from orderlens.operators.prefix import running_totals
 from orderlens.operators.slicers import NONE, Slicers
 from orderlens.session import freeze
 
 
-def _bases() -> dict[str, Column]:
-    """Aggregates every plain measure is made of."""
+#: Distinct counts and the columns they count.
+COUNTED = {"orders": "order_id", "customers": "customer_id"}
+
+
+def bases() -> dict[str, Column]:
+    """Sums every plain measure is made of, besides the distinct counts."""
     return {
         "sales": F.sum("sales"),
         "profit": F.sum("profit"),
-        "orders": F.count_distinct("order_id"),
         "quantity": F.sum("quantity"),
-        "customers": F.count_distinct("customer_id"),
         "discount": F.sum("discount"),
         "discounts": F.count("discount"),
         "loss_sales": F.sum(F.when(F.col("profit") < 0, F.col("sales"))),
@@ -69,17 +73,24 @@ def evaluate(
 
     The share divides by the total under the same slicers, ignoring the axis.
     """
-    bases = _bases()
-    needed = {b for m in measures for b in MEASURES[m].needs} | ({"sales"} if share_of_total else set())
-    sliced = slicers.apply(df)
-    aggs = [bases[b].alias(f"_{b}") for b in sorted(needed)]
-    grouped = sliced.groupBy(*by).agg(*aggs) if by else sliced.agg(*aggs)
+    needed = bases_of(measures, share_of_total)
+    sums = {f"_{b}": c for b, c in bases().items() if b in needed}
+    distinct = {f"_{b}": c for b, c in COUNTED.items() if b in needed}
+    return finish(grouped(slicers.apply(df), sums, distinct, by), measures, by, share_of_total)
+
+
+def bases_of(measures: Sequence[str], share_of_total: bool = False) -> set[str]:
+    return {b for m in measures for b in MEASURES[m].needs} | ({"sales"} if share_of_total else set())
+
+
+def finish(found: DataFrame, measures: Sequence[str], by: Sequence[str], share_of_total: bool) -> DataFrame:
+    """Measures from their bases, one row per group."""
     out = [MEASURES[m].value().alias(m) for m in measures]
     if share_of_total:
-        grouped = freeze(grouped)  # read twice: for the rows and for the total
-        whole = grouped.agg(F.sum("_sales")).scalar()
+        found = freeze(found)  # read twice: for the rows and for the total
+        whole = found.agg(F.sum("_sales")).scalar()
         out.append(A.ratio(_b("sales"), whole).alias("pct_of_total_sales"))
-    return grouped.select(*by, *out)
+    return found.select(*by, *out)
 
 
 # -- time intelligence -------------------------------------------------------

@@ -785,9 +785,22 @@ add(
     REVENUE.format(keys="region, customer"),
 )
 
-# -- visuals -----------------------------------------------------------------------
+# -- stored aggregates -----------------------------------------------------------
 
 CARDS = ["total_sales", "total_profit", "profit_margin", "total_orders", "avg_order_value"]
+ASIA_YEARS = f"{ASIA_EUROPE} AND year IN (1996, 1997)"
+add("me3_total_orders_stored", visual(["total_orders", "total_customers"], ["region"], ASIA_YEARS))
+add("me5_total_customers_stored", visual(["total_customers"], ["year", "month"], "segment = 'SMB'"))
+add("me19_measure_layer_stored", visual(list(MEASURES), ["region", "segment"], ASIA_EUROPE, True))
+add("vi1_kpi_cards_synced", visual(CARDS, [], ASIA_YEARS))
+add("vi2_monthly_trend_synced", visual(["total_sales", "total_profit"], ["year", "month"], ASIA_YEARS))
+add("vi4_product_profit_synced", visual(["total_profit", "total_orders"], ["product"], YEARS))
+add("vi11_industry_segment_synced", visual(["total_sales", "profit_margin", "total_customers"], ["industry", "segment"], YEARS))
+add("vi12_customer_table_synced", visual(CARDS, ["customer"], ASIA_YEARS))
+add("vi1_kpi_cards_mid_months", visual(CARDS, ["region"], "order_date BETWEEN '1996-02-29' AND '1998-02-10'"))
+
+# -- visuals -----------------------------------------------------------------------
+
 add("vi1_kpi_cards", visual(CARDS, []))
 add(
     "vi2_monthly_trend",

@@ -430,6 +430,25 @@ on_lines(
     lambda df: measures.evaluate(df, list(measures.MEASURES), ["region", "segment"], ASIA_EUROPE, True),
 )
 
+# -- stored aggregates -----------------------------------------------------------
+
+
+def on_store(name: str, measure_names: list[str], by: list[str], slicers: Slicers = measures.NONE, share: bool = False) -> None:
+    """A request that the smallest fitting stored aggregate answers, else the lines."""
+    _register(name, lambda s, d: warehouse.aggregates(s, d).evaluate(measure_names, by, slicers, share))
+
+
+ASIA_YEARS = Slicers({"region": ["ASIA", "EUROPE"]}, years=[1996, 1997])
+on_store("me3_total_orders_stored", ["total_orders", "total_customers"], ["region"], ASIA_YEARS)
+on_store("me5_total_customers_stored", ["total_customers"], ["year", "month"], SMB)
+on_store("me19_measure_layer_stored", list(measures.MEASURES), ["region", "segment"], ASIA_EUROPE, True)
+on_store("vi1_kpi_cards_synced", visuals.CARDS, [], ASIA_YEARS)
+on_store("vi2_monthly_trend_synced", ["total_sales", "total_profit"], ["year", "month"], ASIA_YEARS)
+on_store("vi4_product_profit_synced", ["total_profit", "total_orders"], ["product"], YEARS)
+on_store("vi11_industry_segment_synced", ["total_sales", "profit_margin", "total_customers"], ["industry", "segment"], YEARS)
+on_store("vi12_customer_table_synced", visuals.CARDS, ["customer"], ASIA_YEARS)
+on_store("vi1_kpi_cards_mid_months", visuals.CARDS, ["region"], MID_MONTHS)
+
 # -- visuals -----------------------------------------------------------------------
 
 on_lines("vi1_kpi_cards", visuals.kpi_cards)

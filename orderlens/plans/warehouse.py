@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from orderlens.operators.calendar import date_table
+from orderlens.operators.distincts import Level, Store, build_store
 from orderlens.operators.star import Star, build_star, read_star
 from orderlens.session import shared_dir
 from orderlens.sources import tpch
@@ -23,6 +24,8 @@ from orderlens.sources.tables import write_table
 # (application, sf_dir, name) -> schemas of the tables stored there.
 _BUILT: dict[tuple[str, str, str], dict[str, T.StructType]] = {}
 _LOCK = threading.RLock()
+# (application, sf_dir) -> rows of each stored aggregate
+_ROWS: dict[tuple[str, str], list[int]] = {}
 
 
 def folder(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -64,3 +67,28 @@ def star(spark: SparkSession, sf_dir: str) -> Star:
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return date_table(star(spark, sf_dir).dim_date)
+
+
+#: Keys of the stored aggregates; a dashboard request takes the smallest that has all it asks for.
+LEVELS = (
+    ("year", "month", "region", "segment"),
+    ("year", "segment", "industry"),
+    ("year", "region", "segment", "product"),
+)
+
+
+def aggregates(spark: SparkSession, sf_dir: str) -> Store:
+    """Stored sums and bitmaps of ``LEVELS``, over the stored lines."""
+    source = lines(spark, sf_dir)
+
+    def build(path: str) -> dict[str, T.StructType]:
+        store = build_store(source, path, LEVELS)
+        parts = {f"{n}_sums": v.sums.schema for n, v in enumerate(store.levels)}
+        parts |= {f"{n}_bitmaps": v.bitmaps.schema for n, v in enumerate(store.levels)}
+        _ROWS[(spark.sparkContext.applicationId, sf_dir)] = [v.rows for v in store.levels]
+        return parts
+
+    path, schemas = _once(spark, sf_dir, "aggregates", build)
+    read = lambda n, what: spark.read.schema(schemas[f"{n}_{what}"]).parquet(f"{path}/level{n}_{what}")
+    rows = _ROWS[(spark.sparkContext.applicationId, sf_dir)]
+    return Store(source, [Level(cells, read(n, "sums"), read(n, "bitmaps"), rows[n]) for n, cells in enumerate(LEVELS)])
