@@ -35,14 +35,25 @@ def number_rows(df: DataFrame, keys: list[str], name: str, buckets: int | None =
     return numbered.withColumn(name, number.cast("long")).select(name, *df.columns)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _place(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place, store = _place(spark, path)
+    return store.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored folder or file."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
 
 
 def read(spark: SparkSession, path: str, members: T.StructType, name: str) -> DataFrame | None:
     """(name, natural key, batch) of all members so far; None before the first load."""
-    if not _exists(spark, path):
+    if not exists(spark, path):
         return None
     schema = T.StructType([T.StructField(name, T.LongType()), *members.fields, T.StructField("batch", T.IntegerType())])
     return spark.read.schema(schema).parquet(path)

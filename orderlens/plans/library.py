@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orderlens.functions import aggregates as A
 from orderlens.functions import columns as C
@@ -16,6 +17,7 @@ from orderlens.operators.joins import null_safe_join
 from orderlens.operators.measures import concentration
 from orderlens.operators.star import Star
 from orderlens.session import freeze
+from orderlens.sources.incremental import MonthlyRefresh
 from orderlens.sources.tables import refresh_by_year
 
 
@@ -358,6 +360,20 @@ def register_views(spark: SparkSession, star: Star) -> None:
     spark.sql(REGION_FUNCTION)
 
 
+def monthly_refresh(root: str, fact: T.StructType) -> MonthlyRefresh:
+    """The monthly view as a table that follows the files of a fact table with this schema."""
+
+    def dated(rows: DataFrame) -> DataFrame:
+        year, month = F.floor(F.col("date_key") / 10000), F.floor(F.col("date_key") / 100) % 100
+        return rows.withColumns({"year": year.cast("int"), "month": month.cast("int")}).where("date_key IS NOT NULL")
+
+    def finish(sums: DataFrame) -> DataFrame:
+        named = sums.withColumnsRenamed({"sales": "_sales", "profit": "_profit"})
+        return named.select("year", "month", _money("_sales", "sales"), _money("_profit", "profit"), _margin(), "orders")
+
+    return MonthlyRefresh(root, fact, dated, ["sales", "profit"], finish)
+
+
 def refresh_monthly_kpis(
     spark: SparkSession, star: Star, path: str, years: list[int] | None = None
 ) -> DataFrame:

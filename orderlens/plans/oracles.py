@@ -535,7 +535,7 @@ add(
 )
 MONTHLY = f"""SELECT year, month, {RS} AS sales, {RP} AS profit, {MARGIN} AS margin_pct,
     count(DISTINCT order_id) AS orders FROM feat GROUP BY year, month"""
-for _name in ("d2_monthly_kpis", "io9_refresh_monthly_kpis"):
+for _name in ("d2_monthly_kpis", "io9_refresh_monthly_kpis", "io9_incremental_refresh"):
     add(_name, MONTHLY)
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from orderlens.functions import aggregates as A
 from orderlens.functions import columns as C
 from orderlens.operators import calendar as cal
-from orderlens.operators import clean, kpis, measures, profile, star, timelines
+from orderlens.operators import clean, keys, kpis, measures, profile, star, timelines
 from orderlens.operators.features import engineer_features, with_discount_bucket
 from orderlens.operators.measures import Slicers
 from orderlens.plans import library, pipeline, report, visuals, warehouse
@@ -116,6 +116,22 @@ def _io9(spark, d):
     return library.refresh_monthly_kpis(spark, schema, path, [max(years)])
 
 
+def _io9_incremental(spark, d):
+    """Files arrive, a wrong one among them, and the wrong one is taken away again."""
+    source, root = warehouse.folder(spark, d, "io9_source"), warehouse.folder(spark, d, "io9_incremental")
+    fact = warehouse.star(spark, d).fact_sales.drop("sale_year")
+    kept = library.monthly_refresh(root, fact.schema)
+    early = F.col("date_key") < 19961015
+    fact.where(early).write.mode("overwrite").parquet(f"{source}/early")
+    kept.refresh(spark, source)
+    fact.where(~early).write.mode("overwrite").parquet(f"{source}/late")
+    wrong = fact.where(F.col("date_key").between(19960101, 19970631)).withColumn("order_id", -F.col("order_id"))
+    wrong.write.mode("overwrite").parquet(f"{source}/wrong")
+    kept.refresh(spark, source)
+    keys.remove(spark, f"{source}/wrong")
+    return kept.refresh(spark, source)
+
+
 def _pipeline(spark, d):
     raw = _loaded(spark, d).drop("source_kind")
     return pipeline.prepare(raw).select(*CLEAN_COLUMNS)
@@ -129,6 +145,7 @@ _register("io5_write_partitioned", _io5)
 _register("io6_star_tables", _io6)
 on_lines("io7_drop_columns", lambda df: clean.drop_columns(df.select(*SOURCE_COLUMNS), ["contact_name", "license"]))
 _register("io9_refresh_monthly_kpis", _io9)
+_register("io9_incremental_refresh", _io9_incremental)
 _register("pipeline_clean_lines", _pipeline)
 
 # -- profile and cleaning ------------------------------------------------------
