@@ -19,6 +19,7 @@ each and count each; other columns are ignored; no rows give no rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,10 @@ KINDS = ("email", "ip", "card", "phone", "term")
 GENERALISE, REMOVE = 0.9, 0.98
 #: Different lines that must hold an entity and a word together.
 SUPPORT = 3
+#: Words that a task holds before it sends their counts.
+HELD_WORDS = 500_000
+#: Bits of the table that keeps words beside no entity out of the counts; more words fill it, and cost, never lose, counts.
+FILTER_BITS = 1 << 25
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 #: The same from the beginning of a run of letters that can stand before the sign; later beginnings can do no better.
@@ -95,7 +100,7 @@ def _hash(text: str) -> int:
 
 
 _SPAN = "struct<begin:long,stop:long,kind:string>"
-_FOUND = f"doc_id long, spans array<{_SPAN}>, words array<struct<word:long,line:long,begin:long,stop:long>>, held array<struct<entity:long,line:long,whole:boolean>>"
+_FOUND = f"doc_id long, spans array<{_SPAN}>, words array<struct<word:long,line:long,beside:boolean,begin:int,stop:int>>, held array<struct<entity:long,line:long,whole:boolean>>"
 
 
 def names(kind: str, value: str) -> list[str]:
@@ -114,29 +119,42 @@ def _words(text: str) -> list[tuple[int, int, str]]:
 
 
 def _beside(text: str, spans: list[tuple[int, int, str]]) -> tuple[list[dict], list[dict]]:
-    """Words of a text outside its spans, and the entities of its lines and of the whole."""
+    """Words of a text outside its spans (and whether their line has one), and the entities of its lines and of the whole."""
     held, words, begin = {}, [], 0
     whole, at = _hash(text), 0
     for line in text.split("\n"):
         name, stop = _hash(line), begin + len(line)
-        own = []
+        first = at
         while at < len(spans) and spans[at][0] <= stop:  # a span belongs to the line where it begins
-            own.append(spans[at])
+            a, b, kind = spans[at]
             at += 1
-        for a, b, kind in own:
             for n in names(kind, text[a:b]):
                 held[_entity_hash(n, False), name, False] = held[_entity_hash(n, True), whole, True] = None
+        covered, k = _merged(spans[first:at]), 0
         for a, b, word in _words(line):
             a, b = begin + a, begin + b
-            if not any(a < y and x < b for x, y, _ in own):
-                words.append({"word": _hash(word), "line": name, "begin": a, "stop": b})
+            while k < len(covered) and covered[k][1] <= a:
+                k += 1
+            if k == len(covered) or covered[k][0] >= b:
+                words.append({"word": _hash(word), "line": name, "beside": at > first, "begin": a, "stop": b})
         begin = stop + 1
     return words, [dict(zip(("entity", "line", "whole"), h, strict=True)) for h in held]
 
 
+def _merged(spans: list[tuple[int, int, str]]) -> list[list[int]]:
+    """What spans cover, as stretches that don't meet."""
+    out: list[list[int]] = []
+    for a, b, _ in spans:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("begin", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())])
-    word = pa.struct([(n, pa.int64()) for n in ("word", "line", "begin", "stop")])
+    word = pa.struct([("word", pa.int64()), ("line", pa.int64()), ("beside", pa.bool_()), ("begin", pa.int32()), ("stop", pa.int32())])
     held = pa.struct([("entity", pa.int64()), ("line", pa.int64()), ("whole", pa.bool_())])
     for batch in (part for whole in batches for part in text_slices(whole)):
         texts = batch.column("text").to_pylist()
@@ -153,28 +171,54 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _holding(codes: np.ndarray, units: np.ndarray, number: int, total: int) -> np.ndarray:
-    """How many units hold each code."""
-    return np.bincount(np.unique(codes * max(total, 1) + units) // max(total, 1), minlength=number)
+class _Lower(dict):
+    """Words in lower case, each made once."""
+
+    def __missing__(self, word: str) -> str:
+        self[word] = low = word.lower()
+        return low
+
+
+def _count(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Lines and texts that hold each word whose hash is among ``bits``, and their numbers under a null.
 
+    Words are added up over the whole task and sent when there are many.
+    """
+    lines, texts, n_lines, n_texts = Counter(), Counter(), 0, 0
+    lower = _Lower()
+
+    def sent() -> pa.RecordBatch:
+        hashes = np.array([_hash(w) for w in lines], np.int64)
+        keep = bits[hashes & (len(bits) - 1)] if len(hashes) else np.zeros(0, bool)
+        full = np.array([(n, texts[w]) for w, n in lines.items()], np.int64).reshape(-1, 2)[keep]
+        columns = [[*hashes[keep].tolist(), None], [*full[:, 0].tolist(), n_lines], [*full[:, 1].tolist(), n_texts]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["word", "lines", "texts"])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lines and texts that hold each word, slice by slice, and their numbers under a null."""
     for batch in (part for whole in batches for part in text_slices(whole)):
-        lines = [list(dict.fromkeys((t or "").split("\n"))) for t in batch.column("text").to_pylist()]
-        found = [[w for _, _, w in _words(x)] for own in lines for x in own]
-        words = pa.array([w for own in found for w in own], pa.string()).dictionary_encode()
-        keys = words.dictionary.to_pylist()
-        codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        line = np.repeat(np.arange(len(found)), [len(own) for own in found])
-        text = np.repeat(np.arange(len(lines)), [len(own) for own in lines])[line]
-        hashes = [_hash(k) for k in keys]
-        for whole, units, total in ((False, line, len(found)), (True, text, len(lines))):
-            n = _holding(codes, units, len(keys), total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*hashes, None], pa.int64()), pa.array([whole] * (len(keys) + 1)), pa.array([*n.tolist(), total], pa.int64())],
-                ["word", "whole", "n"],
-            )
+        for text in batch.column("text").to_pylist():
+            own: set[str] = set()
+            for line in dict.fromkeys((text or "").split("\n")):
+                n_lines += 1
+                words = set(map(lower.__getitem__, _WORD.findall(line)))
+                lines.update(words)
+                own |= words
+            texts.update(own)
+            n_texts += 1
+        if len(lines) > HELD_WORDS or len(lower) > HELD_WORDS:
+            yield sent()
+            lines, texts, n_lines, n_texts = Counter(), Counter(), 0, 0
+            lower.clear()
+    yield sent()
+
+
+def _bits(words: DataFrame) -> np.ndarray:
+    """A bit for the hash of each word: a table of fixed size, built in the tasks."""
+    at = F.col("word").bitwiseAND(FILTER_BITS - 1)
+    parts = words.groupBy(F.shiftright(at, 15).alias("part")).agg(F.bitmap_construct_agg(at.bitwiseAND(32767)).alias("bits"))
+    out = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
+    for r in parts.collect():  # at most FILTER_BITS / 8 bytes
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return np.unpackbits(out.reshape(-1), bitorder="little").astype(bool)
 
 
 def disclosure(together: Column, lines: Column, entity_lines: Column, word_lines: Column) -> Column:
@@ -184,38 +228,77 @@ def disclosure(together: Column, lines: Column, entity_lines: Column, word_lines
 
 
 def find_spans(docs: DataFrame, generalise: float = GENERALISE, support: int = SUPPORT) -> DataFrame:
-    """Per row: doc_id, base (spans by pattern) and terms (begin, stop, share of what they disclose)."""
+    """Per row: doc_id, base (spans by pattern) and terms (begin, stop, share of what they disclose).
+
+    Words meet entities only where they can disclose one.  A word that stands in h lines
+    with any entity and in n lines at all discloses e only if min(h, n(e)) / n reaches
+    (n(e) / N) ** (1 - generalise), and no entity of fewer than ``support`` lines counts;
+    both bounds are exact, and leave few words and entities to be paired.
+    """
     ship(docs.sparkSession)
     docs = pick(docs, "doc_id", "text")
     found = stage(docs.mapInArrow(_scan, _FOUND).withColumn("id", F.monotonically_increasing_id()), "spans")
-    beside = found.where("size(held) > 0").select("id", "words", F.explode("held").alias("e")).select("id", "words", "e.*")
-    entities = beside.groupBy("entity", "whole").agg(F.count("*").alias("entity_lines"))
-    beside = beside.withColumn("w", F.explode(F.expr("filter(words, w -> whole or w.line = line)")))
-    beside = beside.select("id", "entity", "whole", "line", "w.word", "w.begin", "w.stop")
-    # a word can stand in a line twice; equal lines of a row count once
-    held = beside.groupBy("entity", "whole", "word", "line", "id").agg(F.count("*").alias("_"))
-    held = held.groupBy("entity", "whole", "word", "line").agg(F.count("*").alias("n"))
-    pairs = held.groupBy("entity", "whole", "word").agg(F.sum("n").alias("together"), F.count("*").alias("kinds")).where(F.col("kinds") >= support)
-    # entities of kinds have many words each: their few counts go to all tasks, the others are joined
+    holding = found.where("size(held) > 0")
+    words, numbers = _candidates(docs, holding, support)
+    n = F.when(F.col("whole"), F.lit(numbers[True])).otherwise(F.lit(numbers[False]))
+    reach = lambda together, entity: together / F.col("n") >= F.pow(entity / n, 1 - generalise) * (1 - 1e-9)
+    words = stage(words.where((F.col("h") >= support) & reach(F.col("h"), F.lit(float(support)))), "words")
+
+    # lines (texts) of every row with the words that may tell, and with the entities that may be told
+    spots = holding.select("id", F.explode("words").alias("w")).select("id", "w.*")
+    spots = stage(spots.join(words.select("word").distinct(), "word"), "spots")
+    unit = F.when(F.col("whole"), F.lit(0)).otherwise(F.col("line")).alias("unit")
+    units = spots.join(words, "word").where("whole or beside").select("id", "whole", unit, "word", "h", "n").distinct()
+    held = holding.select("id", F.explode("held").alias("e")).select("id", "e.*")
+    entities = held.groupBy("entity", "whole").agg(F.count("*").alias("size")).where(F.col("size") >= support)
     entities = stage(entities, "entities")
-    wide = [_entity_hash(f"kind:{k}", whole) for k in KINDS for whole in (False, True)]
-    few = F.broadcast(entities.where(F.col("entity").isin(wide)))
-    narrow = pairs.where(~F.col("entity").isin(wide)).join(entities, ["entity", "whole"])
-    pairs = pairs.join(few, ["entity", "whole"]).unionByName(narrow)
-    counted = stage(docs.mapInArrow(_count, "word long, whole boolean, n long").groupBy("word", "whole").agg(F.sum("n").alias("n")), "words")
-    totals = {r["whole"]: float(r["n"]) for r in counted.where("word is null").collect()}  # one of lines, one of texts
-    total = F.when(F.col("whole"), F.lit(totals.get(True, 0.0))).otherwise(F.lit(totals.get(False, 0.0)))
-    words = counted.where("word is not null").select("word", "whole", F.col("n").alias("word_lines"))
-    share = disclosure(F.col("together"), total, F.col("entity_lines"), F.col("word_lines"))
-    telling = pairs.join(words, ["word", "whole"]).select("entity", "word", F.least(share, F.lit(1.0)).alias("share"))
-    telling = stage(telling.where(F.col("share") >= generalise), "telling")
-    terms = beside.join(telling, ["entity", "word"]).groupBy("id", "begin", "stop").agg(F.max("share").alias("share"))
-    terms = terms.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("begin", "stop", "share"))).alias("terms"))
+    # entities of kinds are in many rows: their few sizes go to all tasks, the others are joined
+    wide = F.col("entity").isin([_entity_hash(f"kind:{k}", whole) for k in KINDS for whole in (False, True)])
+    few = F.broadcast(entities.where(wide))
+    told = held.where(wide).join(few, ["entity", "whole"]).unionByName(held.where(~wide).join(entities, ["entity", "whole"]))
+    told = told.select("id", "whole", unit, "entity", "line", "size")
+    pairs = units.join(told, ["id", "whole", "unit"]).where(reach(F.least("h", "size"), F.col("size")))
+    pairs = stage(pairs, "pairs")
+
+    key = ["entity", "whole", "word", "size", "n"]
+    counted = pairs.groupBy(*key, "line").agg(F.count("*").alias("c"))  # equal lines prove one thing
+    counted = counted.groupBy(*key).agg(F.sum("c").alias("together"), F.count("*").alias("kinds")).where(F.col("kinds") >= support)
+    share = F.least(disclosure(F.col("together"), n, F.col("size"), F.col("n")), F.lit(1.0)).alias("share")
+    telling = counted.select("entity", "whole", "word", share).where(F.col("share") >= generalise)
+    marked = pairs.join(telling, ["entity", "whole", "word"]).groupBy("id", "whole", "unit", "word").agg(F.max("share").alias("share"))
+    marked = marked.withColumnsRenamed({"id": "_id", "word": "_word"})
+    same = (F.col("id") == F.col("_id")) & (F.col("word") == F.col("_word")) & (F.col("whole") | (F.col("line") == F.col("unit")))
+    terms = spots.join(marked, same).groupBy("id", "begin", "stop").agg(F.max("share").alias("share"))
+    term = F.struct(F.col("begin").cast("long").alias("begin"), F.col("stop").cast("long").alias("stop"), "share")
+    terms = terms.groupBy("id").agg(F.sort_array(F.collect_list(term)).alias("terms"))
     none = F.array().cast("array<struct<begin:long,stop:long,share:double>>")
     rows = found.select("id", "doc_id", F.col("spans").alias("base")).join(terms, "id", "left")
     return rows.select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
 
 
+def _candidates(docs: DataFrame, holding: DataFrame, support: int) -> tuple[DataFrame, dict[bool, float]]:
+    """(word, whole, h, n) of words beside entities in ``support`` lines (texts) at least, and the numbers of lines and texts.
+
+    ``h`` counts places in lines with an entity (rows with one), n lines (rows) at all.
+    """
+    one = F.lit(1).cast("long")
+    in_lines = holding.select(F.explode(F.expr("filter(words, w -> w.beside).word")).alias("word"), one.alias("a"), (one * 0).alias("b"))
+    in_texts = holding.select(F.explode(F.array_distinct("words.word")).alias("word"), (one * 0).alias("a"), one.alias("b"))
+    beside = in_lines.unionAll(in_texts).groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    beside = stage(beside.where(F.greatest("a", "b") >= support), "beside")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(beside))
+    counts = docs.mapInArrow(lambda batches: _count(batches, bits.value), "word long, lines long, texts long")
+    counts = stage(counts.groupBy("word").agg(F.sum("lines").alias("lines"), F.sum("texts").alias("texts")), "counts")
+    totals = counts.where("word is null").agg(F.sum("lines"), F.sum("texts")).first()
+    both = beside.join(counts.where("word is not null"), "word")
+    scopes = F.array(
+        F.struct(F.lit(False).alias("whole"), F.col("a").alias("h"), F.col("lines").alias("n")),
+        F.struct(F.lit(True).alias("whole"), F.col("b").alias("h"), F.col("texts").alias("n")),
+    )
+    words = both.select("word", F.explode(scopes).alias("s")).select("word", "s.*")
+    return words, {False: float(totals[0] or 0), True: float(totals[1] or 0)}
+
+
 def sanitise(text: str | None, base: list, terms: list, remove: float = REMOVE) -> str | None:
     """The text with entities and telling words replaced or taken out."""
     if text is None:
