@@ -6,8 +6,14 @@ the search may jump; where it says nothing, the block may end the first bytes of
 strings, a bucket names them, and the bytes are compared.  Many documents are searched
 abreast, each from its own place, so that every step is one array operation.
 
+Search strings are made by Spark, and taken in blocks of a bounded number of bytes; every
+block passes over the numbered documents once, and what the blocks found is merged.  A long
+item, or a string of many items, may lie in several blocks.
+
 Bad input: a null text has no words; an empty benchmark hits nothing; repeated ids are
-searched row by row; items with the same id count once; other columns are ignored.
+searched row by row; items with the same id count once; windows of items without an id are
+searched and hit like any other, and ``nameless`` says where one occurs; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import pick, ship, stage
+from orderlens.llm.common import pick, running_starts, ship, stage
 from orderlens.llm.tokens import text_slices
 
 #: Words of a window.
@@ -133,13 +139,12 @@ _CLASSES = ((3, 3), (8, 4), (16, 8), (32, 8), (56, 8))
 
 
 class Matcher:
-    """All search strings of a block of items."""
+    """A block of search strings, each with an item it stands in."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = WINDOW):
-        owners: dict[bytes, set[str]] = {}
-        for item, text in items:
-            for w in windows(text, size):
-                owners.setdefault(w, set()).add(item)
+    def __init__(self, strings: list[tuple[bytes, str | None]]):
+        owners: dict[bytes, set[str | None]] = {}
+        for string, item in strings:
+            owners.setdefault(bytes(string), set()).add(item)
         self.owners = owners
         classes: dict[int, list[bytes]] = {}
         for s in owners:
@@ -168,75 +173,88 @@ class Matcher:
         return n_words, [marks.get(i) for i in range(len(texts))]
 
 
-_SCHEMA = "doc_id long, n_words long, hit_words array<long>, item_ids array<string>"
+_SCHEMA = "row long, doc_id long, n_words long, hit_words array<long>, item_ids array<string>, nameless boolean"
 
 
-def _one_block(docs: DataFrame, items: list[tuple[str, str | None]], size: int) -> DataFrame:
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(items)  # under BLOCK_BYTES
+def _one_block(rows: DataFrame, strings: list[tuple[bytes, str | None]]) -> DataFrame:
+    """Every row with what the strings of one block hit in it."""
+    sent = rows.sparkSession.sparkContext.broadcast(strings)  # near BLOCK_BYTES
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(sent.value, size)
+        matcher = Matcher(sent.value)
         for batch in batches:
             for group in text_slices(batch, "raw", GROUP_BYTES):
                 column = group.column("raw").cast(pa.large_binary())
                 raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
                 offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
                 n_words, marks = matcher.find(raw, offsets)
+                names = [m[1] if m else set() for m in marks]
                 yield pa.RecordBatch.from_arrays(
                     [
+                        group.column("row"),
                         group.column("doc_id"),
                         pa.array(n_words, pa.int64()),
                         pa.array([sorted(m[0]) if m else [] for m in marks], pa.list_(pa.int64())),
-                        pa.array([sorted(m[1]) if m else [] for m in marks], pa.list_(pa.string())),
+                        pa.array([sorted(n - {None}) for n in names], pa.list_(pa.string())),
+                        pa.array([None in n for n in names], pa.bool_()),
                     ],
-                    ["doc_id", "n_words", "hit_words", "item_ids"],
+                    [c.split()[0] for c in _SCHEMA.split(", ")],
                 )
 
-    raw = docs.select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
+    raw = rows.select("row", "doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("raw"))
     return raw.mapInArrow(search, _SCHEMA)
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:
-    """Items in blocks of a bounded size, by their ids; one item is never split.
+def search_strings(benchmark: DataFrame, size: int = WINDOW, block_bytes: int | None = None) -> DataFrame:
+    """(string, item, block): the distinct windows of all items, in blocks of near ``block_bytes``."""
+    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item"), "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = windows(text, size)
+                for at in range(0, len(found), 4096):
+                    part = found[at : at + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([item] * len(part), pa.string())], ["string", "item"])
+
+    strings = items.mapInArrow(cut, "string binary, item string").distinct()
+    bytes_ = F.octet_length("string") + F.coalesce(F.octet_length("item"), F.lit(0)) + 64
+    strings = strings.withColumns({"size": bytes_.cast("long"), "order": F.monotonically_increasing_id()})
+    placed = running_starts(stage(strings, "strings"), "order", "size", "start")
+    return stage(placed.select("string", "item", F.floor(F.col("start") / (block_bytes or BLOCK_BYTES)).alias("block")), "blocks")
+
 
-    A benchmark beyond one block is searched in several passes over the documents.
+def search(rows: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Per row what all blocks hit: row, doc_id, n_words, hit_words, item_ids, nameless.
+
+    ``rows`` (row, doc_id, text) has a number of its own in every row and is read from
+    files, so that every block sees the same numbers.
     """
-    items = pick(benchmark, "item_id", "text").withColumn("item_id", F.col("item_id").cast("string"))
-    size = items.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    count = -(-size // block_bytes)
-    out = []
-    for b in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == b) if count > 1 else items
-        out.append([(r[0], r[1]) for r in rows.collect() if r[0] is not None])
-    return out
+    ship(rows.sparkSession)
+    strings = search_strings(benchmark, size)
+    last = strings.agg(F.max("block")).first()[0] or 0
+    found = []
+    for block in range(last + 1):
+        own = strings.where(F.col("block") == block).select("string", "item").collect()
+        found.append(stage(_one_block(rows, [(r["string"], r["item"]) for r in own]), "hits"))
+    merged = reduce(DataFrame.unionAll, found).groupBy("row")
+    return merged.agg(
+        F.first("doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
+        F.bool_or("nameless").alias("nameless"),
+    )
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """Per document its words, the numbers of words inside occurrences, and the items found.
 
-    Returns doc_id, n_words, hit_words (from 0, ascending), item_ids (sorted).
+    Returns doc_id, n_words, hit_words (from 0, ascending), item_ids (sorted), and nameless:
+    whether an item without an id was found.
     """
-    ship(docs.sparkSession)
-    docs = pick(docs, "doc_id", "text")
-    blocks = item_blocks(benchmark) or [[]]
-    if len(blocks) == 1:
-        return _one_block(docs, blocks[0], size)
-    rows = stage(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
-    found = reduce(
-        DataFrame.unionAll,
-        [_one_block(rows.select(F.col("row").alias("doc_id"), "text"), b, size) for b in blocks],
-    )
-    return (
-        found.groupBy(F.col("doc_id").alias("row"))
-        .agg(
-            F.max("n_words").alias("n_words"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-            F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-        )
-        .join(rows.select("row", "doc_id"), "row")
-        .select("doc_id", "n_words", "hit_words", "item_ids")
-    )
+    numbered = pick(docs, "doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    return search(stage(numbered, "rows"), benchmark, size).drop("row")
 
 
 def is_contaminated(n_words, n_hit):

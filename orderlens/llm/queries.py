@@ -94,7 +94,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
+        (F.size("item_ids") + F.col("nameless").cast("int")).cast("long").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         decontaminate.is_contaminated(F.col("n_words"), n_hit).alias("contaminated"),
     )

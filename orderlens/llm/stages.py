@@ -54,12 +54,10 @@ def near_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less than a twentieth of whose words lie in benchmark windows."""
-    keyed = with_rest(docs).withColumn("key", F.xxhash64("doc_id", "text"))
-    found = decontaminate.find_contamination(
-        keyed.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")
-    )
-    bad = found.where(decontaminate.is_contaminated(F.col("n_words"), F.size("hit_words")))
-    return without_rest(keyed.join(bad.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti"), docs.columns)
+    numbered = stage(with_rest(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = decontaminate.search(numbered.select("row", F.lit(None).cast("long").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    bad = found.where(decontaminate.is_contaminated(F.col("n_words"), F.size("hit_words"))).select("row")
+    return without_rest(numbered.join(bad, "row", "left_anti"), docs.columns)
 
 
 def packing_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

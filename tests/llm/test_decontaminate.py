@@ -7,6 +7,7 @@ import re
 import pandas as pd
 import pytest
 from orderlens.llm import decontaminate, queries
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -66,15 +67,27 @@ def test_blocks_of_items_give_the_same(spark, documents, monkeypatch):
     docs = spark.createDataFrame(documents[["doc_id", "text"]])
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = decontaminate.find_contamination(docs, bench).orderBy("doc_id").collect()
-    blocks = decontaminate.item_blocks(bench, 3000)
-    assert len(blocks) > 2 and sum(map(len, blocks)) == bench.count()
-    monkeypatch.setattr(decontaminate.item_blocks, "__defaults__", (3000,))
+    strings = decontaminate.search_strings(bench, block_bytes=30_000)
+    sizes = strings.groupBy("block").agg(F.sum(F.octet_length("string") + F.octet_length("item") + 64).alias("n")).collect()
+    assert len(sizes) > 2 and all(r.n < 30_000 + 1000 for r in sizes)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 30_000)
     assert decontaminate.find_contamination(docs, bench).orderBy("doc_id").collect() == one
 
 
+def test_items_without_an_id_hit_like_any_other(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a one two b"), (2, "three"), (3, "x")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), ("i", "two b"), (None, "three")], "item_id string, text string")
+    got = {r.doc_id: (r.hit_words, r.item_ids, r.nameless) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {1: ([1, 2, 3], ["i"], True), 2: ([0], [], True), 3: ([], [], False)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in queries.op10_decontaminate(spark, str(tmp_path)).collect()}
+    assert rows == {1: (3, 2, True), 2: (1, 1, True), 3: (0, 0, False)}
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     bench = spark.createDataFrame(
-        [(1, "three FOUR five", 1), (1, None, 2), (None, "one", 3)], "item_id int, text string, Text int"
+        [(1, "three FOUR five", 1), (1, None, 2), (None, "zero", 3)], "item_id int, text string, Text int"
     )
     got = decontaminate.find_contamination(odd_docs, bench)
     assert got.count() == 10
