@@ -1,7 +1,8 @@
 """Token ids of whole texts, through the vocabulary files of public tokenizers.
 
 A tokenizer that splits at white space before it merges gives the same ids for a
-text and for its chunks, as long as no chunk border touches a run of white space.
+text and for its chunks, as long as no chunk border touches a run of white space.  Names
+of added tokens in a text become their ids, as the library does by default.
 Most words of a corpus repeat, so each worker remembers the ids of words, and gives
 only new ones to the library: plain Latin words straight to its merges, everything
 else through the whole tokenizer.
@@ -82,7 +83,6 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
@@ -90,6 +90,12 @@ class ChunkEncoder:
         self.words = Memory()
         self.lower, self.pieces = False, None
         made = json.loads(self.tokenizer.to_str())
+        # an added token is found in the raw text wherever its name stands, so a chunk with a name goes to the library
+        added = made["added_tokens"] or []
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        # one that takes in white space, or holds some, or is found after normalising, may reach across chunks
+        across = ("lstrip", "rstrip", "single_word", "normalized")
+        self.whole = any(any(t[f] for f in across) or re.search(r"\s", t["content"]) for t in added)
         split = made["pre_tokenizer"] or {}
         if split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"] and not made["normalizer"]:
             self.pieces = _BYTE_PIECES
@@ -131,7 +137,7 @@ class ChunkEncoder:
                     young[key] = out[i] = known
                     continue
                 chunk = key[2:] if key[:2] == "  " else " " + key
-                if self.pieces is not None and _SIMPLE.fullmatch(chunk):
+                if self.pieces is not None and _SIMPLE.fullmatch(chunk) and not (self.added and self.added.search(chunk)):
                     out[i] = self._pieces(chunk)
                 else:
                     rest.append(i)
@@ -175,6 +181,9 @@ class ChunkEncoder:
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts, "")
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if self.whole:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         collecting = gc.isenabled()
         gc.disable()  # many small objects live through a batch; looking through them again and again is waste
         try:
