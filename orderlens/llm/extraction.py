@@ -6,7 +6,8 @@ feature and label, and for each pair of labels in a row, is fitted by maximum li
 on labelled pages.  The Viterbi path says which blocks are main text.
 
 Bad input: a null or empty page, or one without text, has an empty main text; broken
-markup is read as far as it goes, loose signs as text; repeated rows are read each;
+markup is read as far as it goes, loose signs as text, in time that grows with the page
+only; repeated rows are read each;
 other columns are ignored; no rows give no rows.
 """
 
@@ -14,14 +15,14 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from orderlens.llm.common import pick, ship
-from orderlens.llm.htmlblocks import Block, blocks_of
+from orderlens.llm.htmlblocks import Block, Element, blocks_of
 from orderlens.llm.labelled_pages import page
 from orderlens.llm.tokens import text_slices
 
@@ -35,18 +36,10 @@ def _bucket(n: float, borders: tuple[float, ...]) -> int:
     return sum(n >= b for b in borders)
 
 
-def features(block: Block) -> list[str]:
-    """What the model sees of a block."""
-    out = ["bias"]
-    tags = {e.tag for e in block.around}
-    out += [f"in={t}" for t in tags]
-    if block.around:
-        out.append(f"parent={block.around[-1].tag}")
-        out += {f"name={w}" for e in block.around for w in e.words}
-        out += {f"own={w}" for e in block.around[-2:] for w in e.words}
+def _of_block(block: Block) -> list[str]:
+    """What the model sees of a block itself."""
     size = len(block.text)
-    out.append(f"size={_bucket(size, (10, 25, 60, 120, 300))}")
-    out.append(f"linked={_bucket(block.linked / max(size, 1), (0.01, 0.3, 0.7))}")
+    out = ["bias", f"size={_bucket(size, (10, 25, 60, 120, 300))}", f"linked={_bucket(block.linked / max(size, 1), (0.01, 0.3, 0.7))}"]
     out.append(f"end={bool(_END.search(block.text))}")
     if block.controls:
         out.append("controls")
@@ -55,8 +48,20 @@ def features(block: Block) -> list[str]:
     return out
 
 
+def features(block: Block) -> list[str]:
+    """What the model sees of a block and of the elements around it."""
+    out = _of_block(block)
+    if block.inside is not None:
+        out.append(f"parent={block.inside.tag}")
+        for e in block.inside.outwards():
+            out += e.fresh
+        near = block.inside.words | (block.inside.parent.words if block.inside.parent else frozenset())
+        out += [f"own={w}" for w in near]
+    return out
+
+
 def _label(block: Block) -> int:
-    for e in reversed(block.around):
+    for e in block.inside.outwards() if block.inside else ():
         if e.label is not None:
             return int(e.label)
     return 0
@@ -67,6 +72,32 @@ class Field:
 
     def __init__(self, names: dict[str, int], emit: np.ndarray, step: np.ndarray, first: np.ndarray):
         self.names, self.emit, self.step, self.first = names, emit, step, first
+        self.weights = dict(zip(names, map(tuple, emit.tolist()), strict=True))
+
+    def _sum(self, names: Iterable[str]) -> tuple[float, float]:
+        a = b = 0.0
+        for f in names:
+            if w := self.weights.get(f):
+                a, b = a + w[0], b + w[1]
+        return a, b
+
+    def _sums(self, element: Element | None) -> tuple[float, ...]:
+        """What the elements add: all around, this one, its own words (a, b each); each element is summed once."""
+        todo = []
+        while element is not None and element.sums is None:
+            todo.append(element)
+            element = element.parent
+        above = element.sums if element is not None else (0.0,) * 6
+        for e in reversed(todo):
+            around, here = self._sum(e.fresh), self._sum((f"parent={e.tag}",))
+            own = beside = (0.0, 0.0)
+            if e.words:
+                parent = e.parent.words if e.parent else frozenset()
+                own = self._sum([f"own={w}" for w in e.words])
+                beside = self._sum([f"own={w}" for w in e.words if w not in parent]) if parent else own  # the parent's count once
+            near = [here[c] + beside[c] + above[4 + c] for c in (0, 1)]
+            e.sums = above = (above[0] + around[0], above[1] + around[1], *near, *own)
+        return above
 
     def decode(self, blocks: list[Block]) -> list[bool]:
         """Most likely labels of a page's blocks."""
@@ -76,8 +107,10 @@ class Field:
         back: list[tuple[int, int]] = []
         a = b = 0.0
         for i, block in enumerate(blocks):
-            known = [k for f in features(block) if (k := self.names.get(f)) is not None]
-            e0, e1 = self.emit[known].sum(axis=0).tolist()
+            e0, e1 = self._sum(_of_block(block))
+            if block.inside is not None:
+                a0, a1, n0, n1, _, _ = self._sums(block.inside)
+                e0, e1 = e0 + a0 + n0, e1 + a1 + n1
             if i == 0:
                 a, b = self.first[0] + e0, self.first[1] + e1
                 continue

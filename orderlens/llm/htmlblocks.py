@@ -1,16 +1,23 @@
-"""Leaf blocks of a web page: its text between block borders, with the elements around it."""
+"""Leaf blocks of a web page: its text between block borders, with the elements around it.
+
+Time and memory grow with the page only, whatever its markup: signs without an end are
+known from the last ``>`` of the page, open elements are found by their tags' places, and a
+block holds its innermost element, which knows what it adds to those around it.
+"""
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 _MARKUP = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL,
 )
-_ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_ATTRIBUTE = re.compile(r"(?<![\w:-])([a-zA-Z][\w:-]*+)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _NAME_WORD = re.compile(r"[a-z]+")
 
 #: Elements whose content is no text of the page, up to their end tag.
@@ -38,19 +45,31 @@ _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _CONTROLS = {"input", "button", "select", "textarea"}
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
+    """An open element; ``fresh`` are the features that no element around it has."""
+
     tag: str
-    words: tuple[str, ...] = ()
+    words: frozenset[str] = frozenset()
     label: str | None = None
+    parent: Element | None = None
+    fresh: list[str] = field(default_factory=list)
+    #: Sums over the features of this element and those around it, by whoever reads the blocks.
+    sums: tuple[float, ...] | None = None
+
+    def outwards(self) -> Iterator[Element]:
+        at: Element | None = self
+        while at is not None:
+            yield at
+            at = at.parent
 
 
 @dataclass
 class Block:
-    """Text of one block, the elements around it from the outermost, and what it holds."""
+    """Text of one block, its innermost element, and what it holds."""
 
     text: str
-    around: tuple[Element, ...]
+    inside: Element | None
     linked: int = 0
     controls: int = 0
 
@@ -58,8 +77,11 @@ class Block:
 @dataclass
 class _State:
     stack: list[Element] = field(default_factory=list)
+    places: dict[str, list[int]] = field(default_factory=lambda: defaultdict(list))
+    open_features: Counter = field(default_factory=Counter)
     pieces: list[str] = field(default_factory=list)
-    around: tuple[Element, ...] = ()
+    filled: bool = False
+    inside: Element | None = None
     linked: int = 0
     links: int = 0
     controls: int = 0
@@ -70,11 +92,12 @@ class _State:
             return
         if "&" in raw:
             raw = entities.unescape(raw)
-        if not self.pieces or not self.around:
-            self.around = tuple(self.stack)
+        if not self.pieces or self.inside is None:
+            self.inside = self.stack[-1] if self.stack else None
         if raw.strip():
-            if not any(p.strip() for p in self.pieces):
-                self.around = tuple(self.stack)
+            if not self.filled:
+                self.inside = self.stack[-1] if self.stack else None
+                self.filled = True
             if self.links:
                 self.linked += len(raw)
         self.pieces.append(raw)
@@ -82,26 +105,43 @@ class _State:
     def border(self) -> None:
         text = " ".join("".join(self.pieces).split())
         if text:
-            self.blocks.append(Block(text, self.around, self.linked, self.controls))
+            self.blocks.append(Block(text, self.inside, self.linked, self.controls))
         if text or not self.pieces:
             self.controls = 0
-        self.pieces, self.linked, self.around = [], 0, ()
+        self.pieces, self.linked, self.inside, self.filled = [], 0, None, False
+
+    def open(self, element: Element) -> None:
+        element.parent = self.stack[-1] if self.stack else None
+        for f in (f"in={element.tag}", *(f"name={w}" for w in element.words)):
+            if not self.open_features[f]:
+                element.fresh.append(f)
+            self.open_features[f] += 1
+        self.places[element.tag].append(len(self.stack))
+        self.stack.append(element)
+        self.links += element.tag == "a"
+
+    def _nearest(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open element with one of these tags, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def _cut(self, place: int) -> None:
+        """Close the element at this place and all inside it."""
+        while len(self.stack) > place:
+            e = self.stack.pop()
+            self.places[e.tag].pop()
+            self.links -= e.tag == "a"
+            for f in (f"in={e.tag}", *(f"name={w}" for w in e.words)):
+                self.open_features[f] -= 1
 
     def close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                self.links = sum(e.tag == "a" for e in self.stack[:i])
-                del self.stack[i:]
-                return
+        place = self._nearest((tag,))
+        if place >= 0:
+            self._cut(place)
 
     def close_like(self, own: set[str], holders: set[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag in holders:
-                return
-            if self.stack[i].tag in own:
-                del self.stack[i:]
-                self.links = sum(e.tag == "a" for e in self.stack)
-                return
+        place = self._nearest(own)
+        if place > self._nearest(holders - own):
+            self._cut(place)
 
 
 def _element(tag: str, attributes: str) -> Element:
@@ -114,7 +154,7 @@ def _element(tag: str, attributes: str) -> Element:
                 words += _NAME_WORD.findall(value.lower())
             elif name == "data-main":
                 label = value
-    return Element(tag, tuple(words), label)
+    return Element(tag, frozenset(words), label)
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -122,14 +162,17 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return []
     state, at, n = _State(), 0, len(page)
+    last = page.rfind(">") + 1  # markup ends before; behind it only a comment can begin
     endless: set[str] = set()
     while at < n:
-        m = _MARKUP.search(page, at)
+        m = _MARKUP.search(page, at, last)
         if not m:
-            state.text(page[at:])
+            state.text(page[at:].partition("<!--")[0])
             break
         state.text(page[at : m.start()])
         at = m.end()
+        if m[0].startswith("<!--") and (len(m[0]) < 7 or not m[0].endswith("-->")):
+            break  # a comment without an end
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
@@ -160,7 +203,6 @@ def blocks_of(page: str | None) -> list[Block]:
             if tag in _CLOSES:
                 state.close_like(*_CLOSES[tag])
             if tag not in VOID and not empty:
-                state.stack.append(_element(tag, m[3] or m[6] or ""))
-                state.links += tag == "a"
+                state.open(_element(tag, m[3] or m[6] or ""))
     state.border()
     return state.blocks
