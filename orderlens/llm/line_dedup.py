@@ -68,13 +68,12 @@ def _cell(hashes: np.ndarray) -> np.ndarray:
 _SCAN = "cell int, n long, class long, doc long, row long, line int"
 
 
-def _distinct(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Order of the distinct pairs by row and key."""
-    order = np.lexsort((keys, rows))
-    r, k = rows[order], keys[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-    return order[new]
+def _distinct(rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of row and number (under 2 ** 32), sorted by both."""
+    pairs = np.sort((rows.astype(np.int64) << 32) | numbers)
+    if len(pairs):
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,11 +94,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         per_text, rows, codes, names, hashes = _lines(batch.column("text"))
         if not names:
             continue
-        own = hashes[codes]
-        keep = _distinct(rows, own)
-        sizes = np.bincount(rows[keep], minlength=int(per_text.sum()))
-        total += np.bincount(_cell(hashes), np.bincount(codes[keep], minlength=len(names)), CELLS).astype(np.int64)
-        name = _class(own[keep], sizes)
+        rows, codes = _distinct(rows, codes)
+        sizes = np.bincount(rows, minlength=int(per_text.sum()))
+        total += np.bincount(_cell(hashes), np.bincount(codes, minlength=len(names)), CELLS).astype(np.int64)
+        name = _class(mix(hashes)[codes], sizes)
         doc, row, line = _number(batch, per_text)
         full = np.flatnonzero(sizes)
         yield batch_of(none, none, name[full], doc[full], row[full], line[full])
@@ -124,10 +122,10 @@ def line_sets(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Lines per text; sizes, distinct words as numbers that sort by rarity, and classes of the lines."""
     per_text, rows, codes, _, hashes = _lines(texts)
     keys = ranks[_cell(hashes)] | (hashes & np.uint64(2**40 - 1)) if len(hashes) else hashes
-    keep = _distinct(rows, keys[codes])
-    rows, codes = rows[keep], codes[keep]
+    keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    rows, codes = _distinct(rows, place[codes])
     sizes = np.bincount(rows, minlength=int(per_text.sum()))
-    return per_text, sizes, keys[codes], _class(hashes[codes], sizes)
+    return per_text, sizes, keys[codes], _class(mix(hashes[first])[codes], sizes)
 
 
 def least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,8 +133,8 @@ def least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (PERCENT * (a + b) + 99 + PERCENT) // (100 + PERCENT)
 
 
-def _class(keys: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    return per_row(mix(keys), sizes, np.add).view(np.int64)
+def _class(mixed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return per_row(mixed, sizes, np.add).view(np.int64)
 
 
 def _number(batch: pa.RecordBatch, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +256,12 @@ def _pairs(skip: int, take: int, first: bool):
         return pa.RecordBatch.from_arrays(out, ["later", "earlier", "later_doc", "earlier_doc", *_NAMES])
 
     def groups(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-        new = np.ones(len(x["word"]), bool)  # equal lines follow each other, the first one first
+        # a line alone under its word meets nobody; the others stand by size, equal lines together, the first one first
+        same = np.concatenate([[False], x["word"][1:] == x["word"][:-1], [False]])
+        x = {k: v[same[1:] | same[:-1]] for k, v in x.items()}
+        order = np.lexsort(tuple(x[k] for k in ("line", "row", "doc", "class", "size", "word")))
+        x = {k: v[order] for k, v in x.items()}
+        new = np.ones(len(x["word"]), bool)
         new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["class"][1:] != x["class"][:-1])
         x = {k: v[new] for k, v in x.items()}
         x |= {k: x[k].view(np.uint64) for k in ("bits1", "bits2")}
@@ -307,7 +310,7 @@ def _pairs(skip: int, take: int, first: bool):
 
 
 def _by_word(postings: DataFrame) -> DataFrame:
-    return postings.repartition("word").sortWithinPartitions("word", "size", "class", "doc", "row", "line")
+    return postings.repartition("word").sortWithinPartitions("word")
 
 
 def _sets(sent_ranks, sent_docs, sent_classes):
@@ -365,13 +368,21 @@ def _filter(numbers: DataFrame) -> Filter:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        column = column.cast(pa.large_binary())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        words = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        return np.ascontiguousarray(words).view(np.uint64), np.diff(offsets) // 8
+
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                good.append(len(np.intersect1d(x, y, assume_unique=True)) >= least_common(len(x), len(y)))
-            yield batch.select(["later"]).filter(pa.array(good, pa.bool_()))
+            for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
+                (x, nx), (y, ny) = flat(part.column("left")), flat(part.column("right"))
+                numbers = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+                pair = np.concatenate([np.repeat(np.arange(len(part)), nx), np.repeat(np.arange(len(part)), ny)])
+                both = np.sort((pair << 32) | numbers)  # a word of both sets comes twice
+                common = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(part))
+                yield part.select(["later"]).filter(pa.array(common >= least_common(nx, ny)))
 
     one = sets.select(F.col("class").alias("later"), F.col("words").alias("left"))
     two = sets.select(F.col("class").alias("earlier"), F.col("words").alias("right"))
