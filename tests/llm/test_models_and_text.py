@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pytest
 from orderlens.llm import extraction, fingerprint, labelled_pages, pii, queries, toxicity
 from orderlens.llm.htmlblocks import blocks_of
 
@@ -190,3 +192,96 @@ def test_op7_finds_terms_in_the_given_documents(spark):
 def test_personal_data_of_odd_rows(spark, odd_docs, no_docs):
     assert pii.find_spans(odd_docs).where("size(base) = 0 and size(terms) = 0").count() == 10
     assert pii.find_spans(no_docs).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<a b="x ' * 60_000,
+        "x < y <b " * 60_000 + ">",
+        "<div>" * 20_000 + "<p>x" * 20_000 + "</div>" * 20_000,
+        "<p><button>" + "<q-q>" * 20_000 + "<p>x" * 20_000 + "</z>" * 20_000,
+        "".join(f"<div class='c{i}'>" for i in range(20_000)) + "<p>x</p>" * 20_000,
+        "<a " + "b" * 500_000 + ">x",
+        "<p>" + " <b></b>" * 50_000 + "x<i>y</i>" * 20_000,
+        "<!" * 200_000 + "<!--" + "<p>x" * 20_000,
+    ],
+)
+def test_long_odd_pages_take_time_by_their_length(page):
+    started = time.process_time()
+    extraction.main_text(extraction.trained(), page)
+    assert time.process_time() - started < 20
+
+
+def test_the_chain_sums_what_the_features_list(documents):
+    field = extraction.trained()
+    for page in pd.read_parquet(f"{SF}/pages.parquet").html[:40]:
+        for block in extraction.blocks_of(page):
+            weights = [field.weights.get(f, (0.0, 0.0)) for f in set(extraction.features(block))]
+            own = field._sum(extraction._of_block(block))
+            sums = field._sums(block.inside) if block.inside else (0.0,) * 6
+            for c in (0, 1):
+                assert own[c] + sums[c] + sums[2 + c] == pytest.approx(sum(w[c] for w in weights))
+
+
+def test_words_and_entities_by_the_plain_formula(spark, documents):
+    """Every word beside every entity, counted one by one."""
+    import math
+    from collections import defaultdict
+
+    support, together, line_of, n_line, n_text = 2, defaultdict(set), defaultdict(set), defaultdict(int), defaultdict(int)
+    texts = documents.text.tolist()
+    total = {False: 0, True: len(texts)}
+    held, beside = defaultdict(set), []
+    for i, text in enumerate(texts):
+        spans = pii.find_base(text)
+        own, begin, marks = set(), 0, []
+        for line in text.split("\n"):
+            inside = [s for s in spans if begin <= s[0] <= begin + len(line)]
+            marks.append((line, begin, inside))
+            begin += len(line) + 1
+        for line in dict.fromkeys(text.split("\n")):
+            total[False] += 1
+            words = {w for _, _, w in pii._words(line)}
+            own |= words
+            for w in words:
+                n_line[w] += 1
+        for w in own:
+            n_text[w] += 1
+        for line, begin, inside in marks:
+            for a, b, word in pii._words(line):
+                a, b = a + begin, b + begin
+                if spans and not any(a < y and x < b for x, y, _ in inside):
+                    if inside:
+                        beside.append((i, False, line, word, a, b, [n for x, y, k in inside for n in pii.names(k, text[x:y])]))
+                    beside.append((i, True, text, word, a, b, [n for x, y, k in spans for n in pii.names(k, text[x:y])]))
+            for x, y, k in inside:
+                for n in pii.names(k, text[x:y]):
+                    held[n, False].add((i, line))
+                    held[n, True].add(i)
+    for i, whole, unit, word, _, _, names in beside:
+        for n in set(names):
+            together[n, whole, word].add((i, unit))
+            line_of[n, whole, word].add(unit)
+    want = defaultdict(dict)
+    for i, whole, _, word, a, b, names in beside:
+        for n in set(names):
+            key, size, count = (n, whole, word), len(held[n, whole]), (n_text if whole else n_line)[word]
+            if len(line_of[key]) >= support and total[whole] / size >= 2:
+                share = min(math.log(len(together[key]) * total[whole] / (size * count)) / math.log(total[whole] / size), 1.0)
+                if share >= 0.9:
+                    want[i][a, b] = max(share, want[i].get((a, b), 0.0))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: {(t.begin, t.stop): t.share for t in r.terms} for r in pii.find_spans(docs, support=support).collect() if r.terms}
+    assert set(got) == set(want) and got
+    assert all(got[i] == pytest.approx(want[i]) for i in got)
+
+
+def test_many_values_in_one_document(spark):
+    text = "\n".join(f"write to person{i}@host{i}.org about thing{i} and matter{i}" for i in range(1500))
+    one_line = " ".join(f"person{i}@host{i}.org beside{i}" for i in range(3000))
+    started = time.process_time()
+    assert len(pii._beside(one_line, pii.find_base(one_line))[0]) == 3000 and time.process_time() - started < 5
+    docs = spark.createDataFrame([(i, text) for i in range(4)] + [(9, one_line)], "doc_id long, text string")
+    found = {r.doc_id: len(r.base) for r in pii.find_spans(docs).collect()}
+    assert found == {0: 1500, 1: 1500, 2: 1500, 3: 1500, 9: 3000}
