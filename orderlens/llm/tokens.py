@@ -39,6 +39,8 @@ _PLAIN = f"[{_LETTER}0-9{_MARK}]+"
 #: Chunks of plain words, with at most single spaces or line ends before them.
 _SIMPLE = re.compile(f"[ \n]?{_PLAIN}(?:\n{_PLAIN})*")
 #: Pieces that the two kinds of tokenizers make of such a chunk.
+#: What keeps a text from being such chunks throughout: another letter, white space in a row, or a space at the end.
+_ODD = rf"[^ \n{_LETTER}0-9{_MARK}]|{_RUN}| \z"
 _BYTE_PIECES = re.compile(f" ?[{_LETTER}]+| ?[0-9]+| ?[{_MARK}]+|\n")
 _WORD_PIECES = re.compile(f"[{_LETTER}]+|[0-9]|[{_MARK}]+")
 
@@ -92,7 +94,9 @@ class ChunkEncoder:
         made = json.loads(self.tokenizer.to_str())
         # an added token is found in the raw text wherever its name stands, so a chunk with a name goes to the library
         added = made["added_tokens"] or []
-        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
+        self.names = [t["content"] for t in added]
+        self.added = re.compile("|".join(map(re.escape, self.names)))
+        self.named = False
         # one that takes in white space, or holds some, or is found after normalising, may reach across chunks
         across = ("lstrip", "rstrip", "single_word", "normalized")
         self.whole = any(any(t[f] for f in across) or re.search(r"\s", t["content"]) for t in added)
@@ -104,7 +108,10 @@ class ChunkEncoder:
 
     def _word(self, piece: str, key: str) -> bytes:
         """Ids of one piece, from the merges."""
-        spelt = piece.encode().decode("latin-1").translate(self.letters)
+        if piece.isascii() and piece != "\n":  # letters, digits and marks stand for themselves
+            spelt = chr(self.letters[32]) + piece[1:] if piece[0] == " " else piece
+        else:
+            spelt = piece.encode().decode("latin-1").translate(self.letters)
         self.words.young[key] = found = array.array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
         return found
 
@@ -137,7 +144,7 @@ class ChunkEncoder:
                     young[key] = out[i] = known
                     continue
                 chunk = key[2:] if key[:2] == "  " else " " + key
-                if self.pieces is not None and _SIMPLE.fullmatch(chunk) and not (self.added and self.added.search(chunk)):
+                if self.pieces is not None and _SIMPLE.fullmatch(chunk) and not (self.named and self.added.search(chunk)):
                     out[i] = self._pieces(chunk)
                 else:
                     rest.append(i)
@@ -181,20 +188,57 @@ class ChunkEncoder:
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts, "")
         if len(texts) == 0:
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.named = any(pc.any(pc.match_substring(texts, n)).as_py() for n in self.names)
         if self.whole:
             found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.array([i for ids in found for i in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
         collecting = gc.isenabled()
         gc.disable()  # many small objects live through a batch; looking through them again and again is waste
         try:
-            keys, counts = self._chunks(texts.cast(pa.large_string()))
-            coded = keys.dictionary_encode()
-            found = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-            codes = coded.indices.to_numpy(zero_copy_only=False)
-            flat = np.frombuffer(b"".join(map(found.__getitem__, codes.tolist())), np.uint32)
+            return self._encode(texts.cast(pa.large_string()))
         finally:
             if collecting:
                 gc.enable()
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Plain texts piece by piece, the others chunk by chunk, put together in their order."""
+        odd = np.ones(len(texts), bool)
+        if self.pieces is not None:
+            odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+            for n in self.names if self.named else ():
+                odd |= pc.match_substring(texts, n).to_numpy(zero_copy_only=False)
+        if odd.all():
+            return self._by_chunks(texts)
+        plain, plain_counts = self._by_pieces(texts.filter(pa.array(~odd)).to_pylist())
+        if not odd.any():
+            return plain, plain_counts
+        others, other_counts = self._by_chunks(texts.filter(pa.array(odd)))
+        counts = np.zeros(len(texts), np.int64)
+        counts[~odd], counts[odd] = plain_counts, other_counts
+        from_odd = np.repeat(odd, counts)
+        flat = np.empty(len(from_odd), np.uint32)
+        flat[~from_odd], flat[from_odd] = plain, others
+        return flat, counts
+
+    def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain texts; each distinct piece is looked up once."""
+        split = self.pieces.findall
+        found = [split(t.lower()) for t in texts] if self.lower else list(map(split, texts))
+        table = dict.fromkeys(p for own in found for p in own)
+        get = self.words.get
+        for p in table:
+            key = p if self.lower else p[1:] if p[0] == " " else "  " + p
+            table[p] = get(key) or self._word(p, key)
+        self.words.trim()
+        parts = [b"".join(map(table.__getitem__, own)) for own in found]
+        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+    def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        keys, counts = self._chunks(texts)
+        coded = keys.dictionary_encode()
+        found = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat = np.frombuffer(b"".join(map(found.__getitem__, codes.tolist())), np.uint32)
         own = np.fromiter(map(len, found), np.int64, len(found)) // 4
         upto = np.concatenate([[0], np.cumsum(own[codes])])
         ends = np.concatenate([[0], np.cumsum(counts)])
