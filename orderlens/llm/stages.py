@@ -57,6 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     numbered = stage(with_rest(docs).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = decontaminate.search(numbered.select("row", F.lit(None).cast("long").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     bad = found.where(decontaminate.is_contaminated(F.col("n_words"), F.size("hit_words"))).select("row")
+    bad = stage(bad, "contaminated")  # few rows, of known size when texts are joined
     return without_rest(numbered.join(bad, "row", "left_anti"), docs.columns)
 
 
