@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderlens.operators.fingerprints import distinct_rows
 from orderlens.schema import DROP_COLUMNS
 
 
@@ -40,14 +41,10 @@ def drop_duplicates(df: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
 
     All columns are compared, so a unique row number keeps every row.  Columns
     named in ``ignore`` are left out of the comparison; the kept row then has
-    the smallest values in them.
+    the smallest values in them.  Rows are found by fingerprint and compared in full
+    only where prints repeat; ``df`` is read more than once.
     """
-    skip = [c for c in df.columns if c in set(ignore)]
-    keys = [c for c in df.columns if c not in skip]
-    if not skip:
-        return df.dropDuplicates()
-    kept = df.groupBy(*keys).agg(F.min(F.struct(*skip)).alias("_kept"))
-    return kept.select(*keys, "_kept.*").select(*df.columns)
+    return distinct_rows(df, tuple(ignore))
 
 
 def clean_data(df: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from orderlens.operators.fingerprints import duplicate_count
 from orderlens.operators.quantiles import exact_quantiles
 
 SUMMARY = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
@@ -35,11 +36,9 @@ def missing_values(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """Number of rows that repeat an earlier one in all columns.
 
-    Equal rows are counted before the shuffle, so a row repeated very often
-    travels once per task.
+    Fingerprints are counted first; only rows whose print repeats are compared in full.
     """
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count("*").alias("n"))
-    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
+    return duplicate_count(df)
 
 
 def inspect_data(df: DataFrame) -> dict[str, DataFrame]:
