@@ -111,6 +111,19 @@ add(
 )
 
 
+add(
+    "io2_reject_counts",
+    """SELECT CASE quantity WHEN 1 THEN 'short line' WHEN 2 THEN 'long line' WHEN 3 THEN 'bad value: quantity'
+                     WHEN 4 THEN 'open quote' WHEN 5 THEN 'blank line' END AS reason,
+       count(*) AS n_lines FROM feat GROUP BY 1""",
+)
+add(
+    "io2_accepted_lines",
+    f"SELECT {listing([c for c in SOURCE if c not in ('order_date', 'customer_id', 'order_id')])}, "
+    "CAST(order_id AS VARCHAR) AS order_id FROM feat WHERE quantity > 5",
+)
+
+
 def printed(col: str, kind: str) -> str:
     """A double as its CSV text reads under a decimal type."""
     return dbl(f"CAST(CAST({col} AS VARCHAR) AS {kind})")

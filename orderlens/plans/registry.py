@@ -22,7 +22,7 @@ from orderlens.operators.features import engineer_features, with_discount_bucket
 from orderlens.operators.measures import Slicers
 from orderlens.plans import library, pipeline, report, visuals, warehouse
 from orderlens.schema import CLEAN_COLUMNS, SOURCE
-from orderlens.sources import csvfiles, tables, tpch
+from orderlens.sources import csvfiles, rejects, tables, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,6 +91,35 @@ def _io2(spark, d):
     return clean.clean_column_names(_loaded(spark, d)).drop("source_kind").withColumn("row_id", F.col("row_id").isNotNull())
 
 
+def _faulty_lines(spark: SparkSession, d: str) -> str:
+    """The delivered file with faults in it: by quantity, lines are cut, lengthened or misprinted."""
+    columns = [c for c in SOURCE_COLUMNS if c not in ("order_date", "customer_id")]
+    fields = [F.concat(F.lit('"'), F.col(c).cast("string"), F.lit('"')) for c in columns]
+    quantity, last = F.col("quantity"), columns.index("quantity")
+    line = (
+        F.when(quantity == 1, F.concat_ws(",", *fields[:-1]))
+        .when(quantity == 2, F.concat_ws(",", *fields, F.lit("more")))
+        .when(quantity == 3, F.concat_ws(",", *fields[:last], F.lit("three"), *fields[last + 1 :]))
+        .when(quantity == 4, F.concat(F.concat_ws(",", *fields), F.lit('"')))
+        .when(quantity == 5, F.lit(" "))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    folder = warehouse.folder(spark, d, "csv_faulty")
+    lines = warehouse.lines(spark, d).select(line.alias("value"))
+    # Every file starts with its header, as the text writer has no header of its own.
+    writer = lines.select(F.col("value").alias(",".join(columns))).write.mode("overwrite")
+    writer.option("header", True).option("quote", "").option("escapeQuotes", False).option("sep", "\x01").option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    return folder
+
+
+def _load_faulty(spark: SparkSession, d: str) -> rejects.Load:
+    known = {"quantity": T.IntegerType(), "sales": T.DoubleType(), "discount": T.DoubleType(), "profit": T.DoubleType()}
+    target = T.StructType([T.StructField(c, t) for c, t in known.items()])
+    return rejects.load_with_rejects(spark, _faulty_lines(spark, d), target, warehouse.folder(spark, d, "csv_kept"))
+
+
 def _io5(spark, d):
     source = warehouse.lines(spark, d).select(*CLEAN_COLUMNS)
     stored = tables.write_table(source, warehouse.folder(spark, d, "io5"), ("year",))
@@ -139,6 +168,8 @@ def _pipeline(spark, d):
 
 _register("io1_load_with_fallback", _io1)
 _register("io2_read_csv", _io2)
+_register("io2_reject_counts", lambda s, d: _load_faulty(s, d).counts())
+_register("io2_accepted_lines", lambda s, d: _load_faulty(s, d).accepted)
 _register("io3_staging_load", lambda s, d: csvfiles.read_staging(s, _clean_csv(s, d, "csv_staging")))
 _register("io4_bi_load", lambda s, d: csvfiles.read_bi(s, _clean_csv(s, d, "csv_bi")))
 _register("io5_write_partitioned", _io5)
