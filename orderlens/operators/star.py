@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +15,7 @@ from orderlens.operators.joins import null_safe_join
 from orderlens.operators.keys import number_rows  # noqa: F401
 from orderlens.schema import DIM_CUSTOMER, DIM_DATE, DIM_GEOGRAPHY, DIM_PRODUCT, FACT_SALES
 from orderlens.session import freeze
-from orderlens.sources.tables import write_table
+from orderlens.sources.tables import write_observed, write_table
 
 GEO = ["country", "city", "region", "subregion"]
 
@@ -127,7 +127,8 @@ def build_star(
     Numbers of members last: the registry of an earlier load (``registry``, by default a
     folder under ``root``) keeps them, and only new members get new ones.  Dimensions are
     written first, so the fact load reads them back with known sizes.  The fact is
-    partitioned by year for date pruning.
+    partitioned by year for date pruning; its rows and nulls are counted while it is written,
+    and it is read back for its references, in one pass, and for the uniqueness of a given id.
     """
     members = dimension_members(lines)
     registry = registry or f"{root}/keys"
@@ -146,10 +147,13 @@ def build_star(
         null_safe_geography,
         sale_id,
     ).withColumn("sale_year", F.floor(F.col("date_key") / 10000).cast("int"))
-    star = Star(write_table(fact, f"{root}/fact_sales", ("sale_year",)), **stored)
+    watched = {"rows": F.count(F.lit(1))} | _nulls(REQUIRED["fact_sales"])
+    written, seen = write_observed(fact, f"{root}/fact_sales", watched, ("sale_year",))
+    star = Star(written, **stored)
     if check:
-        enforce(constraint_violations(star, sale_ids=sale_id is not None))
-        enforce_rows(validate_star(lines, star))
+        enforce(constraint_violations(star, sale_ids=sale_id is not None, fact_nulls=seen))
+        if (n := lines.count()) != seen["rows"]:
+            raise IntegrityError(f"{n} staging rows became {seen['rows']} fact rows")
     return star
 
 
@@ -189,20 +193,54 @@ def duplicate_keys(df: DataFrame, columns: list[str]) -> DataFrame:
     return repeats.agg(F.sum(F.col("c") - 1).alias("n"))
 
 
-def orphans(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Fact rows whose non-null key has no dimension row.
+#: Columns that must have a value, and the dimension each fact column points to.
+REQUIRED = {
+    "dim_date": ["date_key", "full_date"],
+    "dim_customer": ["customer_id"],
+    "dim_product": ["product_name"],
+    "fact_sales": ["sale_id", "order_id"],
+}
+REFERENCES = {
+    "dim_date": "date_key",
+    "dim_customer": "customer_key",
+    "dim_product": "product_key",
+    "dim_geography": "geography_key",
+}
+
+
+def _nulls(columns: list[str]) -> dict[str, Column]:
+    return {c: F.count_if(F.col(c).isNull()) for c in columns}
 
-    The fact is reduced to one row per key before the anti join.
+
+def orphans(star: Star) -> DataFrame:
+    """(table_name, rule, n_violations): fact rows whose non-null key has no dimension row.
+
+    One pass over the fact: its rows become (dimension, key) pairs, equal pairs of a task are
+    added up before they are sent, and the sums meet the keys of all dimensions at once.
     """
-    used = fact.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("c"))
-    return used.join(dim.select(key), key, "left_anti").agg(F.sum("c").alias("n"))
+    pair = lambda dim, key: F.struct(F.lit(dim).alias("dim"), F.col(key).cast("long").alias("key"))
+    pairs = star.fact_sales.select(F.explode(F.array(*[pair(d, k) for d, k in REFERENCES.items()])).alias("p"))
+    used = pairs.select("p.*").filter("key IS NOT NULL").groupBy("dim", "key").agg(F.count("*").alias("n"))
+    tables = star.tables()
+    known = reduce(DataFrame.unionByName, [tables[d].select(pair(d, k).alias("p")) for d, k in REFERENCES.items()])
+    lost = used.join(known.select("p.*"), ["dim", "key"], "left_anti").groupBy("dim").agg(F.sum("n").alias("n"))
+    none = star.fact_sales.sparkSession.createDataFrame([(d, 0) for d in REFERENCES], "dim string, n long")
+    return none.unionByName(lost).groupBy("dim").agg(F.sum("n").alias("n_violations")).select(
+        F.lit("fact_sales").alias("table_name"),
+        F.concat(F.lit("references("), "dim", F.lit(")")).alias("rule"),
+        "n_violations",
+    )
 
 
-def constraint_violations(star: Star, sale_ids: bool = True) -> DataFrame:
+def constraint_violations(
+    star: Star, sale_ids: bool = True, fact_nulls: dict[str, int] | None = None
+) -> DataFrame:
     """(table_name, rule, n_violations) for every key, not-null and reference rule.
 
     ``sale_ids=False`` leaves out the uniqueness of ``sale_id``, the one rule
     that shuffles the whole fact; a drawn id is unique by construction.
+    ``fact_nulls`` are null counts of the fact taken while it was written; without
+    them they are counted here.
     """
     checks = []
     unique = {
@@ -212,20 +250,19 @@ def constraint_violations(star: Star, sale_ids: bool = True) -> DataFrame:
         "dim_geography": [["geography_key"], GEO],
         "fact_sales": [["sale_id"]] if sale_ids else [],
     }
-    required = {
-        "dim_date": ["date_key", "full_date"],
-        "dim_customer": ["customer_id"],
-        "dim_product": ["product_name"],
-        "fact_sales": ["sale_id", "order_id"],
-    }
     tables = star.tables()
     for name, groups in unique.items():
         for cols in groups:
             checks.append(
                 _violations(duplicate_keys(tables[name], cols), name, f"unique({', '.join(cols)})")
             )
-    for name, cols in required.items():
-        nulls = tables[name].agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+    for name, cols in REQUIRED.items():
+        if name == "fact_sales" and fact_nulls is not None:
+            rows = [(name, f"not_null({c})", fact_nulls[c]) for c in cols]
+            schema = "table_name string, rule string, n_violations long"
+            checks.append(tables[name].sparkSession.createDataFrame(rows, schema))
+            continue
+        nulls = tables[name].agg(*[n.alias(c) for c, n in _nulls(cols).items()])
         checks.append(
             nulls.unpivot([], cols, "c", "n").select(
                 F.lit(name).alias("table_name"),
@@ -233,16 +270,7 @@ def constraint_violations(star: Star, sale_ids: bool = True) -> DataFrame:
                 F.col("n").alias("n_violations"),
             )
         )
-    for dim, key in (
-        ("dim_date", "date_key"),
-        ("dim_customer", "customer_key"),
-        ("dim_product", "product_key"),
-        ("dim_geography", "geography_key"),
-    ):
-        checks.append(
-            _violations(orphans(star.fact_sales, tables[dim], key), "fact_sales", f"references({dim})")
-        )
-    return reduce(DataFrame.unionByName, checks)
+    return reduce(DataFrame.unionByName, [*checks, orphans(star)])
 
 
 def enforce(violations: DataFrame) -> None:
@@ -250,9 +278,3 @@ def enforce(violations: DataFrame) -> None:
     broken = violations.filter("n_violations > 0").collect()
     if broken:
         raise IntegrityError("; ".join(f"{r.table_name} {r.rule}: {r.n_violations}" for r in broken))
-
-
-def enforce_rows(counts: DataFrame) -> None:
-    row = counts.first()
-    if row.staging_rows != row.fact_rows:
-        raise IntegrityError(f"{row.staging_rows} staging rows became {row.fact_rows} fact rows")

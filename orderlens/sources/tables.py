@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Upper bound of rows per file, so that a hot year is spread over many files.
@@ -32,6 +32,19 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def write_observed(
+    df: DataFrame, path: str, measures: dict[str, Column], partition_by: tuple[str, ...] = ()
+) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`write_table`, and aggregates of the very rows written, from the same pass.
+
+    The aggregates are taken in the tasks that write, above the last shuffle, so a task that
+    is run again counts once.  Over no rows a count is 0 and other aggregates are null.
+    """
+    seen = Observation()
+    watched = df.observe(seen, *[m.alias(name) for name, m in measures.items()])
+    return write_table(watched, path, partition_by), seen.get
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, key: str, buckets: int) -> DataFrame:
     """Bucketed and sorted table: later joins and groupings on ``key`` do not shuffle it.
 

@@ -8,6 +8,7 @@ from test_rules import make
 
 from orderlens.operators import star as S
 from orderlens.plans import library as L
+from orderlens.sources.tables import write_observed
 
 ROWS = [
     dict(order_id="ORD-1", product="FinanceHub", sales=1000, quantity=2, discount=0.1, profit=200),
@@ -138,3 +139,27 @@ def test_refresh_of_one_year_leaves_the_others(spark, tmp_path):
     later = S.build_star(spark, make(spark, changed), str(tmp_path / "b"))
     out = L.refresh_monthly_kpis(spark, later, path, years=[2023])
     assert {r.year: r.sales for r in out.collect()} == {2022: 100.0, 2023: 999.0}
+
+
+def test_counts_come_with_the_write(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, 2020), (2, "a", 2021), (None, None, 2021)], "k int, t string, year int")
+    measures = {"rows": F.count(F.lit(1)), "no_k": F.count_if(F.col("k").isNull()), "top": F.max("k")}
+    back, seen = write_observed(df, str(tmp_path / "t"), measures, ("year",))
+    assert seen == {"rows": 3, "no_k": 1, "top": 2} and back.count() == 3
+    assert write_observed(df.limit(0), str(tmp_path / "e"), measures)[1] == {"rows": 0, "no_k": 0, "top": None}
+
+
+def test_missing_values_stop_the_load(spark, tmp_path):
+    with pytest.raises(S.IntegrityError, match=r"not_null\(order_id\): 1"):
+        S.build_star(spark, make(spark, [dict(order_id=None), dict()]), str(tmp_path / "s"))
+
+
+def test_observed_nulls_give_the_same_report(star):
+    plain = {tuple(r) for r in S.constraint_violations(star).collect()}
+    seen = {"sale_id": 0, "order_id": 0}
+    assert {tuple(r) for r in S.constraint_violations(star, fact_nulls=seen).collect()} == plain and len(plain) == 18
+
+
+def test_references_read_the_fact_once(star):
+    plan = S.orphans(star)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.count("Relation [") == 5
