@@ -79,3 +79,16 @@ def test_refusals(spark, tmp_path):
     put(tmp_path / "twice", "a.csv", "name,sales,day,day", "x,1,2,3")
     with pytest.raises(MalformedSource):
         load(spark, tmp_path / "twice", tmp_path)
+
+
+def test_the_whole_run_goes_on_without_the_misfits(spark, tmp_path):
+    from orderlens import schema
+    from orderlens.plans import pipeline
+
+    head = ",".join(f.name for f in schema.SOURCE)
+    good = "1,O1,2023-01-15,20230115,Ann,Korea,Seoul,APJ,East,Ltd,C1,Tech,SMB,Hub,K1,261.96,2,0.1,41.9136"
+    put(tmp_path / "real", "a.csv", head, good, good.replace("1,O1", "2,O2", 1), "3,O3", good.replace("261.96", "much"))
+    real, absent = str(tmp_path / "real"), str(tmp_path / "absent")
+    out = pipeline.run(spark, real, absent, str(tmp_path / "t"), reject_path=str(tmp_path / "r"))
+    assert sorted(r.order_id for r in out.lines.collect()) == ["O1", "O2"]
+    assert {r.reason: r.n_lines for r in out.rejected.collect()} == {"short line": 1, "bad value: Sales": 1}
