@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from orderlens.operators.calendar import date_table
 from orderlens.operators.distincts import Level, Store, build_store
 from orderlens.operators.star import Star, build_star, read_star
-from orderlens.session import shared_dir
+from orderlens.session import shared_dir, spread
 from orderlens.sources import tpch
 from orderlens.sources.tables import write_table
 
@@ -46,7 +46,8 @@ def _once(
 
 
 def _build_lines(spark: SparkSession, sf_dir: str, path: str) -> dict[str, T.StructType]:
-    return {"lines": write_table(tpch.clean_lines(spark, sf_dir), path, ("year",)).schema}
+    with spread(spark, tpch.table(spark, sf_dir, "lineitem").count()):
+        return {"lines": write_table(tpch.clean_lines(spark, sf_dir), path, ("year",)).schema}
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,9 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def star(spark: SparkSession, sf_dir: str) -> Star:
     def build(path: str) -> dict[str, T.StructType]:
-        built = build_star(spark, lines(spark, sf_dir), path)
+        source = lines(spark, sf_dir)
+        with spread(spark, source.count()):
+            built = build_star(spark, source, path)
         return {name: df.schema for name, df in built.tables().items()}
 
     path, schemas = _once(spark, sf_dir, "star", build)
@@ -82,7 +85,8 @@ def aggregates(spark: SparkSession, sf_dir: str) -> Store:
     source = lines(spark, sf_dir)
 
     def build(path: str) -> dict[str, T.StructType]:
-        store = build_store(source, path, LEVELS)
+        with spread(spark, source.count()):
+            store = build_store(source, path, LEVELS)
         parts = {f"{n}_sums": v.sums.schema for n, v in enumerate(store.levels)}
         parts |= {f"{n}_bitmaps": v.bitmaps.schema for n, v in enumerate(store.levels)}
         _ROWS[(spark.sparkContext.applicationId, sf_dir)] = [v.rows for v in store.levels]

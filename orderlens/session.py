@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,3 +54,34 @@ def freeze(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/frozen-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of the widest table that a task of a shuffle should hold at most, and MB it may be merged to.
+ROWS_A_TASK, MB_A_TASK = 250_000, 16
+
+
+@contextmanager
+def spread(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside deal ``rows`` to so many tasks that the memory of one stays the same at any size.
+
+    The number of shuffle partitions follows the rows, never below the session's own, and
+    small partitions are merged only up to a size that is still small once rows are widened.
+    Spark goes on to merge and split them by what it sees.  The session's settings come back.
+    """
+    wanted = {
+        "spark.sql.shuffle.partitions": str(
+            max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK))
+        ),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{MB_A_TASK}m",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
