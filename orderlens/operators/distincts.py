@@ -26,6 +26,7 @@ from orderlens.operators import keys as registry
 from orderlens.operators import measures as M
 from orderlens.operators.joins import null_safe_join
 from orderlens.operators.slicers import NONE, Slicers
+from orderlens.session import freeze
 from orderlens.sources.tables import write_table
 
 @dataclass(frozen=True)
@@ -67,11 +68,16 @@ def bit_rows(lines: DataFrame, cells: Sequence[str], column: str, numbers: DataF
     """(cells, bucket, bitmap) of the numbers that ``column`` has in each cell.
 
     ``numbers`` holds ``column`` and its ``number``; pairs are made distinct before the join.
+    They are sent to their cell's bucket as numbers: a bitmap has 4 KB however few bits are
+    set, so none is made before all of its numbers, at most 32,768, are in one task.
     """
     pairs = lines.where(F.col(column).isNotNull()).select(*cells, column).distinct()
     found = pairs.join(numbers, column)
-    bucket = F.bitmap_bucket_number("number").alias("bucket")
-    return found.groupBy(*cells, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bitmap"))
+    places = found.select(
+        *cells, F.bitmap_bucket_number("number").alias("bucket"), F.bitmap_bit_position("number").alias("_place")
+    )
+    dealt = places.repartition(*cells, "bucket")
+    return dealt.groupBy(*cells, "bucket").agg(F.bitmap_construct_agg("_place").alias("bitmap"))
 
 
 def merged_counts(bitmaps: DataFrame, whats: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -108,7 +114,9 @@ def build_store(lines: DataFrame, root: str, levels: Sequence[Sequence[str]]) ->
     for what, column in M.COUNTED.items():
         members = lines.where(F.col(column).isNotNull()).groupBy(column).agg(F.min("order_date").alias("_first"))
         order = ["_first"] if what == "orders" else []
-        numbers[what] = registry.register(members.select(column, *order), f"{root}/numbers/{what}", "number", order)
+        # dealing to ranges reads its input twice
+        members = freeze(members.select(column, *order))
+        numbers[what] = registry.register(members, f"{root}/numbers/{what}", "number", order)
     built = []
     for n, cells in enumerate(levels):
         added = M.bases()
