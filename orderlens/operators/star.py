@@ -91,7 +91,8 @@ def fact_sales(
     """Resolve natural keys to surrogate keys; ``date_key`` passes through.
 
     No dimension is hinted: Spark broadcasts those whose size it knows to be
-    small and shuffles, splitting skewed partitions, otherwise.  ``sale_id``
+    small and shuffles, splitting skewed partitions, otherwise.  Customers, the largest,
+    come last, when texts have become keys and rows are narrow.  ``sale_id``
     names a unique source column; without it an id is drawn that is unique in
     the table once written.  A null in a geography column drops the line,
     unless ``null_safe_geography`` lets null match null.
@@ -105,9 +106,10 @@ def fact_sales(
         return F.col(k).eqNullSafe(theirs) if null_safe_geography else F.col(k) == theirs
 
     joined = (
-        lines.join(c, F.col("customer_id") == F.col("_cid"))
-        .join(p, F.col("product") == F.col("_pname"))
+        lines.join(p, F.col("product") == F.col("_pname"))
         .join(g, reduce(lambda a, b: a & b, [same(k) for k in GEO]))
+        .drop("product", *GEO)
+        .join(c, F.col("customer_id") == F.col("_cid"))
     )
     ident = F.col(sale_id).cast("long") if sale_id else F.monotonically_increasing_id()
     return joined.withColumn("sale_id", ident).select(*FACT_SALES)
