@@ -1,6 +1,10 @@
 """Exact duplicates found by row fingerprints: full rows travel only where prints repeat.
 
 Every function reads its input more than once, so the input must give the same rows each time.
+
+Where too many different rows repeat, prints spare nothing: the list of them could not be
+broadcast, and all rows would travel to it and then to their equals.  One slice of the prints
+tells; rows are then grouped by their columns at once, which finds the same repeats.
 """
 
 from __future__ import annotations
@@ -15,6 +19,9 @@ from orderlens.session import freeze
 Print = Callable[[Sequence[str]], list[Column]]
 PRINT = ["_print_a", "_print_b"]
 
+#: One print in so many tells how many repeat, and up to so many repeated ones rows are found by print.
+SLICE, MOST = 64, 500_000
+
 
 def row_print(columns: Sequence[str]) -> list[Column]:
     """128 bits of a row in two numbers; a null differs from a value and from a null elsewhere."""
@@ -33,6 +40,13 @@ def repeated_prints(df: DataFrame, keys: Sequence[str], prints: Print = row_prin
     return freeze(found.filter("n > 1").select(*PRINT))
 
 
+def many_repeat(df: DataFrame, keys: Sequence[str], prints: Print = row_print) -> bool:
+    """Whether over ``MOST`` prints repeat, by those of one slice; it chooses a way, not the result."""
+    slice_ = _printed(df, keys, prints).select(*PRINT).where(F.pmod(F.col(PRINT[0]), F.lit(SLICE)) == 0)
+    repeated = slice_.groupBy(*PRINT).agg(F.count("*").alias("n")).where("n > 1")
+    return repeated.count() * SLICE > MOST
+
+
 def suspects(df: DataFrame, keys: Sequence[str], prints: Print = row_print) -> DataFrame:
     """Rows whose fingerprint repeats: all true repeats, and rows that only share a print."""
     return _printed(df, keys, prints).join(repeated_prints(df, keys, prints), PRINT, "left_semi").drop(*PRINT)
@@ -47,7 +61,8 @@ def duplicate_count(df: DataFrame, prints: Print = row_print) -> DataFrame:
     """
     if not df.columns:
         return df.agg(F.greatest(F.count("*") - 1, F.lit(0)).alias("n_duplicates"))
-    same = suspects(df, df.columns, prints).groupBy(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df if many_repeat(df, df.columns, prints) else suspects(df, df.columns, prints)
+    same = rows.groupBy(*[F.col(f"`{c}`") for c in df.columns])
     beyond = same.agg(F.count("*").alias("_copies")).agg(F.sum(F.col("_copies") - 1).alias("n"))
     return beyond.select(F.coalesce("n", F.lit(0)).cast("long").alias("n_duplicates"))
 
@@ -63,16 +78,19 @@ def distinct_rows(
     keys = [c for c in df.columns if c not in skip]
     if not keys:
         return df.dropDuplicates()
+    order = [F.col(f"`{c}`") for c in df.columns]
+    if many_repeat(df, keys, prints):
+        return _least(df, keys, skip).select(*order)
     printed = _printed(df, keys, prints)
     again = repeated_prints(df, keys, prints)
     lone = printed.join(again, PRINT, "left_anti").drop(*PRINT)
-    several = printed.join(again, PRINT, "left_semi").drop(*PRINT)
-    if skip:
-        least = F.min(F.struct(*[F.col(f"`{c}`") for c in skip])).alias("_kept")
-        several = several.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(least).select(
-            *[F.col(f"`{c}`") for c in keys], "_kept.*"
-        )
-    else:
-        several = several.dropDuplicates()
-    order = [F.col(f"`{c}`") for c in df.columns]
+    several = _least(printed.join(again, PRINT, "left_semi").drop(*PRINT), keys, skip)
     return lone.select(*order).unionByName(several.select(*order))
+
+
+def _least(rows: DataFrame, keys: Sequence[str], skip: Sequence[str]) -> DataFrame:
+    """One row per ``keys``, with the least values of ``skip``."""
+    if not skip:
+        return rows.dropDuplicates()
+    least = F.min(F.struct(*[F.col(f"`{c}`") for c in skip])).alias("_kept")
+    return rows.groupBy(*[F.col(f"`{c}`") for c in keys]).agg(least).select(*[F.col(f"`{c}`") for c in keys], "_kept.*")
