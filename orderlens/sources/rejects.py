@@ -50,7 +50,7 @@ def raw_lines(spark: SparkSession, path: str) -> DataFrame:
     first = F.col("_metadata.file_block_start") == 0
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
-        F.regexp_replace("value", "^\\uFEFF", "").alias("line"),
+        F.when(F.startswith("value", F.lit("\ufeff")), F.expr("substring(value, 2)")).otherwise(F.col("value")).alias("line"),
         first.alias("first_block"),
     )
 
@@ -61,15 +61,16 @@ def file_headers(lines: DataFrame) -> DataFrame:
     return numbered.groupBy("file").agg(F.min_by("line", "at").alias("header"))
 
 
+def _commas(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))
+
+
 def _n_fields(line: Column) -> Column:
-    outside = F.regexp_replace(line, '"[^"]*"', "")
-    return F.length(outside) - F.length(F.replace(outside, F.lit(","), F.lit(""))) + 1
+    return _commas(F.regexp_replace(line, '"[^"]*"', "")) + 1
 
 
-def _value(text: Column, kind: T.DataType, missing: Sequence[str]) -> tuple[Column, Column]:
-    present = F.when(~F.trim(text).isin(list(missing)), text)
-    value = present if isinstance(kind, T.StringType) else present.try_cast(kind)
-    return value, present.isNotNull() & value.isNull()
+def _present(text: Column, missing: Sequence[str]) -> Column:
+    return F.when(~F.trim(text).isin(list(missing)), text)
 
 
 def tag_lines(
@@ -90,12 +91,18 @@ def tag_lines(
     fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     parser = fields.add("_wrong", T.StringType())
     options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_wrong"}
-    parsed = lines.withColumn("n_fields", _n_fields(F.col("line"))).withColumn(
-        "f", F.when(F.col("n_fields") <= len(names), F.from_csv("line", parser.simpleString(), options))
-    )
-    values = {n: _value(F.col(f"f.c{i}"), kinds.get(n, T.StringType()), missing) for i, n in enumerate(names)}
-    misfits = F.concat_ws(", ", *[F.when(bad, F.lit(n)) for n, (_, bad) in values.items()])
     line = F.col("line")
+    # Fields are split outside of quotes, which is looked at only where all commas would be too many.
+    few = (_commas(line) < len(names)) | (_n_fields(line) <= len(names))
+    parsed = lines.withColumn("f", F.when(few, F.from_csv("line", parser.simpleString(), options)))
+    present = {n: _present(F.col(f"f.c{i}"), missing) for i, n in enumerate(names)}
+    values = {n: c.try_cast(kinds[n]) if n in kinds else c for n, c in present.items()}
+    parsed = parsed.withColumn("v", F.struct(*[c.alias(n) for n, c in values.items()]))
+    # A text always fits; a present value is looked for only where the typed one is null.
+    typed = [n for n, kind in kinds.items() if not isinstance(kind, T.StringType)]
+    bad = {n: F.col("v").getField(n).isNull() & present[n].isNotNull() for n in names if n in typed}
+    parsed = parsed.withColumn("misfits", F.concat_ws(", ", *[F.when(c, F.lit(n)) for n, c in bad.items()]))
+    misfits = F.col("misfits")
     reason = (
         F.when(F.trim(line) == "", BLANK)
         .when(F.col("other_header"), OTHER_HEADER)
@@ -105,8 +112,7 @@ def tag_lines(
         .when(F.col("f._wrong").isNotNull(), SHORT)
         .when(misfits != "", F.concat(F.lit(BAD_VALUE), misfits))
     )
-    typed = F.struct(*[value.alias(n) for n, (value, _) in values.items()])
-    return parsed.select("file", "line", reason.alias("reason"), typed.alias("v"))
+    return parsed.select("file", "line", reason.alias("reason"), "v")
 
 
 def load_with_rejects(
