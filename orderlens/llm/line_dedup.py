@@ -32,40 +32,73 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderlens.llm.common import ship, stage, with_rest
-from orderlens.llm.shingles import mix, per_row, plain_text
+from orderlens.llm.shingles import _ODD, mix, per_row, plain_text
 from orderlens.llm.tokens import text_slices
 
 PERCENT = 80
 #: Cells in which words are counted; the table that tasks get has this size always.
 CELLS = 1 << 20
+#: Cells whose counts travel in one row.
+BLOCK = 256
+#: Bytes up to which words are hashed together.
+LONG = 64
+#: Bytes of text that are split into words together, so that what is made of them stays in a processor's cache.
+SLICE = 1 << 20
 #: Groups up to this size pair up at once; lines in larger ones name so many earlier lines a round, growing.
 CROWD, NEAREST = 512, 8
+#: Postings that are paired up together, and twice the pairs of small groups held at once (but for one group).
+TOGETHER, AT_ONCE = 1 << 17, 1 << 21
 #: Most bytes of the filter that says which documents hold lines to verify.
 FILTER_BYTES = 32 * 1024 * 1024
 
 _LOW = -(2**63)
 
 
-def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray]:
-    """Lines per text, words per line, and all words as numbers of distinct words with hashes."""
-    lists = pc.split_pattern(plain_text(texts, lines=True), "\n")
-    per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    words = pc.split_pattern(lists.flatten(), " ")
-    counts = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    hashes = np.array([xxhash.xxh64_intdigest(w.encode()) for w in names], np.uint64)
-    codes = coded.indices.to_numpy(zero_copy_only=False)
-    full = np.array([bool(w) for w in names], bool)[codes] if names else np.zeros(0, bool)
-    rows = np.repeat(np.arange(len(counts)), counts)[full]
-    return per_text, rows, codes[full], names, hashes
+def _hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit hashes of stretches of bytes, eight bytes of all of them at a time; long ones by themselves."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    hashes = lengths.astype(np.uint64)
+    live = np.arange(len(lengths))
+    for at in range(0, LONG, 8):
+        live = live[lengths[live] > at]
+        if not len(live):
+            return hashes
+        left = np.minimum(lengths[live] - at, 8).astype(np.uint64)
+        chunk = eights[starts[live] + at] & (~np.uint64(0) >> (np.uint64(64) - np.uint64(8) * left))
+        hashes[live] = mix(hashes[live] * _ODD ^ chunk)
+    for i in live[lengths[live] > LONG].tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + lengths[i]].tobytes())
+    return hashes
+
+
+def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lines per text; line and number of each word; and the hashes of the numbered distinct words."""
+    texts = plain_text(texts, lines=True)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    breaks = np.flatnonzero(data == 10)
+    per_text = np.diff(np.searchsorted(breaks, offsets)) + 1
+    inside = (data != 32) & (data != 10)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = np.diff(offsets) > 0  # a word ends with its text
+    head, tail = offsets[:-1][full], offsets[1:][full] - 1
+    first[head] = inside[head]
+    last[tail] = inside[tail]
+    starts = np.flatnonzero(first)
+    coded = pa.array(_hashes(data, starts, np.flatnonzero(last) + 1 - starts)).dictionary_encode()
+    rows = np.searchsorted(breaks, starts) + np.searchsorted(offsets, starts, side="right") - 1
+    hashes = coded.dictionary.to_numpy(zero_copy_only=False)
+    return per_text, rows, coded.indices.to_numpy(zero_copy_only=False), hashes
 
 
 def _cell(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(44)).astype(np.int64)
 
 
-_SCAN = "cell int, n long, class long, doc long, row long, line int"
+_SCAN = "class long, doc long, row long, line int, block int, counts binary"
 
 
 def _distinct(rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,38 +110,61 @@ def _distinct(rows: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First scan: the class and place of each line, and at the end the words of each cell."""
+    """First scan: the class and place of each line, and at the end the words of each cell, in blocks of cells."""
     total = np.zeros(CELLS, np.int64)
-    none = np.zeros(0, np.int64)
-
-    def batch_of(cell, n, name, doc, row, line) -> pa.RecordBatch:
-        cells = np.arange(len(cell) + len(name)) < len(cell)
-        columns = []
-        for c, of_cells, kind in ((cell, True, np.int32), (n, True, np.int64), (name, False, np.int64), (doc, False, np.int64), (row, False, np.int64), (line, False, np.int32)):
-            pad = np.zeros(len(name) if of_cells else len(cell), kind)
-            parts = [c.astype(kind), pad] if of_cells else [pad, c.astype(kind)]
-            columns.append(pa.array(np.concatenate(parts), mask=~cells if of_cells else cells))
-        return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _SCAN.split(", ")])
-
-    for batch in (part for whole in batches for part in text_slices(whole)):
-        per_text, rows, codes, names, hashes = _lines(batch.column("text"))
-        if not names:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+
+    def batch_of(*columns) -> pa.RecordBatch:
+        n = next(len(c) for c in columns if c is not None)
+        arrays = [pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _SCAN.split(", ")])
+
+    for batch in (part for whole in batches for part in text_slices(whole, size=SLICE)):
+        per_text, rows, codes, hashes = _lines(batch.column("text"))
+        if not len(hashes):
             continue
         rows, codes = _distinct(rows, codes)
         sizes = np.bincount(rows, minlength=int(per_text.sum()))
-        total += np.bincount(_cell(hashes), np.bincount(codes, minlength=len(names)), CELLS).astype(np.int64)
+        total += np.bincount(_cell(hashes), np.bincount(codes, minlength=len(hashes)), CELLS).astype(np.int64)
         name = _class(mix(hashes)[codes], sizes)
         doc, row, line = _number(batch, per_text)
         full = np.flatnonzero(sizes)
-        yield batch_of(none, none, name[full], doc[full], row[full], line[full])
-    full = np.flatnonzero(total)
-    yield batch_of(full, total[full], none, none, none, none)
+        yield batch_of(name[full], doc[full], row[full], line[full].astype(np.int32), None, None)
+    if total.any():
+        yield batch_of(None, None, None, None, *_packed(total))
+
+
+def _packed(total: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Blocks of cells that have words, and of each the counts that are not 0, followed by their places."""
+    cells = np.flatnonzero(total)
+    blocks, first = np.unique(cells // BLOCK, return_index=True)
+    ends = [*first[1:].tolist(), len(cells)]
+    counts, places = total[cells], (cells % BLOCK).astype(np.uint8)
+    return blocks.astype(np.int32), [counts[a:b].tobytes() + places[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
+
+
+def _unpacked(blocks: pa.Array, packed: pa.Array, total: np.ndarray) -> None:
+    """Add the counts of these blocks to ``total``."""
+    for block, own in zip(blocks.to_pylist(), packed, strict=True):
+        n = len(own.as_buffer()) // 9
+        counts = np.frombuffer(own.as_buffer(), np.int64, n)
+        total[block * BLOCK + np.frombuffer(own.as_buffer(), np.uint8, n, 8 * n).astype(np.int64)] += counts
 
 
 def _cell_counts(scanned: DataFrame) -> np.ndarray:
-    got = scanned.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            _unpacked(batch.column("block"), batch.column("counts"), sums)
+        if sums.any():
+            blocks, packed = _packed(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(packed, pa.binary())], ["block", "counts"])
+
+    blocks = scanned.where("block is not null").select("block", "counts").repartition("block")
     out = np.zeros(CELLS, np.int64)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    got = blocks.mapInArrow(add, "block int, counts binary").toArrow().combine_chunks()  # CELLS numbers at most
+    for batch in got.to_batches():
+        _unpacked(batch.column("block"), batch.column("counts"), out)
     return out
 
 
@@ -120,7 +176,7 @@ def _ranks(counts: np.ndarray) -> np.ndarray:
 
 def line_sets(texts: pa.Array, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lines per text; sizes, distinct words as numbers that sort by rarity, and classes of the lines."""
-    per_text, rows, codes, _, hashes = _lines(texts)
+    per_text, rows, codes, hashes = _lines(texts)
     keys = ranks[_cell(hashes)] | (hashes & np.uint64(2**40 - 1)) if len(hashes) else hashes
     keys, first, place = np.unique(keys, return_index=True, return_inverse=True)
     rows, codes = _distinct(rows, place[codes])
@@ -151,7 +207,7 @@ _POSTING = "word long, class long, doc long, row long, line int, size int, at in
 def _postings(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = sent.value
-        for batch in (part for whole in batches for part in text_slices(whole)):
+        for batch in (part for whole in batches for part in text_slices(whole, size=SLICE)):
             per_text, sizes, keys, name = line_sets(batch.column("text"), ranks)
             doc, row, line = _number(batch, per_text)
             # lines of under four words are similar to equal ones only; of equal ones the first is enough
@@ -259,7 +315,8 @@ def _pairs(skip: int, take: int, first: bool):
         # a line alone under its word meets nobody; the others stand by size, equal lines together, the first one first
         same = np.concatenate([[False], x["word"][1:] == x["word"][:-1], [False]])
         x = {k: v[same[1:] | same[:-1]] for k, v in x.items()}
-        order = np.lexsort(tuple(x[k] for k in ("line", "row", "doc", "class", "size", "word")))
+        group = np.cumsum(np.concatenate([[False], x["word"][1:] != x["word"][:-1]])[: len(x["word"])])
+        order = np.lexsort((x["line"], x["row"], x["doc"], x["class"], group << 32 | x["size"]))
         x = {k: v[order] for k, v in x.items()}
         new = np.ones(len(x["word"]), bool)
         new[1:] = (x["word"][1:] != x["word"][:-1]) | (x["class"][1:] != x["class"][:-1])
@@ -267,15 +324,16 @@ def _pairs(skip: int, take: int, first: bool):
         x |= {k: x[k].view(np.uint64) for k in ("bits1", "bits2")}
         starts = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]]))
         lengths = np.diff(np.append(starts, len(x["word"])))
-        later, earlier, again = [], [], []
+        later, earlier, crowds = [], [], [np.zeros(0, np.int64)]
         if first:
-            small = np.repeat((lengths > 1) & (lengths <= CROWD), lengths)
-            a, b, more = _nearest(*_small_groups(x, np.flatnonzero(small), np.repeat(starts + lengths, lengths)[small]), skip, take)
-            later.append(a)
-            earlier.append(b)
-            crowds = [np.unique(np.searchsorted(starts, more, side="right") - 1)]
-        else:
-            crowds = [np.zeros(0, np.int64)]
+            small = np.flatnonzero((lengths > 1) & (lengths <= CROWD))
+            load = np.cumsum(lengths[small] ** 2) // AT_ONCE
+            for some in np.split(small, np.flatnonzero(load[1:] != load[:-1]) + 1):
+                place = np.arange(lengths[some].sum()) + np.repeat(starts[some] - np.cumsum(lengths[some]) + lengths[some], lengths[some])
+                a, b, more = _nearest(*_small_groups(x, place, np.repeat(starts[some] + lengths[some], lengths[some])), skip, take)
+                later.append(a)
+                earlier.append(b)
+                crowds.append(np.unique(np.searchsorted(starts, more, side="right") - 1))
         large = np.flatnonzero(lengths > (CROWD if first else 1))
         for g in large.tolist():
             for a, b, more in _large_group(x, starts[g], starts[g] + lengths[g], skip, take):
@@ -290,19 +348,20 @@ def _pairs(skip: int, take: int, first: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        rows = 0
         for batch in batches:
             x = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in batch.schema.names}
             x.setdefault("wanted", np.ones(len(batch), bool))
             if not len(batch):
                 continue
-            cut = int(np.searchsorted(x["word"], x["word"][-1], side="left"))  # the last word may go on
-            if cut == 0 and held and held[-1]["word"][-1] == x["word"][-1]:
-                held.append(x)
+            held.append(x)
+            rows += len(batch)
+            if rows < TOGETHER or held[0]["word"][0] == x["word"][-1]:  # one word only, which may go on
                 continue
-            whole = {k: np.concatenate([*(h[k] for h in held), v[:cut]]) for k, v in x.items()}
-            if len(whole["word"]):
-                yield groups(whole)
-            held = [{k: v[cut:] for k, v in x.items()}]
+            whole = {k: np.concatenate([h[k] for h in held]) for k in x}
+            cut = int(np.searchsorted(whole["word"], whole["word"][-1], side="left"))  # the last word may go on
+            held, rows = [{k: v[cut:].copy() for k, v in whole.items()}], len(whole["word"]) - cut
+            yield groups({k: v[:cut] for k, v in whole.items()})
         if held:
             yield groups({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
@@ -318,7 +377,7 @@ def _sets(sent_ranks, sent_docs, sent_classes):
         for batch in batches:
             ids = pc.fill_null(batch.column("doc_id"), _LOW).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array(sent_docs.value.has(ids)))
-            for part in text_slices(batch):
+            for part in text_slices(batch, size=SLICE):
                 _, sizes, keys, name = line_sets(part.column("text"), sent_ranks.value)
                 keep = np.unique(name, return_index=True)[1]
                 keep = keep[sent_classes.value.has(name[keep]) & (sizes[keep] >= 4)]
@@ -419,33 +478,36 @@ def remove_lines(docs: DataFrame) -> DataFrame:
     """All rows: doc_id, text without the removed lines, n_lines, n_removed; and ``rest``, the columns given."""
     spark = docs.sparkSession
     ship(spark)
-    given = with_rest(docs).withColumn("row", F.xxhash64("text"))
+    docs_columns = docs.columns
+    given = with_rest(docs).withColumns({"row": F.xxhash64("text"), "doc": F.coalesce("doc_id", F.lit(_LOW))})
     docs = given.select("doc_id", "text", "row")
     scanned = stage(docs.mapInArrow(_scan, _SCAN), "lines")
     ranks = spark.sparkContext.broadcast(_ranks(_cell_counts(scanned)))  # CELLS numbers
     similar = similar_to_earlier(docs, ranks)
     place = F.struct("doc", "row", "line")
-    firsts = scanned.where("cell is null").groupBy("class").agg(F.min(place).alias("first"))
+    firsts = scanned.where("block is null").groupBy("class").agg(F.min(place).alias("first"))
     stay = firsts.join(similar, "class", "left_anti").select("first.*")
     stay = stay.groupBy("doc", "row").agg(F.collect_list("line").alias("stay"))
-    joined = given.withColumn("doc", F.coalesce("doc_id", F.lit(_LOW))).join(stay, ["doc", "row"], "left")
-    joined = joined.select("doc_id", "text", "stay", "rest")
+    at = docs_columns.index("text")
+    joined = given.drop("doc_id", "text").join(stay, ["doc", "row"], "left").select("stay", "rest")
     kinds = joined.schema["rest"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, removed = [], [], []
-            for text, stay in zip(batch.column("text").to_pylist(), batch.column("stay").to_pylist(), strict=True):
+            own_texts = batch.column("rest").field(at).to_pylist()
+            for text, stay in zip(own_texts, batch.column("stay").to_pylist(), strict=True):
                 own = text.split("\n") if text is not None else []
                 kept = set(stay or ())
-                left = [s for i, s in enumerate(own) if i in kept or not s.strip(" \t\n\r\x0b\x0c")]
-                texts.append("\n".join(left) if text is not None else None)
+                left = own if len(kept) == len(own) else [s for i, s in enumerate(own) if i in kept or not s.strip(" \t\n\r\x0b\x0c")]
+                texts.append("\n".join(left) if len(left) < len(own) else None)
                 total.append(len(own))
                 removed.append(len(own) - len(left))
             numbers = [pa.array(x, pa.int64()) for x in (total, removed)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), *numbers, batch.column("rest")],
-                ["doc_id", "text", "n_lines", "n_removed", "rest"],
+                [pa.array(texts, pa.string()), *numbers, batch.column("rest")], ["text", "n_lines", "n_removed", "rest"]
             )
 
-    return joined.mapInArrow(cut, f"doc_id long, text string, n_lines long, n_removed long, rest {kinds}")
+    found = joined.mapInArrow(cut, f"text string, n_lines long, n_removed long, rest {kinds}")
+    text = F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col(f"rest.c{at}")).alias("text")
+    return found.select(F.col(f"rest.c{docs_columns.index('doc_id')}").alias("doc_id"), text, "n_lines", "n_removed", "rest")

@@ -38,7 +38,7 @@ def op4_block_field(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that repeat an earlier one, nearly or fully."""
-    return line_dedup.remove_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.remove_lines(pick(table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

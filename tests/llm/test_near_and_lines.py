@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from compare import database, differences
 from orderlens.llm import line_dedup, near_dedup, queries
@@ -149,6 +150,53 @@ def test_line_dedup_of_odd_rows(spark, odd_docs, no_docs):
     assert line_dedup.remove_lines(no_docs).collect() == []
 
 
+def test_lines_and_words_are_those_of_plain_splitting():
+    parts = ["a", "B", "é", " ", "\n", "\t", "\r", "\x0b", "z" * 9, "日本語", "x" * 70, "\0", "q" * 8, "w" * 64]
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)]
+    texts = ["", None, *texts, "", " ", "\n", "a"]
+    per_text, rows, codes, hashes = line_dedup._lines(pa.array(texts)[1:])
+    lines = [line for t in texts[1:] for line in (t or "").split("\n")]
+    assert per_text.tolist() == [(t or "").count("\n") + 1 for t in texts[1:]]
+    want = [(i, w) for i, line in enumerate(lines) for w in words(line)]
+    assert rows.tolist() == [i for i, _ in want]
+    number = {}
+    assert codes.tolist() == [number.setdefault(w, len(number)) for _, w in want]
+    assert len(set(hashes.tolist())) == len(number)
+
+
+def _sorted_postings(n, words_of):
+    names = [c.split()[0] for c in line_dedup._POSTING.split(", ")]
+    ones = np.ones(n, np.int64)
+    x = dict.fromkeys(names, ones) | {"word": words_of, "class": np.arange(n), "doc": np.arange(n), "size": 9 * ones, "bits1": 0 * ones, "bits2": 0 * ones}
+    return [pa.RecordBatch.from_pydict({k: v[i : i + 500] for k, v in x.items()}) for i in range(0, n, 500)]
+
+
+def test_small_batches_of_postings_are_paired_up_together():
+    batches = _sorted_postings(20_000, np.arange(20_000) // 2)
+    got = list(line_dedup._pairs(0, 8, True)(iter(batches)))
+    assert len(got) == 1  # one a batch takes a round of all steps for every 500 postings
+    assert sorted(zip(got[0]["later"].to_pylist(), got[0]["earlier"].to_pylist())) == [(2 * i + 1, 2 * i) for i in range(10_000)]
+
+
+def test_postings_in_many_parts_give_all_pairs(monkeypatch):
+    batches = _sorted_postings(6000, np.repeat(np.arange(9), [1, 3, 1200, 2, 700, 1, 90, 4000, 3]))
+    pairs = lambda got: sorted((a, b) for g in got for a, b in zip(g["later"].to_pylist(), g["earlier"].to_pylist()) if a is not None)
+    whole = pairs(line_dedup._pairs(0, 8, True)(iter(batches)))
+    monkeypatch.setattr(line_dedup, "TOGETHER", 600)
+    monkeypatch.setattr(line_dedup, "AT_ONCE", 10)
+    assert pairs(line_dedup._pairs(0, 8, True)(iter(batches))) == whole and len(whole) > 40_000
+
+
+def test_counts_of_cells_travel_in_few_rows():
+    total = np.random.default_rng(4).integers(0, 3, line_dedup.CELLS)
+    blocks, packed = line_dedup._packed(total)
+    assert len(blocks) == line_dedup.CELLS // line_dedup.BLOCK
+    again = total.copy()
+    line_dedup._unpacked(pa.array(blocks), pa.array(packed, pa.binary()), again)
+    assert (again == 2 * total).all()
+
+
 def test_filter_never_says_no_wrongly():
     numbers = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 3000)
     f = line_dedup.Filter(6000)
