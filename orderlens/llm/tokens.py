@@ -52,6 +52,45 @@ def _byte_letters() -> dict[int, int]:
     return {b: next(others) for b in range(256) if b not in own}
 
 
+def _byte_kinds() -> np.ndarray:
+    """Kinds of the bytes of plain texts: 0 letter, 1 mark, 2 digit, 3 white space."""
+    kinds = np.ones(256, np.uint8)
+    for first, last in ((b"A", b"Z"), (b"a", b"z"), (b"\x80", b"\xff")):  # beyond ASCII plain texts have letters only
+        kinds[first[0] : last[0] + 1] = 0
+    kinds[ord("0") : ord("9") + 1] = 2
+    kinds[[ord(" "), ord("\n")]] = 3
+    return kinds
+
+
+_KINDS = _byte_kinds()
+
+
+def plain_pieces(texts: pa.Array, words: bool) -> tuple[pa.Array, np.ndarray]:
+    """All pieces of plain texts (without what ``_ODD`` finds), and how many each text has.
+
+    They are those that ``_WORD_PIECES`` finds if ``words``, else those of ``_BYTE_PIECES``.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kinds = _KINDS[data]
+    first = np.ones(len(data), bool)
+    first[1:] = kinds[1:] != kinds[:-1]
+    if words:
+        first |= kinds == 2
+    else:  # a plain text has white space one by one, and a space belongs to what comes after it
+        first[1:] &= data[:-1] != 32
+    first[offsets[:-1][np.diff(offsets) > 0]] = True
+    if words:
+        full = kinds != 3
+        upto = np.concatenate([[0], np.cumsum(full)])
+        first, data, offsets = first[full], data[full], upto[offsets]
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.searchsorted(starts, offsets))
+    ends = pa.py_buffer(np.append(starts, len(data)).astype(np.int64))
+    return pa.Array.from_buffers(pa.large_string(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(data))]), counts
+
+
 class Memory:
     """A dictionary of bounded size that forgets what was not asked for lately."""
 
@@ -209,7 +248,7 @@ class ChunkEncoder:
                 odd |= pc.match_substring(texts, n).to_numpy(zero_copy_only=False)
         if odd.all():
             return self._by_chunks(texts)
-        plain, plain_counts = self._by_pieces(texts.filter(pa.array(~odd)).to_pylist())
+        plain, plain_counts = self._by_pieces(texts.filter(pa.array(~odd)))
         if not odd.any():
             return plain, plain_counts
         others, other_counts = self._by_chunks(texts.filter(pa.array(odd)))
@@ -220,18 +259,22 @@ class ChunkEncoder:
         flat[~from_odd], flat[from_odd] = plain, others
         return flat, counts
 
-    def _by_pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _by_pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain texts; each distinct piece is looked up once."""
-        split = self.pieces.findall
-        found = [split(t.lower()) for t in texts] if self.lower else list(map(split, texts))
-        table = dict.fromkeys(p for own in found for p in own)
-        get = self.words.get
-        for p in table:
+        pieces, counts = plain_pieces(pc.utf8_lower(texts) if self.lower else texts, self.lower)
+        coded = pieces.dictionary_encode()
+        get, found = self.words.get, []
+        for p in coded.dictionary.to_pylist():
             key = p if self.lower else p[1:] if p[0] == " " else "  " + p
-            table[p] = get(key) or self._word(p, key)
+            found.append(get(key) or self._word(p, key))
         self.words.trim()
-        parts = [b"".join(map(table.__getitem__, own)) for own in found]
-        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        own = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) // 4)])
+        ids = pa.array(np.frombuffer(b"".join(found), np.uint32))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        flat = pa.LargeListArray.from_arrays(pa.array(own), ids).take(coded.indices).flatten()
+        upto = np.concatenate([[0], np.cumsum(np.diff(own)[codes])])
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        return flat.to_numpy(zero_copy_only=False), upto[ends[1:]] - upto[ends[:-1]]
 
     def _by_chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         keys, counts = self._chunks(texts)

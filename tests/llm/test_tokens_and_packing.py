@@ -1,10 +1,12 @@
 """Token shards and packing against plain encoding of whole texts."""
 
 import random
+import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from orderlens.llm import packing, queries, tokens, wavelet
 from tokenizers import Tokenizer
@@ -47,6 +49,18 @@ def test_names_of_added_tokens_are_their_ids_as_by_default(path):
     assert [ids[e - c : e].tolist() for c, e in zip(counts, ends, strict=True)] == plain(path, texts)
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_plain_pieces_are_those_of_the_patterns(words):
+    alphabet = list("abAZzéÀßÿ079.,-'_" + "  \n")
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    texts = ["x", "", *(t for t in texts if not re.search(tokens._ODD.replace(r"\z", r"\Z").replace(tokens._RUN, r"\s\s"), t)), ""]
+    pieces, counts = tokens.plain_pieces(pa.array(texts, pa.large_string())[1:], words)
+    found = [(tokens._WORD_PIECES if words else tokens._BYTE_PIECES).findall(t) for t in texts[1:]]
+    assert counts.tolist() == [len(f) for f in found] and len(texts) > 300
+    assert pieces.to_pylist() == [p for f in found for p in f]
+
+
 def test_memory_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "MEMORY", 3)
     enc = tokens.ChunkEncoder(BYTE)
