@@ -48,6 +48,8 @@ SLICE = 1 << 20
 CROWD, NEAREST = 512, 8
 #: Postings that are paired up together, and twice the pairs of small groups held at once (but for one group).
 TOGETHER, AT_ONCE = 1 << 17, 1 << 21
+#: Rows of pairs that leave a task together.
+SENT = 1 << 14
 #: Most bytes of the filter that says which documents hold lines to verify.
 FILTER_BYTES = 32 * 1024 * 1024
 
@@ -271,8 +273,9 @@ def _small_groups(x: dict[str, np.ndarray], place: np.ndarray, ends: np.ndarray)
 
 def _large_group(x: dict[str, np.ndarray], start: int, end: int, skip: int, take: int) -> Iterator[tuple[np.ndarray, ...]]:
     """The same for one large group, some rows against all at a time; only the pairs that _nearest may keep."""
-    for low in range(start, end, 128):
-        rows = np.arange(low, min(low + 128, end))
+    step = max(1, min(128, AT_ONCE // 8 // (end - start)))
+    for low in range(start, end, step):
+        rows = np.arange(low, min(low + step, end))
         rows = rows[x["wanted"][rows]]
         if not len(rows):
             continue
@@ -303,15 +306,13 @@ def _pairs(skip: int, take: int, first: bool):
 
     def batch_of(x: dict[str, np.ndarray], later: np.ndarray, earlier: np.ndarray, again: np.ndarray) -> pa.RecordBatch:
         n, m = len(later), len(again)
-        blank = np.concatenate([np.zeros(n, bool), np.ones(m, bool)])
-        zeros = np.zeros(m, np.int64)
-        out = [pa.array(np.concatenate([x[k][v], zeros]), mask=blank) for k in ("class", "doc") for v in (later, earlier)]
+        out = [pa.concat_arrays([pa.array(x[k][v], pa.int64()), pa.nulls(m, pa.int64())]) for k in ("class", "doc") for v in (later, earlier)]
         for k in _NAMES:
-            column = x[k].view(np.int64) if x[k].dtype == np.uint64 else x[k]
-            out.append(pa.array(np.concatenate([np.zeros(n, column.dtype), column[again]]), mask=~blank))
+            column = pa.array((x[k].view(np.int64) if x[k].dtype == np.uint64 else x[k])[again])
+            out.append(pa.concat_arrays([pa.nulls(n, column.type), column]))
         return pa.RecordBatch.from_arrays(out, ["later", "earlier", "later_doc", "earlier_doc", *_NAMES])
 
-    def groups(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+    def groups(x: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         # a line alone under its word meets nobody; the others stand by size, equal lines together, the first one first
         same = np.concatenate([[False], x["word"][1:] == x["word"][:-1], [False]])
         x = {k: v[same[1:] | same[:-1]] for k, v in x.items()}
@@ -324,27 +325,28 @@ def _pairs(skip: int, take: int, first: bool):
         x |= {k: x[k].view(np.uint64) for k in ("bits1", "bits2")}
         starts = np.flatnonzero(np.concatenate([[True], x["word"][1:] != x["word"][:-1]]))
         lengths = np.diff(np.append(starts, len(x["word"])))
-        later, earlier, crowds = [], [], [np.zeros(0, np.int64)]
+        none = np.zeros(0, np.int64)
+        crowds = [none]
+        for later, earlier, crowd in found(x, starts, lengths):
+            crowds.append(crowd)
+            for i in range(0, len(later), SENT):
+                yield batch_of(x, later[i : i + SENT], earlier[i : i + SENT], none)
+        for g in np.unique(np.concatenate(crowds)).tolist():
+            for i in range(starts[g], starts[g] + lengths[g], SENT):
+                yield batch_of(x, none, none, np.arange(i, min(i + SENT, starts[g] + lengths[g])))
+
+    def found(x: dict[str, np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Some pairs at a time, and the groups in which more are left."""
         if first:
             small = np.flatnonzero((lengths > 1) & (lengths <= CROWD))
             load = np.cumsum(lengths[small] ** 2) // AT_ONCE
             for some in np.split(small, np.flatnonzero(load[1:] != load[:-1]) + 1):
                 place = np.arange(lengths[some].sum()) + np.repeat(starts[some] - np.cumsum(lengths[some]) + lengths[some], lengths[some])
                 a, b, more = _nearest(*_small_groups(x, place, np.repeat(starts[some] + lengths[some], lengths[some])), skip, take)
-                later.append(a)
-                earlier.append(b)
-                crowds.append(np.unique(np.searchsorted(starts, more, side="right") - 1))
-        large = np.flatnonzero(lengths > (CROWD if first else 1))
-        for g in large.tolist():
+                yield a, b, np.unique(np.searchsorted(starts, more, side="right") - 1)
+        for g in np.flatnonzero(lengths > (CROWD if first else 1)).tolist():
             for a, b, more in _large_group(x, starts[g], starts[g] + lengths[g], skip, take):
-                later.append(a)
-                earlier.append(b)
-                if len(more):
-                    crowds.append(np.array([g]))
-        crowds = np.unique(np.concatenate(crowds))
-        again = np.concatenate([np.zeros(0, np.int64), *(np.arange(starts[g], starts[g] + lengths[g]) for g in crowds.tolist())])
-        none = np.zeros(0, np.int64)
-        return batch_of(x, np.concatenate([none, *later]), np.concatenate([none, *earlier]), again)
+                yield a, b, np.array([g][: len(more)], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
@@ -361,9 +363,9 @@ def _pairs(skip: int, take: int, first: bool):
             whole = {k: np.concatenate([h[k] for h in held]) for k in x}
             cut = int(np.searchsorted(whole["word"], whole["word"][-1], side="left"))  # the last word may go on
             held, rows = [{k: v[cut:].copy() for k, v in whole.items()}], len(whole["word"]) - cut
-            yield groups({k: v[:cut] for k, v in whole.items()})
+            yield from groups({k: v[:cut] for k, v in whole.items()})
         if held:
-            yield groups({k: np.concatenate([h[k] for h in held]) for k in held[0]})
+            yield from groups({k: np.concatenate([h[k] for h in held]) for k in held[0]})
 
     return run
 

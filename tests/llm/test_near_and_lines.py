@@ -188,6 +188,15 @@ def test_postings_in_many_parts_give_all_pairs(monkeypatch):
     assert pairs(line_dedup._pairs(0, 8, True)(iter(batches))) == whole and len(whole) > 40_000
 
 
+def test_pairs_of_a_large_group_leave_in_parts():
+    batches = _sorted_postings(1500, np.zeros(1500, np.int64))
+    wanted = [b.append_column("wanted", pa.array(np.ones(len(b), bool))) for b in batches]
+    got = list(line_dedup._pairs(0, 4096, False)(iter(wanted)))
+    assert max(len(b) for b in got) <= 1 << 14  # all pairs of the group at once took a worker's memory
+    pairs = {(a, b) for g in got for a, b in zip(g["later"].to_pylist(), g["earlier"].to_pylist())}
+    assert pairs == {(a, b) for a in range(1500) for b in range(a)}
+
+
 def test_counts_of_cells_travel_in_few_rows():
     total = np.random.default_rng(4).integers(0, 3, line_dedup.CELLS)
     blocks, packed = line_dedup._packed(total)
