@@ -241,7 +241,7 @@ def find_spans(docs: DataFrame, generalise: float = GENERALISE, support: int = S
     holding = found.where("size(held) > 0")
     words, numbers = _candidates(docs, holding, support)
     n = F.when(F.col("whole"), F.lit(numbers[True])).otherwise(F.lit(numbers[False]))
-    reach = lambda together, entity: together / F.col("n") >= F.pow(entity / n, 1 - generalise) * (1 - 1e-9)
+    reach = lambda together, entity: together / F.col("n") >= F.pow(F.try_divide(entity, n), 1 - generalise) * (1 - 1e-9)
     words = stage(words.where((F.col("h") >= support) & reach(F.col("h"), F.lit(float(support)))), "words")
 
     # lines (texts) of every row with the words that may tell, and with the entities that may be told
