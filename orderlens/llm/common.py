@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +13,9 @@ from pyspark.sql import functions as F
 
 from orderlens.session import shared_dir
 
+#: Paths staged within the open ``scratch`` blocks, the innermost last.
+_STAGED: ContextVar[tuple[list[str], ...]] = ContextVar("staged", default=())
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,17 +64,34 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/corpus-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}-{label}"
 
 
-def stage(df: DataFrame, label: str, codec: str = "zstd", **options: object) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "zstd", result: bool = False, **options: object) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files.
 
-    What follows neither recomputes nor depends on the executors that made it.
+    What follows neither recomputes nor depends on the executors that made it.  A
+    ``result`` outlives the ``scratch`` block that it is staged in.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    for staged in _STAGED.get()[: -1 if result else None][-1:]:
+        staged.append(path)
     df.write.option("compression", codec).options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Files staged inside are deleted at the end, but for results; so no frame that reads them may be used later."""
+    staged: list[str] = []
+    before = _STAGED.set((*_STAGED.get(), staged))
+    try:
+        yield
+    finally:
+        _STAGED.reset(before)
+        for path in staged:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def running_starts(df: DataFrame, order: str, amount: str, out: str, block: int = 4096) -> DataFrame:
     """Add the sum of ``amount`` over all rows before each row, by distinct integers ``order``.
 

@@ -31,7 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import ship, stage, with_rest
+from orderlens.llm.common import scratch, ship, stage, with_rest
+from orderlens.llm.membership import Filter, filter_of  # noqa: F401
 from orderlens.llm.shingles import _ODD, mix, per_row, plain_text
 from orderlens.llm.tokens import text_slices
 
@@ -50,8 +51,6 @@ CROWD, NEAREST = 512, 8
 TOGETHER, AT_ONCE = 1 << 17, 1 << 21
 #: Rows of pairs that leave a task together.
 SENT = 1 << 14
-#: Most bytes of the filter that says which documents hold lines to verify.
-FILTER_BYTES = 32 * 1024 * 1024
 
 _LOW = -(2**63)
 
@@ -390,44 +389,6 @@ def _sets(sent_ranks, sent_docs, sent_classes):
     return run
 
 
-class Filter:
-    """Says of numbers whether they may be among those it was made of (never wrongly no)."""
-
-    def __init__(self, size: int):
-        self.bits = np.zeros(max(64, min(size, FILTER_BYTES)), np.uint8)
-
-    def _places(self, numbers: np.ndarray) -> list[np.ndarray]:
-        n = numbers.astype(np.int64).view(np.uint64)
-        return [mix(n ^ np.uint64(s)) % np.uint64(8 * len(self.bits)) for s in (1, 2, 3)]
-
-    def add(self, numbers: np.ndarray) -> None:
-        for p in self._places(numbers):
-            np.bitwise_or.at(self.bits, (p >> np.uint64(3)).astype(np.int64), (1 << (p & np.uint64(7))).astype(np.uint8))
-
-    def has(self, numbers: np.ndarray) -> np.ndarray:
-        out = np.ones(len(numbers), bool)
-        for p in self._places(numbers):
-            out &= (self.bits[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return out
-
-
-def _filter(numbers: DataFrame) -> Filter:
-    """Two bytes a number, made in the tasks and joined here; its size has a bound."""
-    column = numbers.columns[0]
-    size = 2 * numbers.count()
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(size)
-        for batch in batches:
-            own.add(batch.column(column).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array([own.bits.tobytes()], pa.binary())], ["bits"])
-
-    out = Filter(size)
-    for row in numbers.coalesce(8).mapInArrow(partial, "bits binary").toLocalIterator():
-        out.bits |= np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = column.cast(pa.large_binary())
@@ -452,6 +413,11 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def similar_to_earlier(docs: DataFrame, ranks) -> DataFrame:
     """Classes (equal sets) that have an earlier similar line of another class."""
+    with scratch(docs.sparkSession):
+        return stage(_matched(docs, ranks), "similar", result=True)
+
+
+def _matched(docs: DataFrame, ranks) -> DataFrame:
     spark = docs.sparkSession
     columns = ["later", "earlier", "later_doc", "earlier_doc"]
     postings = docs.mapInArrow(_postings(ranks), _POSTING)
@@ -462,8 +428,8 @@ def similar_to_earlier(docs: DataFrame, ranks) -> DataFrame:
     while True:
         sides = [pairs.select(F.col(s).alias("class"), F.col(f"{s}_doc").alias("doc")) for s in ("later", "earlier")]
         sides = sides[0].unionAll(sides[1]).distinct()
-        classes = spark.sparkContext.broadcast(_filter(sides.select("class").distinct()))  # FILTER_BYTES at most
-        holding = spark.sparkContext.broadcast(_filter(sides.select("doc").distinct()))
+        classes = spark.sparkContext.broadcast(filter_of(sides.select("class").distinct()))  # FILTER_BYTES at most
+        holding = spark.sparkContext.broadcast(filter_of(sides.select("doc").distinct()))
         sets = docs.mapInArrow(_sets(ranks, holding, classes), "class long, words binary").dropDuplicates(["class"])
         good = stage(_verified(pairs, stage(sets, "sets")), "matched")
         matched = good if matched is None else matched.unionAll(good)

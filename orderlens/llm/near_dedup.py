@@ -29,11 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import pick, ship, stage
+from orderlens.llm.common import pick, scratch, ship, stage
 from orderlens.llm.components import connected
+from orderlens.llm.membership import filter_of
 from orderlens.llm.shingles import mix, per_row, shingle_sets
 from orderlens.llm.tokens import text_slices
 
@@ -45,6 +47,7 @@ NEAR = 0.55
 #: Classes of a bucket in one block; two blocks meet in one task.
 BLOCK = 1024
 
+_LOW = -(2**63)
 _FACTORS = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _SALTS = mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
 
@@ -115,9 +118,10 @@ def _signed(size: int):
     return run
 
 
-def _sets(size: int):
+def _sets(size: int, sent_ids):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in text_slices(whole)):
+        wanted = (whole.filter(pa.array(sent_ids.value.has(_ids(whole)))) for whole in batches)
+        for batch in (part for whole in wanted for part in text_slices(whole)):
             hashes, counts = shingle_sets(batch.column("text"), size)
             ends = np.cumsum(counts).tolist()
             sets = [hashes[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
@@ -127,6 +131,10 @@ def _sets(size: int):
     return run
 
 
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    return pc.fill_null(batch.column("doc_id"), _LOW).to_numpy(zero_copy_only=False)
+
+
 _CELL = "key long, i int, j int, block int, node binary, n long, bands array<long>, sketch binary"
 
 
@@ -257,7 +265,11 @@ def cluster(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
     Documents are linked where 100 * common >= percent * all shingles of both.
     """
     ship(docs.sparkSession)
-    docs = pick(docs, "doc_id", "text")
+    with scratch(docs.sparkSession):
+        return stage(_clusters(pick(docs, "doc_id", "text"), size, percent), "clusters", result=True)
+
+
+def _clusters(docs: DataFrame, size: int, percent: int) -> DataFrame:
     signed = stage(docs.mapInArrow(_signed(size), "doc_id long, node binary, n_shingles long, bands array<long>, sketch binary"), "signed")
     full = signed.where("node is not null")
     # rows of a class differ in their ids only
@@ -284,8 +296,11 @@ def cluster(docs: DataFrame, size: int, percent: int = 80) -> DataFrame:
 
 
 def _needed_sets(docs: DataFrame, classes: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """Full sets of the classes that pairs name, from the text of one document each."""
-    ids = classes.select("node", "doc_id").join(needed, "node").select("doc_id").distinct()
-    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"])).select(docs["text"])
-    sets = texts.mapInArrow(_sets(size), "node binary, hashes binary").dropDuplicates(["node"])
-    return stage(sets, "sets")
+    """Full sets of the classes that pairs name, from the text of one document each; and a few more.
+
+    A filter of the documents' ids goes to the texts, so no text is shuffled.
+    """
+    ids = classes.join(needed, "node").select(F.coalesce("doc_id", F.lit(_LOW)).alias("doc_id")).distinct()
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(stage(ids, "needed")))  # FILTER_BYTES at most
+    sets = docs.mapInArrow(_sets(size, sent), "node binary, hashes binary")
+    return stage(sets.dropDuplicates(["node"]), "sets")

@@ -8,12 +8,12 @@ the operators say.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orderlens.llm import decontaminate, line_dedup, near_dedup, packing
 from orderlens.llm import toxicity as toxic
-from orderlens.llm.common import stage, table, with_rest, without_rest
+from orderlens.llm.common import scratch, stage, table, with_rest, without_rest
 
 #: Words of a shingle in the near-duplicate stage.
 SHINGLE = 5
@@ -43,13 +43,19 @@ def near_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
     numbered = stage(numbered, "rows")
     own = {n: F.col(f"c{docs.columns.index(n)}") for n in ("doc_id", "text")}
+    with scratch(spark):
+        repeated = stage(_repeated(numbered, own), "repeated", result=True)  # of known size when texts are joined
+    return numbered.join(repeated, "row", "left_anti").drop("row").toDF(*docs.columns)
+
+
+def _repeated(numbered: DataFrame, own: dict[str, Column]) -> DataFrame:
+    """Rows of near-duplicate groups that come after the first of their group."""
     found = near_dedup.cluster(numbered.select(F.col("row").alias("doc_id"), own["text"].alias("text")), SHINGLE)
     found = found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("group"))
     place = F.struct(own["doc_id"].isNull().alias("no_id"), own["doc_id"].alias("doc_id"), "row")
     grouped = stage(numbered.select("row", place.alias("place")).join(found, "row"), "groups")
-    kept = grouped.groupBy("group").agg(F.min("place").alias("first"))
-    kept = kept.select(F.col("first.row").alias("row"))
-    return numbered.join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)
+    several = grouped.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return grouped.join(several, "group").where(F.col("row") != F.col("first.row")).select("row")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

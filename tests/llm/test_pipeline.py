@@ -1,7 +1,12 @@
 """The pipeline's stages, each on what the one before it kept."""
 
+import re
+from pathlib import Path
+
 import corpus_pipeline
-from orderlens.llm import stages
+import pytest
+from orderlens.llm import common, near_dedup, stages
+from orderlens.session import shared_dir
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.01"
@@ -51,3 +56,59 @@ def test_stages_hand_on_other_columns_and_odd_rows(spark, odd_docs, no_docs):
     twice = spark.createDataFrame([(1, "a b c d\nkept line here now", 9), (2, "a b c d", 7)], "doc_id long, text string, n_chars int")
     got = stages.line_dedup_(spark, twice, SF).collect()
     assert [(r.doc_id, r.n_chars) for r in got] == [(1, 9)]
+
+
+@pytest.fixture()
+def near_copies(spark):
+    """3,000 texts of their own, and near copies of two of them."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(30)) for i in range(3000)]
+    rows = [*enumerate(texts), (4000, texts[5] + " end"), (4001, texts[5] + " fin"), (4002, texts[9] + " end")]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+
+@pytest.fixture()
+def small_broadcasts(spark):
+    """As at size, where only lists of few rows are sent to all tasks."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8k")
+    yield
+    spark.conf.set(name, before)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_near_dedup_shuffles_no_text_for_a_few_copies(spark, monkeypatch, near_copies, small_broadcasts):
+    plans = {}
+
+    def kept_plan(df, label, **options):
+        plans[label] = plan(df)
+        return common.stage(df, label, **options)
+
+    monkeypatch.setattr(near_dedup, "stage", kept_plan)
+    kept = stages.near_dedup_(spark, near_copies, SF)
+    assert "Join" not in plans["sets"] and "hashpartitioning(row" not in plan(kept)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(range(3000))
+
+
+def test_what_only_a_stage_reads_is_deleted_with_it(spark, near_copies):
+    folder = Path(re.sub("^file:", "", shared_dir(spark)))
+    before = set(folder.glob("corpus-*/*"))
+    frames = [stages.line_dedup_(spark, near_copies, SF), stages.near_dedup_(spark, near_copies, SF)]
+    new = {p.name.split("-")[-1] for p in set(folder.glob("corpus-*/*")) - before}
+    assert new == {"lines", "similar", "rows", "repeated"}
+    assert [f.count() for f in frames] == [3000, 3000]
+
+
+def test_results_outlive_their_scratch(spark):
+    ids = spark.range(3)
+    with common.scratch(spark):
+        with common.scratch(spark):
+            inner, lost = common.stage(ids, "inner", result=True), common.stage(ids, "lost")
+        outer = common.stage(inner, "outer", result=True)
+    assert outer.count() == 3
+    for gone in (inner, lost):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+            gone.collect()
