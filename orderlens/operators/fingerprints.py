@@ -41,9 +41,15 @@ def repeated_prints(df: DataFrame, keys: Sequence[str], prints: Print = row_prin
 
 
 def many_repeat(df: DataFrame, keys: Sequence[str], prints: Print = row_print) -> bool:
-    """Whether over ``MOST`` prints repeat, by those of one slice; it chooses a way, not the result."""
-    slice_ = _printed(df, keys, prints).select(*PRINT).where(F.pmod(F.col(PRINT[0]), F.lit(SLICE)) == 0)
-    repeated = slice_.groupBy(*PRINT).agg(F.count("*").alias("n")).where("n > 1")
+    """Whether over ``MOST`` prints repeat, by those of one slice; it chooses a way, not the result.
+
+    The slice is no filter: under the renamed columns of ``df`` a condition that names all of
+    them doubles the planner's constraints with each column.  Prints outside it become null,
+    which a task adds up to one row and the count leaves out.
+    """
+    inside = F.pmod(F.col(PRINT[0]), F.lit(SLICE)) == 0
+    slice_ = _printed(df, keys, prints).select(*[F.when(inside, F.col(p)).alias(p) for p in PRINT])
+    repeated = slice_.groupBy(*PRINT).agg(F.count(PRINT[0]).alias("n")).where("n > 1")
     return repeated.count() * SLICE > MOST
 
 

@@ -64,3 +64,20 @@ def test_little_is_shuffled_without_repeats(spark):
     text = plan._jdf.queryExecution().executedPlan().toString()
     exchange = next(x for x in text.splitlines() if "Exchange" in x)
     assert "_print_a" in exchange and "wide" not in exchange
+
+
+def test_the_slice_is_no_condition_over_all_columns(spark, tmp_path, monkeypatch):
+    """Below renamed columns such a condition makes the planner's constraints double with every one of them."""
+    names = [f"c{i}" for i in range(9)]
+    (tmp_path / "f.csv").write_text("\n".join(",".join(x) for x in (names, ["1"] * 9, ["1"] * 9, ["2"] * 9)))
+    raw = spark.read.option("header", True).csv(str(tmp_path / "f.csv"))
+    df = raw.select(*[F.when(F.col(c) != "", F.col(c)).alias(f"n{c}") for c in names])
+    asked = []
+    with monkeypatch.context() as m:
+        m.setattr(type(df), "count", lambda self: asked.append(self) or 0)
+        assert not P.many_repeat(df, df.columns)
+    plan = asked[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [x for x in plan if "Filter" in x and all(c in x for c in names)]
+    monkeypatch.setattr(P, "SLICE", 1)
+    monkeypatch.setattr(P, "MOST", 0)
+    assert P.many_repeat(df, df.columns) and not P.many_repeat(df.distinct(), df.columns)
