@@ -92,6 +92,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs run inside send at most so many rows at once to Python, whatever a partition holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(min(int(before), most) if int(before) > 0 else most))
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def running_starts(df: DataFrame, order: str, amount: str, out: str, block: int = 4096) -> DataFrame:
     """Add the sum of ``amount`` over all rows before each row, by distinct integers ``order``.
 

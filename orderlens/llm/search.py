@@ -2,7 +2,8 @@
 
 Index: documents are taken in segments of a bounded number of bytes, each inverted in
 its task: per term the documents that hold it and how often.  Nothing is shuffled but the
-number of documents of each term.
+number of documents of each term.  A segment is a row group of its own and goes to Python
+by itself, so a task holds one at a time, however many its partition has.
 
 Lists: for a block of queries, the postings of their terms get their impact (what a
 posting adds to a score, without the term's weight), and every ``STRETCH`` documents of a
@@ -29,6 +30,7 @@ they are counted.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,12 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderlens.llm.common import pick, running_starts, ship, stage
+from orderlens.llm.common import arrow_rows, pick, running_starts, ship, stage
 
 #: A segment is closed at so many bytes of text.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 8 << 20
 #: ... or documents.
 SEGMENT_DOCS = 1 << 15
+#: Documents that go to Python at once.
+BATCH_DOCS = 500
+#: Each row, a segment or its lists, is a row group: readers and writers hold one of them.
+ALONE = {"parquet.block.row.count.limit": 1}
 #: Documents that share a bound.
 STRETCH = 256
 #: Terms of one block of queries, in bytes; a block is held by the driver and by every task.
@@ -94,7 +100,7 @@ class _Segment:
     def __init__(self):
         self.bytes = 0
         self.ids, self.known, self.sizes, self.distinct = [], [], [], []
-        self.codes, self.tfs = [], []
+        self.codes, self.tfs = array("i"), array("i")
         self.terms: defaultdict = defaultdict()
         self.terms.default_factory = self.terms.__len__
 
@@ -110,8 +116,7 @@ class _Segment:
             self.tfs.extend(counts.values())
 
     def row(self, number: int) -> list:
-        codes = np.array(self.codes, np.int32)
-        tfs = np.array(self.tfs, np.int64)
+        codes, tfs = np.frombuffer(self.codes, np.int32), np.frombuffer(self.tfs, np.int32)
         docs = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.distinct)
         names = np.array([*self.terms, None], object)[:-1]
         by_name = np.array(sorted(range(len(names)), key=names.__getitem__), np.int32)
@@ -171,7 +176,8 @@ def build(docs: DataFrame) -> Index:
             yield closed()
 
     rows = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    segments = stage(rows.mapInArrow(invert, INDEX), "segments")
+    with arrow_rows(docs.sparkSession, BATCH_DOCS):
+        segments = stage(rows.mapInArrow(invert, INDEX), "segments", **ALONE)
     total = segments.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     each = segments.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).select("t.terms", "t.df")
     lexicon = each.groupBy(F.col("terms").alias("term")).agg(F.sum("df").alias("df"))
@@ -247,7 +253,7 @@ def _lists_of(segment: dict, load: Workload, n_docs: int, n_terms: int) -> dict:
     sizes = np.frombuffer(segment["sizes"], np.int64)
     ends = np.cumsum(np.array(segment["df"], np.int64))
     at = {t: i for i, t in enumerate(segment["terms"])}
-    docs, tfs = np.frombuffer(segment["docs"], np.int32), np.frombuffer(segment["tfs"], np.int64)
+    docs, tfs = np.frombuffer(segment["docs"], np.int32), np.frombuffer(segment["tfs"], np.int32)
     length = 50 + (50 * sizes * n_docs) // n_terms
     stretches = -(-len(sizes) // STRETCH)
     peaks = np.zeros((len(load.terms), stretches), np.int64)
@@ -259,7 +265,7 @@ def _lists_of(segment: dict, load: Workload, n_docs: int, n_terms: int) -> dict:
             own_impacts.append(tfs[:0])
             continue
         lo, hi = int(ends[k - 1]) if k else 0, int(ends[k])
-        d, tf = docs[lo:hi], tfs[lo:hi]
+        d, tf = docs[lo:hi], tfs[lo:hi].astype(np.int64)
         impact = (1_000_000_000 * tf) // (1000 * tf + 20 * length[d])
         np.maximum.at(peaks[i], d // STRETCH, impact)
         own_docs.append(d)
@@ -407,8 +413,9 @@ def search(docs_index: Index, queries: DataFrame, k: int) -> DataFrame:
                     ["query", "doc_id", "score", "task"],
                 )
 
-        lists = stage(docs_index.segments.drop("n_terms").mapInArrow(weigh, LISTS), "lists")
-        out = out.unionAll(stage(lists.mapInArrow(rank, "query long, doc_id long, score long, task int"), "found"))
+        with arrow_rows(spark, 1):
+            lists = stage(docs_index.segments.drop("n_terms").mapInArrow(weigh, LISTS), "lists", **ALONE)
+            out = out.unionAll(stage(lists.mapInArrow(rank, "query long, doc_id long, score long, task int"), "found"))
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_first()]
     groups = out.withColumn("group", F.floor(F.col("task") / FAN))
     some = groups.withColumn("rank", F.row_number().over(Window.partitionBy("query", "group").orderBy(*order)))

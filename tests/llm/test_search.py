@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from compare import database, differences
-from orderlens.llm import queries, search
+from orderlens.llm import common, queries, search
 
 SF = "/root/testdata/sf0.01"
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -133,3 +135,19 @@ def all_scores(lists, order):
 def test_op12_equals_its_twin(spark):
     want = database(SF).sql(queries.ORACLES["op12_pair_bound_search"]).to_arrow_table()
     assert differences(queries.op12_pair_bound_search(spark, SF).toArrow(), want) == []
+
+
+def test_a_task_holds_one_segment_at_a_time(spark, monkeypatch):
+    """Segments of one partition are row groups of their own, and rows go to Python one by one."""
+    monkeypatch.setattr(search, "SEGMENT_DOCS", 40)
+    docs, _ = corpus(400, 7)
+    index = search.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    stored = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.segments.inputFiles()]
+    groups = [m.row_group(i).num_rows for m in stored for i in range(m.num_row_groups)]
+    assert groups == [1] * 10
+    lengths = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with common.arrow_rows(spark, 1):
+        sent = index.segments.select("segment").mapInArrow(lengths, "n long").collect()
+    assert [r.n for r in sent] == [1] * 10 and spark.conf.get(key) == before
