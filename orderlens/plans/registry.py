@@ -78,7 +78,9 @@ def _loaded(spark: SparkSession, d: str) -> DataFrame:
 
 def _clean_csv(spark: SparkSession, d: str, name: str) -> str:
     folder = warehouse.folder(spark, d, name)
-    tables.write_csv(warehouse.lines(spark, d).select(*CLEAN_COLUMNS), folder)
+    warehouse.each_slice(
+        spark, d, lambda lines, append: tables.write_csv(lines.select(*CLEAN_COLUMNS), folder, packed=True, append=append)
+    )
     return folder
 
 

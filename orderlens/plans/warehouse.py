@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from orderlens.operators.calendar import date_table
 from orderlens.operators.distincts import Level, Store, build_store
 from orderlens.operators.star import Star, build_star, read_star
-from orderlens.session import shared_dir, spread
+from orderlens.session import settings, shared_dir, spread
 from orderlens.sources import tpch
 from orderlens.sources.tables import write_table
 
@@ -45,9 +45,40 @@ def _once(
     return path, _BUILT[mark]
 
 
+#: Lines that are joined at once, and the most slices they are joined in, as each reads the given tables again.
+ROWS_A_SLICE, MOST_SLICES = 25_000_000, 8
+#: Lines take a fifth less disk than under the default codec, and a slice leaves no shuffle files to the next.
+SPARING = {
+    "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
+
+def _joined_slices(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, bool], DataFrame | None]) -> DataFrame | None:
+    """``write(lines, append)`` for every slice; a join's shuffle is over twice the size of its input."""
+    rows = tpch.table(spark, sf_dir, "lineitem").count()
+    slices = min(max(-(-rows // ROWS_A_SLICE), 1), MOST_SLICES)
+    written = None
+    with spread(spark, -(-rows // slices)), settings(spark, SPARING):
+        for one in range(slices):
+            written = write(tpch.clean_lines(spark, sf_dir, one, slices), one > 0)
+    return written
+
+
 def _build_lines(spark: SparkSession, sf_dir: str, path: str) -> dict[str, T.StructType]:
-    with spread(spark, tpch.table(spark, sf_dir, "lineitem").count()):
-        return {"lines": write_table(tpch.clean_lines(spark, sf_dir), path, ("year",)).schema}
+    stored = _joined_slices(spark, sf_dir, lambda lines, append: write_table(lines, path, ("year",), append))
+    return {"lines": stored.schema}
+
+
+def each_slice(spark: SparkSession, sf_dir: str, write: Callable[[DataFrame, bool], None]) -> None:
+    """``write(lines, append)`` for all clean lines: the stored ones at once, else slice by slice as they are joined.
+
+    A copy in another form needs no stored lines beside it.
+    """
+    if (spark.sparkContext.applicationId, sf_dir, "lines") in _BUILT:
+        write(lines(spark, sf_dir), False)
+    else:
+        _joined_slices(spark, sf_dir, write)
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

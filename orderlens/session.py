@@ -60,6 +60,22 @@ def freeze(df: DataFrame) -> DataFrame:
 ROWS_A_TASK, MB_A_TASK = 250_000, 16
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """Jobs run inside have these settings; the session's own come back."""
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 @contextmanager
 def spread(spark: SparkSession, rows: int) -> Iterator[None]:
     """Jobs run inside deal ``rows`` to so many tasks that the memory of one stays the same at any size.
@@ -74,14 +90,5 @@ def spread(spark: SparkSession, rows: int) -> Iterator[None]:
         ),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{MB_A_TASK}m",
     }
-    before = {key: spark.conf.get(key, None) for key in wanted}
-    try:
-        for key, value in wanted.items():
-            spark.conf.set(key, value)
+    with settings(spark, wanted):
         yield
-    finally:
-        for key, value in before.items():
-            if value is None:
-                spark.conf.unset(key)
-            else:
-                spark.conf.set(key, value)

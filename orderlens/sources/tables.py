@@ -7,25 +7,24 @@ from pyspark.sql import functions as F
 
 # Upper bound of rows per file, so that a hot year is spread over many files.
 MAX_ROWS_PER_FILE = 5_000_000
+# ... and per packed CSV file, which is read by one task.
+MAX_ROWS_PER_PACKED = 500_000
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV, parents created, earlier content replaced."""
-    (
-        df.write.mode("overwrite")
-        .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
-        .csv(path)
-    )
+def write_csv(df: DataFrame, path: str, packed: bool = False, append: bool = False) -> None:
+    """Header CSV, parents created, earlier content replaced or added to; ``packed`` by gzip, which readers undo."""
+    writer = df.write.mode("append" if append else "overwrite").option("header", True).option("quote", '"').option("escape", '"')
+    if packed:
+        writer = writer.option("compression", "gzip").option("maxRecordsPerFile", MAX_ROWS_PER_PACKED)
+    writer.csv(path)
 
 
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Replace the Parquet table at ``path`` and return a reader of it.
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), append: bool = False) -> DataFrame:
+    """Replace the Parquet table at ``path``, or add to it, and return a reader of it.
 
     Each task writes its own rows, so no shuffle precedes the write.
     """
-    writer = df.write.mode("overwrite").option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
+    writer = df.write.mode("append" if append else "overwrite").option("maxRecordsPerFile", MAX_ROWS_PER_FILE)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

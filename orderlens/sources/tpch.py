@@ -17,8 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat lines without engineered columns.
+def order_lines(spark: SparkSession, sf_dir: str, one: int = 0, of: int = 1) -> DataFrame:
+    """Flat lines without engineered columns; slice ``one`` ``of`` so many, dealt by order, or all.
 
     Customers join at order grain, before the lines.  Lines meet parts while
     they are still narrow, and orders last.  Lines and orders grow together, so
@@ -27,13 +27,16 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     small.  Nations and regions are fixed lists of 25 and 5 rows; they and all
     texts made of others come after that join, so its rows stay narrow.
     """
+    def sliced(df: DataFrame, key: str) -> DataFrame:
+        return df if of == 1 else df.where(F.pmod(F.xxhash64(key), F.lit(of)) == one)
+
     places = (
         table(spark, sf_dir, "nation")
         .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", "n_name", "r_name")
     )
     orders = (
-        table(spark, sf_dir, "orders")
+        sliced(table(spark, sf_dir, "orders"), "o_orderkey")
         .select("o_orderkey", "o_custkey", F.col("o_orderdate").cast("date").alias("order_date"))
         .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
@@ -58,7 +61,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     cut = F.col("l_discount").cast("decimal(4,2)") * 5
     return (
-        table(spark, sf_dir, "lineitem")
+        sliced(table(spark, sf_dir, "lineitem"), "l_orderkey")
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .drop("l_partkey", "p_partkey")
         .join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
@@ -94,6 +97,6 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 27 clean columns plus ``line_seq``, the position within the order."""
-    return clean_layout(engineer_features(order_lines(spark, sf_dir)), extra=("line_seq",))
+def clean_lines(spark: SparkSession, sf_dir: str, one: int = 0, of: int = 1) -> DataFrame:
+    """The 27 clean columns plus ``line_seq``, the position within the order; all lines or a slice of them."""
+    return clean_layout(engineer_features(order_lines(spark, sf_dir, one, of)), extra=("line_seq",))

@@ -1,5 +1,8 @@
 """Work and memory that follow the rows: plans, and the same results by either way."""
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from test_distincts import rows
@@ -7,9 +10,12 @@ from test_distincts import rows
 from orderlens.operators import distincts as D
 from orderlens.operators import fingerprints as P
 from orderlens.operators import star
+from orderlens.plans import registry, warehouse
 from orderlens.session import ROWS_A_TASK, spread
 from orderlens.sources import rejects, tpch
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def physical(df):
     return df._jdf.queryExecution().executedPlan().toString().splitlines()
@@ -86,3 +92,40 @@ def test_a_value_is_converted_once(spark):
         ("None", i, "b,b") for i in range(3)
     ]
     assert [r.reason for r in tagged.collect() if r.v.n is None] == ["bad value: n"]
+
+
+def copied(monkeypatch, tmp_path, rows_a_slice):
+    """The smallest tables under a path of their own, so nothing is stored for them yet."""
+    monkeypatch.setattr(warehouse, "ROWS_A_SLICE", rows_a_slice)
+    (tmp_path / "tables").symlink_to(SMALL)
+    return str(tmp_path / "tables")
+
+
+def lines_of(df):
+    return sorted(str(tuple(sorted(r.asDict().items()))) for r in df.collect())
+
+
+@pytest.mark.parametrize("query, folder", [("io4_bi_load", "csv_bi")])
+def test_the_clean_csv_is_packed_and_joined_in_slices(spark, monkeypatch, tmp_path, query, folder):
+    """Neither plain text, nor stored lines beside it, nor the shuffle files of all lines at once."""
+    d, keys = copied(monkeypatch, tmp_path, 1000), [*warehouse.SPARING, "spark.sql.shuffle.partitions"]
+    before, asked = [spark.conf.get(k, None) for k in keys], []
+    with monkeypatch.context() as m:
+        m.setattr(tpch, "clean_lines", lambda s, p, *one, whole=tpch.clean_lines: asked.append(one) or whole(s, p, *one))
+        got = registry.QUERIES[query](spark, d)
+    assert len(asked) == 6 and [spark.conf.get(k, None) for k in keys] == before
+    path = warehouse.folder(spark, d, folder)
+    stored = [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]
+    assert stored and all(f.endswith(".csv.gz") for f in stored)
+    assert not os.path.exists(warehouse.folder(spark, d, "lines").removeprefix("file:"))
+    found = lines_of(got)
+    warehouse.lines(spark, d)
+    assert lines_of(registry.QUERIES[query](spark, d)) == found
+
+
+def test_slices_hold_every_line_once(spark, monkeypatch, tmp_path):
+    d = copied(monkeypatch, tmp_path, 1000)
+    parts = [tpch.clean_lines(spark, d, i, 6) for i in range(6)]
+    assert all(not p.isEmpty() for p in parts)
+    whole = lines_of(tpch.clean_lines(spark, d))
+    assert sorted(x for p in parts for x in lines_of(p)) == whole == lines_of(warehouse.lines(spark, d))
