@@ -105,7 +105,7 @@ def lines_of(df):
     return sorted(str(tuple(sorted(r.asDict().items()))) for r in df.collect())
 
 
-@pytest.mark.parametrize("query, folder", [("io4_bi_load", "csv_bi")])
+@pytest.mark.parametrize("query, folder", [("io4_bi_load", "csv_bi"), ("io3_staging_load", "csv_staging")])
 def test_the_clean_csv_is_packed_and_joined_in_slices(spark, monkeypatch, tmp_path, query, folder):
     """Neither plain text, nor stored lines beside it, nor the shuffle files of all lines at once."""
     d, keys = copied(monkeypatch, tmp_path, 1000), [*warehouse.SPARING, "spark.sql.shuffle.partitions"]
